@@ -1,4 +1,7 @@
-"""Weekday masks, wall-clock times and time buckets, all free of time zones."""
+"""Weekday masks, wall-clock times and time buckets, all free of time zones.
+
+Arguments named as text are column names or SQL expressions.
+"""
 
 from __future__ import annotations
 
@@ -9,46 +12,52 @@ from pyspark.sql import functions as F
 _DAYS_BEFORE_EPOCH = 719162
 
 
-def bit_positions(mask: Column) -> Column:
+def bit_positions(mask: str) -> Column:
     """Zero-based positions of '1' in a bit string; NULL when there are none."""
-    found = F.filter(
-        F.sequence(F.lit(0), F.greatest(F.length(mask) - 1, F.lit(0))),
-        lambda i: mask.substr(i + 1, F.lit(1)) == "1",
-    )
-    return F.when(F.size(found) > 0, found)
+    found = f"filter(sequence(0, greatest(length({mask}) - 1, 0)), i -> substring({mask}, i + 1, 1) = '1')"
+    return F.expr(f"case when size({found}) > 0 then {found} end")
 
 
-def weekday(day: Column) -> Column:
+def weekday(day: str) -> Column:
     """Day of the week with Sunday as 0."""
-    return F.dayofweek(day) - 1
+    return F.expr(f"dayofweek({day}) - 1")
 
 
-def runs_on(mask: Column, day: Column) -> Column:
+def runs_on(mask: str, day: str) -> Column:
     """Whether a Sunday-first mask is set on the day's weekday."""
-    return mask.substr(F.dayofweek(day), F.lit(1)) == "1"
+    return F.expr(f"substring({mask}, dayofweek({day}), 1) = '1'")
 
 
-def minutes(count: Column) -> Column:
-    return F.make_dt_interval(mins=count.cast("int"))
+def minutes(count: str | int) -> Column:
+    return F.expr(f"make_dt_interval(0, 0, cast({count} as int))")
 
 
-def interval_minutes(interval: Column) -> Column:
+def interval_minutes(interval: str) -> Column:
     """Whole minutes of a day-time interval."""
-    part = [F.extract(F.lit(unit), interval) for unit in ("DAY", "HOUR", "MINUTE")]
-    return (part[0] * 1440 + part[1] * 60 + part[2]).cast("int")
+    return F.expr(
+        f"cast(extract(day from {interval}) * 1440 + extract(hour from {interval}) * 60"
+        f" + extract(minute from {interval}) as int)"
+    )
 
 
-def at_minute(day: Column, minute_of_day: Column) -> Column:
+def at_minute(day: str, minute_of_day: str) -> Column:
     """Wall-clock timestamp at a minute of a day."""
-    return day.cast("timestamp_ntz") + minutes(minute_of_day)
+    return F.expr(f"cast({day} as timestamp_ntz) + make_dt_interval(0, 0, cast({minute_of_day} as int))")
 
 
-def day_number(day: Column) -> Column:
+def day_number(day: str) -> Column:
     """Days since 0001-01-01."""
-    return F.unix_date(day) + F.lit(_DAYS_BEFORE_EPOCH)
+    return F.expr(f"unix_date({day}) + {_DAYS_BEFORE_EPOCH}")
 
 
-def time_bucket(ts: Column, width_minutes: int) -> Column:
-    """Number of the fixed-width bucket a wall-clock timestamp falls in."""
-    minute = F.unix_date(ts.cast("date")) * 1440 + F.hour(ts) * 60 + F.minute(ts)
-    return F.floor(minute / F.lit(width_minutes)).cast("int")
+def time_bucket_sql(ts: str, width_minutes: int) -> str:
+    """SQL for the number of the fixed-width bucket a wall-clock timestamp falls in."""
+    minute = f"(unix_date(cast({ts} as date)) * 1440 + hour({ts}) * 60 + minute({ts}))"
+    return f"cast(floor({minute} / {width_minutes}) as int)"
+
+
+def buckets_between(first: str, last: str, width_minutes: int) -> Column:
+    """Array of all bucket numbers from one timestamp to another, which must not be earlier."""
+    return F.expr(
+        f"sequence({time_bucket_sql(first, width_minutes)}, {time_bucket_sql(last, width_minutes)})"
+    )

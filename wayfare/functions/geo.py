@@ -40,17 +40,17 @@ def great_circle_miles(
 
 def airport_trig(airports: DataFrame, prefix: str) -> DataFrame:
     """One row per airport with its sines and cosines worked out once, not once per flight."""
-    return airports.select(
-        F.col("iata").alias(f"{prefix}_iata"),
-        F.sin(radians(F.col("lat"))).alias(f"{prefix}_sin"),
-        F.cos(radians(F.col("lat"))).alias(f"{prefix}_cos"),
-        radians(F.col("long")).alias(f"{prefix}_long"),
+    return airports.selectExpr(
+        f"iata as {prefix}_iata",
+        f"sin(lat / {DEGREES_PER_RADIAN}D) as {prefix}_sin",
+        f"cos(lat / {DEGREES_PER_RADIAN}D) as {prefix}_cos",
+        f"long / {DEGREES_PER_RADIAN}D as {prefix}_long",
     )
 
 
 def trig_miles(start: str, end: str, mode: str = "reference") -> Column:
     """Distance between two airports joined in from :func:`airport_trig`."""
-    cosine = F.col(f"{start}_sin") * F.col(f"{end}_sin") + F.col(f"{start}_cos") * F.col(
-        f"{end}_cos"
-    ) * F.cos(F.col(f"{end}_long") - F.col(f"{start}_long"))
+    cosine = F.expr(
+        f"{start}_sin * {end}_sin + {start}_cos * {end}_cos * cos({end}_long - {start}_long)"
+    )
     return arc_miles(cosine, mode)

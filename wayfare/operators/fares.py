@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.constants import CABIN_CLASSES
+from wayfare.constants import CABIN_CLASSES, MONEY
 from wayfare.functions.geo import airport_trig, trig_miles
 from wayfare.functions.money import money, ticket_price
 
@@ -13,13 +13,10 @@ from wayfare.functions.money import money, ticket_price
 INLINE_CLASSES = 200
 
 
-def cabin_capacity(class_id):
+def cabin_capacity(class_id: str) -> Column:
     """Seats of a cabin class; NULL for a class without a fixed layout."""
-    seats = None
-    for known_id, _, _, count in CABIN_CLASSES:
-        test = class_id == known_id
-        seats = F.when(test, F.lit(count)) if seats is None else seats.when(test, F.lit(count))
-    return seats
+    cases = " ".join(f"when {known} then {seats}" for known, _, _, seats in CABIN_CLASSES)
+    return F.expr(f"case {class_id} {cases} end")
 
 
 def flight_miles(flights: DataFrame, airports: DataFrame, mode: str = "reference") -> DataFrame:
@@ -42,21 +39,19 @@ def with_each_class(df: DataFrame, classes: DataFrame) -> DataFrame:
 
     A short class list is read once and unrolled from an array, which keeps this a narrow step.
     """
-    wanted = classes.select(F.col("id").cast("int").alias("class_id"), money(F.col("fee")).alias("fee"))
+    wanted = classes.filter("id is not null").selectExpr(
+        "cast(id as int) as class_id", f"cast(fee as {MONEY}) as fee"
+    )
     rows = wanted.take(INLINE_CLASSES + 1)
     if not rows:
         return df.join(wanted, F.lit(False))
     if len(rows) > INLINE_CLASSES:
         return df.join(wanted, F.lit(True))
-    listed = F.array(
-        *[
-            F.struct(F.lit(r.class_id).cast("int").alias("class_id"), money(F.lit(r.fee)).alias("fee"))
-            for r in rows
-        ]
-    )
-    return df.withColumn("_class", F.explode(listed)).select(
-        *df.columns, F.col("_class.class_id").alias("class_id"), F.col("_class.fee").alias("fee")
+    listed = ", ".join(
+        f"struct({r.class_id} as class_id, cast({'null' if r.fee is None else r.fee} as {MONEY}) as fee)"
+        for r in rows
     )
+    return df.selectExpr(*df.columns, f"inline(array({listed})) as (class_id, fee)")
 
 
 def price_flights(
@@ -69,7 +64,7 @@ def price_flights(
     return with_each_class(priced, classes).select(
         "flight_id",
         "class_id",
-        cabin_capacity(F.col("class_id")).alias("capacity"),
+        cabin_capacity("class_id").alias("capacity"),
         money(F.col("base") + F.col("fee")).alias("price"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.calendar import at_minute, day_number, runs_on
@@ -11,9 +11,9 @@ from wayfare.functions.calendar import at_minute, day_number, runs_on
 _DAY_BITS = 20
 
 
-def flight_id(schedule_id, day):
+def flight_id(schedule_id: str, day: str) -> Column:
     """Collision-free id of one schedule on one day, the same on every run."""
-    return F.shiftleft(schedule_id.cast("bigint"), _DAY_BITS) + day_number(day)
+    return F.shiftleft(F.col(schedule_id).cast("bigint"), _DAY_BITS) + day_number(day)
 
 
 def expand_schedule(schedule: DataFrame, airports: DataFrame) -> DataFrame:
@@ -30,15 +30,15 @@ def expand_schedule(schedule: DataFrame, airports: DataFrame) -> DataFrame:
         .join(known.withColumnRenamed("iata", "departure_airport"), "departure_airport", "left_semi")
         .join(known.withColumnRenamed("iata", "arrival_airport"), "arrival_airport", "left_semi")
         .withColumn("day", F.explode(F.sequence("valid_from", F.date_sub("valid_to", 1))))
-        .filter(runs_on(F.col("days"), F.col("day")))
+        .filter(runs_on("days", "day"))
     )
-    next_day = (F.col("arrival_min") < F.col("departure_min")).cast("int")
+    arrival_day = "date_add(day, cast(arrival_min < departure_min as int))"
     return days.select(
-        flight_id(F.col("id"), F.col("day")).alias("id"),
+        flight_id("id", "day").alias("id"),
         "airline",
         "number",
-        at_minute(F.col("day"), F.col("departure_min")).alias("departure_time"),
-        at_minute(F.date_add(F.col("day"), next_day), F.col("arrival_min")).alias("arrival_time"),
+        at_minute("day", "departure_min").alias("departure_time"),
+        at_minute(arrival_day, "arrival_min").alias("arrival_time"),
         "duration",
         "departure_airport",
         "arrival_airport",

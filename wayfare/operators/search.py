@@ -14,9 +14,9 @@ from wayfare.constants import (
     DEFAULT_ORIGIN,
     FORM_DATE_FORMAT,
     MAX_LEGS,
+    MONEY,
 )
-from wayfare.functions.calendar import minutes, time_bucket
-from wayfare.functions.money import money
+from wayfare.functions.calendar import buckets_between, minutes, time_bucket_sql
 from wayfare.operators.ranking import number_within
 
 # What makes two requests share one walk through the timetable.
@@ -59,7 +59,7 @@ def resolve_requests(forms: DataFrame, customers: DataFrame, today: str) -> tupl
         day.cast("timestamp_ntz").alias("dmin"),
         F.date_add(day, 1).cast("timestamp_ntz").alias("dmax"),
         cabin.alias("class_id"),
-        minutes(F.lit(CONNECTION_WAIT_MINUTES)).alias("max_wait"),
+        minutes(CONNECTION_WAIT_MINUTES).alias("max_wait"),
         F.greatest(F.lit(0), F.least(legs, F.lit(MAX_LEGS))).alias("max_legs"),
         F.when(day.isNull(), "departure date")
         .when(legs.isNull(), "number of legs")
@@ -73,9 +73,7 @@ def resolve_requests(forms: DataFrame, customers: DataFrame, today: str) -> tupl
 
 def _normal(requests: DataFrame, leg_limit: int) -> DataFrame:
     """Requests that can match, with the leg limit within 1..leg_limit and no missing wait."""
-    legs = F.greatest(F.lit(1), F.least(F.coalesce(F.col("max_legs"), F.lit(1)), F.lit(leg_limit)))
-    wait = F.greatest(F.coalesce(F.col("max_wait"), minutes(F.lit(0))), minutes(F.lit(0)))
-    return requests.filter(F.col("dmin") <= F.col("dmax")).select(
+    return requests.filter("dmin <= dmax").selectExpr(
         "request_id",
         "airline",
         "origin",
@@ -83,8 +81,8 @@ def _normal(requests: DataFrame, leg_limit: int) -> DataFrame:
         "dmin",
         "dmax",
         "class_id",
-        wait.alias("max_wait"),
-        legs.cast("int").alias("max_legs"),
+        "greatest(coalesce(max_wait, interval '0' minute), interval '0' minute) as max_wait",
+        f"cast(greatest(1, least(coalesce(max_legs, 1), {leg_limit})) as int) as max_legs",
     )
 
 
@@ -93,31 +91,25 @@ def _normal(requests: DataFrame, leg_limit: int) -> DataFrame:
 
 def offers(flights: DataFrame, fares: DataFrame, bucket_minutes: int = BUCKET_MINUTES) -> DataFrame:
     """Flights with one row per fare, placed in departure-time buckets."""
-    prices = fares.select("flight_id", F.col("class_id").alias("o_class_id"), F.col("price").alias("o_price"))
-    return flights.join(prices, flights["id"] == prices["flight_id"]).select(
-        F.col("airline").alias("o_airline"),
-        "o_class_id",
-        F.col("departure_airport").alias("o_from"),
-        time_bucket(F.col("departure_time"), bucket_minutes).alias("o_bucket"),
-        F.col("flight_id").alias("o_id"),
-        F.col("number").alias("o_number"),
-        F.col("departure_time").alias("o_departs"),
-        F.col("arrival_airport").alias("o_to"),
-        F.col("arrival_time").alias("o_arrives"),
-        "o_price",
+    prices = fares.selectExpr("flight_id as o_id", "class_id as o_class_id", "price as o_price")
+    moves = flights.selectExpr(
+        "id as o_id",
+        "airline as o_airline",
+        "number as o_number",
+        "departure_airport as o_from",
+        "departure_time as o_departs",
+        "arrival_airport as o_to",
+        "arrival_time as o_arrives",
+        f"{time_bucket_sql('departure_time', bucket_minutes)} as o_bucket",
     )
+    return moves.join(prices, "o_id")
 
 
-def _leg() -> Column:
-    return F.struct(
-        F.col("o_id").alias("id"),
-        F.col("o_number").alias("number"),
-        F.col("o_from").alias("departure_airport"),
-        F.col("o_departs").alias("departure_time"),
-        F.col("o_to").alias("arrival_airport"),
-        F.col("o_arrives").alias("arrival_time"),
-        F.col("o_price").alias("price"),
-    )
+_LEG = """struct(o_id as id, o_number as number, o_from as departure_airport, o_departs as departure_time,
+    o_to as arrival_airport, o_arrives as arrival_time, o_price as price)"""
+
+# A path's next flight leaves from where the path ends, in one of its waiting buckets.
+_MEETS = "airline = o_airline and class_id = o_class_id and at = o_from and bucket = o_bucket"
 
 
 def _searches(requests: DataFrame) -> DataFrame:
@@ -128,18 +120,8 @@ def _searches(requests: DataFrame) -> DataFrame:
     """
     wanted = requests.groupBy(*SEARCH).agg(F.collect_set("destination").alias("_all"))
     step = DESTINATIONS_PER_LIST
-    lists = F.transform(
-        F.sequence(F.lit(1), F.size("_all"), F.lit(step)), lambda i: F.slice("_all", i, step)
-    )
-    return wanted.filter(F.size("_all") > 0).select(*SEARCH, F.explode(lists).alias("wanted"))
-
-
-def _same_place_and_bucket() -> Column:
-    return (
-        (F.col("airline") == F.col("o_airline"))
-        & (F.col("class_id") == F.col("o_class_id"))
-        & (F.col("at") == F.col("o_from"))
-        & (F.col("bucket") == F.col("o_bucket"))
+    return wanted.filter("size(_all) > 0").selectExpr(
+        *SEARCH, f"explode(transform(sequence(1, size(_all), {step}), i -> slice(_all, i, {step}))) as wanted"
     )
 
 
@@ -148,69 +130,56 @@ def _first_legs(searches: DataFrame, offered: DataFrame, width: int) -> DataFram
     asked = searches.select(
         "*",
         F.col("origin").alias("at"),
-        F.explode(
-            F.sequence(time_bucket(F.col("dmin"), width), time_bucket(F.col("dmax"), width))
-        ).alias("bucket"),
+        F.explode(buckets_between("dmin", "dmax", width)).alias("bucket"),
     )
-    in_window = (F.col("dmin") <= F.col("o_departs")) & (F.col("o_departs") <= F.col("dmax"))
     # With a single leg allowed nothing can follow, so only the wanted arrivals matter.
-    useful = (F.col("max_legs") > 1) | F.array_contains("wanted", F.col("o_to"))
-    return asked.join(offered, _same_place_and_bucket() & in_window & useful).select(
+    matches = f"""{_MEETS} and dmin <= o_departs and o_departs <= dmax
+        and (max_legs > 1 or array_contains(wanted, o_to))"""
+    return asked.join(offered, F.expr(matches)).selectExpr(
         *SEARCH,
         "wanted",
-        F.array("o_from").alias("path"),
-        F.col("o_to").alias("at"),
-        F.col("o_arrives").alias("at_time"),
-        F.array(_leg()).alias("legs"),
-        F.col("o_price").alias("total"),
-    )
-
-
-def _waiting(paths: DataFrame, level: int, width: int) -> DataFrame:
-    """Paths that may grow past ``level``, once per bucket in which a connection can leave."""
-    last = F.col("at_time") + F.col("max_wait")
-    return paths.filter(F.col("max_legs") > level).withColumn(
-        "bucket",
-        F.explode(F.sequence(time_bucket(F.col("at_time"), width), time_bucket(last, width))),
+        "array(o_from) as path",
+        "o_to as at",
+        "o_arrives as at_time",
+        f"array({_LEG}) as legs",
+        "o_price as total",
     )
 
 
 def _grow(paths: DataFrame, offered: DataFrame, level: int, leg_limit: int, width: int) -> DataFrame:
-    """Append one connecting flight to each path that holds ``level`` legs."""
-    waiting = _waiting(paths, level, width)
-    connects = (F.col("at_time") < F.col("o_departs")) & (
-        F.col("o_departs") <= F.col("at_time") + F.col("max_wait")
+    """Append one connecting flight to each path that holds ``level`` legs and may hold more."""
+    # Each path stands once in every bucket its connection can leave in. A flight stands in one
+    # bucket only, so no pair meets twice.
+    waiting = paths.filter(F.col("max_legs") > level).withColumn(
+        "bucket", F.explode(buckets_between("at_time", "(at_time + max_wait)", width))
     )
-    matches = _same_place_and_bucket() & connects
+    matches = f"{_MEETS} and at_time < o_departs and o_departs <= at_time + max_wait"
     if level + 1 == leg_limit:
         # Nothing follows this leg, so the arrival airport becomes part of the join key.
-        waiting = waiting.withColumn("goal", F.explode("wanted")).filter(
-            ~F.array_contains("path", F.col("goal"))
-        )
-        matches = matches & (F.col("goal") == F.col("o_to"))
+        waiting = waiting.withColumn("goal", F.explode("wanted")).filter("not array_contains(path, goal)")
+        matches += " and goal = o_to"
     else:
-        unvisited = ~F.array_contains("path", F.col("o_to"))
-        useful = (F.col("max_legs") > level + 1) | F.array_contains("wanted", F.col("o_to"))
-        matches = matches & unvisited & useful
-    return waiting.join(offered, matches).select(
+        matches += f""" and not array_contains(path, o_to)
+            and (max_legs > {level + 1} or array_contains(wanted, o_to))"""
+    return waiting.join(offered, F.expr(matches)).selectExpr(
         *SEARCH,
         "wanted",
-        F.concat("path", F.array("o_from")).alias("path"),
-        F.col("o_to").alias("at"),
-        F.col("o_arrives").alias("at_time"),
-        F.concat("legs", F.array(_leg())).alias("legs"),
-        money(F.col("total") + F.col("o_price")).alias("total"),
+        "concat(path, array(o_from)) as path",
+        "o_to as at",
+        "o_arrives as at_time",
+        f"concat(legs, array({_LEG})) as legs",
+        f"cast(total + o_price as {MONEY}) as total",
     )
 
 
 def _arrived(paths: DataFrame) -> DataFrame:
-    return paths.filter(F.array_contains("wanted", F.col("at"))).select(
+    return paths.filter("array_contains(wanted, at)").selectExpr(
         *SEARCH,
-        F.col("at").alias("destination"),
-        F.col("legs.id").alias("ids"),
-        F.concat("path", F.array("at")).alias("path"),
-        F.size("legs").alias("total_legs"),
-        F.col("total").alias("total_price"),
+        "at as destination",
+        "legs.id as ids",
+        "concat(path, array(at)) as path",
+        "size(legs) as total_legs",
+        "total as total_price",
         "legs",
     )
 
@@ -281,28 +250,22 @@ def rank_itineraries(itineraries: DataFrame) -> DataFrame:
 
 def itinerary_legs(itineraries: DataFrame) -> DataFrame:
     """One row per leg, numbered from 1, with the flight's details and its own fare."""
-    return itineraries.select(
-        "request_id",
-        "ids",
-        "path",
-        "total_legs",
-        "airline",
-        "total_price",
-        F.posexplode("legs").alias("_position", "_leg"),
-    ).select(
+    return itineraries.selectExpr(
+        "request_id", "ids", "path", "total_legs", "airline", "total_price", "posexplode(legs) as (_at, _leg)"
+    ).selectExpr(
         "request_id",
         "ids",
-        F.col("_leg.id").alias("id"),
+        "_leg.id as id",
         "path",
-        (F.col("_position") + 1).alias("leg"),
+        "_at + 1 as leg",
         "total_legs",
         "airline",
-        F.col("_leg.number").alias("number"),
-        F.col("_leg.departure_airport").alias("departure_airport"),
-        F.col("_leg.departure_time").alias("departure_time"),
-        F.col("_leg.arrival_airport").alias("arrival_airport"),
-        F.col("_leg.arrival_time").alias("arrival_time"),
-        F.col("_leg.price").alias("price"),
+        "_leg.number as number",
+        "_leg.departure_airport as departure_airport",
+        "_leg.departure_time as departure_time",
+        "_leg.arrival_airport as arrival_airport",
+        "_leg.arrival_time as arrival_time",
+        "_leg.price as price",
         "total_price",
     )
 

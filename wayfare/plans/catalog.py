@@ -53,19 +53,19 @@ def airlines(t: StandIn) -> DataFrame:
 
 @_query
 def bit_position_lists(t: StandIn) -> DataFrame:
-    return t.schedule.select("id", F.array_join(bit_positions(F.col("days")), ",").alias("positions"))
+    return t.schedule.select("id", F.array_join(bit_positions("days"), ",").alias("positions"))
 
 
 @_query
 def schedule_expand(t: StandIn) -> DataFrame:
     flights = schedule.expand_schedule(t.schedule, t.airports)
-    return flights.drop("id").withColumn("duration", interval_minutes(F.col("duration")))
+    return flights.drop("id").withColumn("duration", interval_minutes("duration"))
 
 
 @_query
 def schedule_duration_audit(t: StandIn) -> DataFrame:
     found = schedule.duration_audit(schedule.expand_schedule(t.schedule, t.airports))
-    return found.drop("id").withColumn("duration", interval_minutes(F.col("duration")))
+    return found.drop("id").withColumn("duration", interval_minutes("duration"))
 
 
 # -- fares ------------------------------------------------------------------
@@ -122,7 +122,7 @@ def _with_legs(t: StandIn, legs: int) -> DataFrame:
 @_query
 def search_requests(t: StandIn) -> DataFrame:
     good, _ = search.resolve_requests(t.forms, t.accounts, TODAY)
-    return good.withColumn("max_wait", interval_minutes(F.col("max_wait")))
+    return good.withColumn("max_wait", interval_minutes("max_wait"))
 
 
 @_query

@@ -49,6 +49,7 @@ _VIEWS = {
         case class_id when 1 then 48 when 2 then 8 when 3 then 8 when 4 then 4 end capacity,
         cast(cast(round(miles*0.032::double+230,12) as decimal(19,2))+fee as decimal(19,2)) price
         from flight_miles cross join (select id class_id, fee from class) c""",
+    "offer": """select f.*, fc.class_id, fc.price from flight f join flight_class fc on fc.flight_id=f.id""",
     "request": f"""select c_custkey request_id, 'R'||cast(c_custkey%5 as varchar) airline,
         'N'||lpad(cast(c_nationkey as varchar),2,'0') origin,
         'N'||lpad(cast((c_nationkey+1+c_custkey%24)%25 as varchar),2,'0') destination,
@@ -183,26 +184,24 @@ def _paths(requests: str) -> str:
     return f"""recursive walk as (
       select r.request_id, r.class_id, r.airline, r.destination, r.max_legs, [f.id] ids,
         [f.departure_airport] path, 1 leg, f.arrival_airport, f.arrival_time,
-        cast(fc.price as decimal(19,2)) price
-      from {requests} r join flight f on f.airline=r.airline and f.departure_airport=r.origin
-        and r.dmin<=f.departure_time and f.departure_time<=r.dmax
-      join flight_class fc on fc.flight_id=f.id and fc.class_id=r.class_id
+        cast(f.price as decimal(19,2)) price
+      from {requests} r join offer f on f.airline=r.airline and f.departure_airport=r.origin
+        and f.class_id=r.class_id and r.dmin<=f.departure_time and f.departure_time<=r.dmax
       union all
       select w.request_id, w.class_id, w.airline, w.destination, w.max_legs, list_append(w.ids, f.id),
         list_append(w.path, f.departure_airport), w.leg+1, f.arrival_airport, f.arrival_time,
-        cast(w.price+fc.price as decimal(19,2))
-      from walk w join flight f on f.departure_airport=w.arrival_airport and f.airline=w.airline
-        and w.arrival_time<f.departure_time and f.departure_time<=w.arrival_time+interval 2 hour
-      join flight_class fc on fc.flight_id=f.id and fc.class_id=w.class_id
+        cast(w.price+f.price as decimal(19,2))
+      from walk w join offer f on f.departure_airport=w.arrival_airport and f.airline=w.airline
+        and f.class_id=w.class_id and w.arrival_time<f.departure_time
+        and f.departure_time<=w.arrival_time+interval 2 hour
       where w.leg<w.max_legs and not list_contains(w.path, f.arrival_airport)),
     found as (select request_id, class_id, airline, ids, list_append(path, arrival_airport) path,
       leg total_legs, price total_price from walk where arrival_airport=destination),
     found_leg as (select g.request_id, g.class_id, g.ids, g.path, g.total_legs, g.total_price, g.leg,
         f.id, f.airline, f.number, f.departure_airport, f.departure_time, f.arrival_airport, f.arrival_time,
-        fc.price
+        f.price
       from (select found.*, unnest(ids) flight_id, cast(unnest(range(1, len(ids)+1)) as int) leg from found) g
-      join flight f on f.id=g.flight_id
-      join flight_class fc on fc.flight_id=f.id and fc.class_id=g.class_id)"""
+      join offer f on f.id=g.flight_id and f.class_id=g.class_id)"""
 
 
 _SHOWN = """select request_id, array_to_string(ids, ',') ids, array_to_string(path, ',') path, total_legs,
@@ -577,7 +576,9 @@ def oracle_sql() -> dict[str, str]:
         found: dict[str, None] = {}
         _needed(f"{extra} {body}", found)
         recursive = "recursive " in extra
-        items = [f"{name} as ({_VIEWS[name]})" for name in found]
+        # The recursive term reads its tables once per level, so they are worked out first.
+        how = "as materialized" if recursive else "as"
+        items = [f"{name} {how} ({_VIEWS[name]})" for name in found]
         if extra:
             items.append(extra.replace("recursive ", ""))
         keyword = "with recursive" if recursive else "with"

@@ -1,6 +1,6 @@
 """The engine's tables derived from the driver's test tables.
 
-Each function reads the parquet files it needs and shapes them by fixed arithmetic; the same
+Each property reads the parquet files it needs and shapes them by fixed arithmetic; the same
 rules are written as SQL in ``wayfare.plans.oracle``.
 """
 
@@ -8,26 +8,38 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.functions.calendar import minutes
 from wayfare.operators.fares import price_flights
 from wayfare.sources.tables import cabin_classes
 
-START = "timestamp_ntz'2024-01-01 00:00:00'"
+# Columns of the driver tables that are used here.
+_RAW = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "part": "p_partkey bigint, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string",
+}
 
 
-def _node(number: Column) -> Column:
-    return F.concat(F.lit("N"), F.lpad(number.cast("string"), 2, "0"))
+def _node(number: str) -> str:
+    return f"concat('N', lpad(cast({number} as string), 2, '0'))"
 
 
-def _carrier(number: Column) -> Column:
-    return F.concat(F.lit("R"), number.cast("string"))
+def _carrier(number: str) -> str:
+    return f"concat('R', cast({number} as string))"
 
 
-def _at(minute: Column) -> Column:
-    return F.expr(START) + minutes(minute)
+def _minutes(count: str) -> str:
+    return f"make_dt_interval(0, 0, cast({count} as int))"
+
+
+def _at(minute: str) -> str:
+    return f"timestamp_ntz'2024-01-01 00:00:00' + {_minutes(minute)}"
 
 
 class StandIn:
@@ -38,7 +50,7 @@ class StandIn:
         self.folder = folder.rstrip("/")
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        return self.spark.read.schema(_RAW[table]).parquet(f"{self.folder}/{table}.parquet")
 
     @cached_property
     def customers(self) -> int:
@@ -50,55 +62,50 @@ class StandIn:
 
     @property
     def airports(self) -> DataFrame:
-        key = F.col("n_nationkey")
-        return self.raw("nation").select(
-            _node(key).alias("iata"),
-            F.col("n_name").alias("name"),
-            (25 + (key * 7) % 40).cast("double").alias("lat"),
-            (-70 - (key * 13) % 60).cast("double").alias("long"),
+        return self.raw("nation").selectExpr(
+            f"{_node('n_nationkey')} as iata",
+            "n_name as name",
+            "cast(25 + (n_nationkey * 7) % 40 as double) as lat",
+            "cast(-70 - (n_nationkey * 13) % 60 as double) as long",
         )
 
     @property
     def airlines(self) -> DataFrame:
-        return self.raw("region").select(
-            _carrier(F.col("r_regionkey")).alias("callsign"), F.col("r_name").alias("name")
-        )
+        return self.raw("region").selectExpr(f"{_carrier('r_regionkey')} as callsign", "r_name as name")
 
     @property
     def schedule(self) -> DataFrame:
-        key = F.col("p_partkey")
-        start = F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size").cast("int"))
-        flown = 45 + (key * 11) % 300
-        return self.raw("part").select(
-            key.alias("id"),
-            _carrier(key % 5).alias("airline"),
-            (key % 9000 + 100).cast("int").alias("number"),
-            start.alias("valid_from"),
-            F.date_add(start, (key % 21).cast("int")).alias("valid_to"),
-            _node(key % 25).alias("departure_airport"),
-            ((key * 37) % 1440).cast("int").alias("departure_min"),
-            _node((key * 7 + 3) % 27).alias("arrival_airport"),
-            ((key * 37 + flown) % 1440).cast("int").alias("arrival_min"),
-            F.lpad(F.bin(key % 128), 7, "0").alias("days"),
-            F.lit(1).alias("leg"),
+        start = "date_add(date'2024-01-01', p_size)"
+        flown = "45 + (p_partkey * 11) % 300"
+        return self.raw("part").selectExpr(
+            "p_partkey as id",
+            f"{_carrier('p_partkey % 5')} as airline",
+            "cast(p_partkey % 9000 + 100 as int) as number",
+            f"{start} as valid_from",
+            f"date_add({start}, cast(p_partkey % 21 as int)) as valid_to",
+            f"{_node('p_partkey % 25')} as departure_airport",
+            "cast((p_partkey * 37) % 1440 as int) as departure_min",
+            f"{_node('(p_partkey * 7 + 3) % 27')} as arrival_airport",
+            f"cast((p_partkey * 37 + {flown}) % 1440 as int) as arrival_min",
+            "lpad(bin(p_partkey % 128), 7, '0') as days",
+            "1 as leg",
             # Every tenth entry states a duration its clock times do not bear out.
-            minutes(flown + F.when(key % 10 == 0, 800).otherwise(0)).alias("duration"),
+            f"{_minutes(f'{flown} + if(p_partkey % 10 = 0, 800, 0)')} as duration",
         )
 
     @property
     def flights(self) -> DataFrame:
-        key, start = F.col("o_orderkey"), F.col("o_custkey") % 25
-        leaves = (key * 7919) % 43200
-        flown = 60 + (key * 31) % 240
-        return self.raw("orders").select(
-            key.alias("id"),
-            _carrier(key % 5).alias("airline"),
-            (key % 9000 + 100).cast("int").alias("number"),
-            _at(leaves).alias("departure_time"),
-            _at(leaves + flown).alias("arrival_time"),
-            minutes(flown).alias("duration"),
-            _node(start).alias("departure_airport"),
-            _node((start + 1 + F.floor(key / 5) % 24) % 25).alias("arrival_airport"),
+        leaves = "(o_orderkey * 7919) % 43200"
+        flown = "60 + (o_orderkey * 31) % 240"
+        return self.raw("orders").selectExpr(
+            "o_orderkey as id",
+            f"{_carrier('o_orderkey % 5')} as airline",
+            "cast(o_orderkey % 9000 + 100 as int) as number",
+            f"{_at(leaves)} as departure_time",
+            f"{_at(f'{leaves} + {flown}')} as arrival_time",
+            f"{_minutes(flown)} as duration",
+            f"{_node('o_custkey % 25')} as departure_airport",
+            f"{_node('(o_custkey % 25 + 1 + (o_orderkey div 5) % 24) % 25')} as arrival_airport",
         )
 
     @property
@@ -107,282 +114,236 @@ class StandIn:
 
     @property
     def requests(self) -> DataFrame:
-        key = F.col("c_custkey")
-        day = _at((key % 30) * 1440)
-        return self.raw("customer").select(
-            key.alias("request_id"),
-            _carrier(key % 5).alias("airline"),
-            _node(F.col("c_nationkey")).alias("origin"),
-            _node((F.col("c_nationkey") + 1 + key % 24) % 25).alias("destination"),
-            day.alias("dmin"),
-            (day + minutes(F.lit(1440))).alias("dmax"),
-            (1 + key % 4).cast("int").alias("class_id"),
-            minutes(F.lit(120)).alias("max_wait"),
-            F.lit(3).alias("max_legs"),
+        return self.raw("customer").selectExpr(
+            "c_custkey as request_id",
+            f"{_carrier('c_custkey % 5')} as airline",
+            f"{_node('c_nationkey')} as origin",
+            f"{_node('(c_nationkey + 1 + c_custkey % 24) % 25')} as destination",
+            f"{_at('c_custkey % 30 * 1440')} as dmin",
+            f"{_at('c_custkey % 30 * 1440 + 1440')} as dmax",
+            "cast(1 + c_custkey % 4 as int) as class_id",
+            f"{_minutes('120')} as max_wait",
+            "3 as max_legs",
         )
 
     @property
     def forms(self) -> DataFrame:
         """Search forms: some fields missing, some dates and numbers unreadable."""
-        key = F.col("c_custkey")
-        date = F.date_add(F.lit("2024-01-01").cast("date"), (key % 30).cast("int"))
-        text = F.concat_ws(
-            "/",
-            F.month(date).cast("string"),
-            F.lpad(F.dayofmonth(date).cast("string"), 2, "0"),
-            F.year(date).cast("string"),
-        )
-        return self.raw("customer").select(
-            key.alias("request_id"),
-            F.when(key % 13 != 0, key).alias("customer_id"),
-            F.when(key % 6 != 0, _carrier(key % 5)).alias("airline"),
-            F.when(key % 3 != 0, _node(key % 25)).alias("from_airport"),
-            F.when(key % 4 != 0, _node((key + 7) % 25)).alias("to_airport"),
-            F.when(key % 19 == 0, "soon").when(key % 5 != 0, text).alias("dep_date"),
-            F.when(key % 7 != 0, (1 + key % 4).cast("string")).alias("class_id"),
-            F.when(key % 23 == 0, "any").when(key % 8 != 0, (key % 9 - 2).cast("string")).alias("max_legs"),
+        return self.raw("customer").selectExpr(
+            "c_custkey as request_id",
+            "if(c_custkey % 13 <> 0, c_custkey, null) as customer_id",
+            f"if(c_custkey % 6 <> 0, {_carrier('c_custkey % 5')}, null) as airline",
+            f"if(c_custkey % 3 <> 0, {_node('c_custkey % 25')}, null) as from_airport",
+            f"if(c_custkey % 4 <> 0, {_node('(c_custkey + 7) % 25')}, null) as to_airport",
+            """case when c_custkey % 19 = 0 then 'soon' when c_custkey % 5 <> 0
+                then concat('1/', lpad(cast(1 + c_custkey % 30 as string), 2, '0'), '/2024') end as dep_date""",
+            "if(c_custkey % 7 <> 0, cast(1 + c_custkey % 4 as string), null) as class_id",
+            """case when c_custkey % 23 = 0 then 'any'
+                when c_custkey % 8 <> 0 then cast(c_custkey % 9 - 2 as string) end as max_legs""",
         )
 
     @property
     def cart_events(self) -> DataFrame:
-        kind = F.col("event_type")
-        action = (
-            F.when(kind.isin("click", "view"), "add")
-            .when(kind == "error", "remove")
-            .when(kind == "signup", "clear")
-            .otherwise("checkout")
-        )
-        return self.raw("events").select(
-            F.col("event_id").alias("seq"),
+        return self.raw("events").selectExpr(
+            "event_id as seq",
             "ts",
-            F.col("user_id").alias("customer_id"),
-            action.alias("action"),
-            (F.col("event_id") % 8).alias("flight_id"),
-            (1 + F.col("event_id") % 2).cast("int").alias("class_id"),
+            "user_id as customer_id",
+            """case event_type when 'click' then 'add' when 'view' then 'add' when 'error' then 'remove'
+                when 'signup' then 'clear' else 'checkout' end as action""",
+            "event_id % 8 as flight_id",
+            "cast(1 + event_id % 2 as int) as class_id",
         )
 
     @property
-    def _orders_lines(self) -> DataFrame:
-        orders = self.raw("orders").select("o_orderkey", "o_custkey")
-        return self.raw("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    def _order_lines(self) -> DataFrame:
+        return self.raw("lineitem").join(
+            self.raw("orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey"
+        )
 
     @property
     def carts(self) -> DataFrame:
         # An order has a handful of lines, so this window never meets a large group.
-        place = Window.partitionBy("l_orderkey").orderBy(
-            "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
-        )
-        return self._orders_lines.filter(F.col("l_orderkey") % 10 == 0).select(
-            F.col("l_orderkey").alias("cart_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.row_number().over(place).cast("bigint").alias("seq"),
-            F.when(F.col("l_quantity") >= 49, F.lit(-1)).otherwise(F.col("l_partkey")).alias("flight_id"),
-            (1 + F.col("l_linenumber") % 4).cast("int").alias("class_id"),
-            F.col("o_custkey").alias("paid_with"),
+        return self._order_lines.filter("l_orderkey % 10 = 0").selectExpr(
+            "l_orderkey as cart_id",
+            "o_custkey as customer_id",
+            """cast(row_number() over (partition by l_orderkey
+                order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as bigint) as seq""",
+            "if(l_quantity >= 49, -1, l_partkey) as flight_id",
+            "cast(1 + l_linenumber % 4 as int) as class_id",
+            "o_custkey as paid_with",
         )
 
     @property
     def tickets(self) -> DataFrame:
-        lines = self._orders_lines.filter(F.col("l_orderkey") % 10 != 0)
-        return (
-            lines.groupBy("l_orderkey", "l_linenumber")
-            .agg(
-                F.max("l_extendedprice").alias("paid"),
-                F.min("l_partkey").alias("flight"),
-                F.min("o_custkey").alias("customer_id"),
-            )
-            .select(
-                (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-                F.round(F.col("paid") / 100, 2).cast("decimal(19,2)").alias("price"),
-                F.lit(0).alias("leg"),
-                "flight",
-                "customer_id",
-                F.col("customer_id").alias("paid_with"),
-                (1 + F.col("l_linenumber") % 4).cast("int").alias("class_id"),
-            )
+        lines = self._order_lines.filter("l_orderkey % 10 <> 0").groupBy("l_orderkey", "l_linenumber")
+        return lines.agg({"l_extendedprice": "max", "l_partkey": "min", "o_custkey": "min"}).selectExpr(
+            "l_orderkey * 10 + l_linenumber as id",
+            "cast(round(`max(l_extendedprice)` / 100, 2) as decimal(19,2)) as price",
+            "0 as leg",
+            "`min(l_partkey)` as flight",
+            "`min(o_custkey)` as customer_id",
+            "`min(o_custkey)` as paid_with",
+            "cast(1 + l_linenumber % 4 as int) as class_id",
         )
 
     @property
     def addresses(self) -> DataFrame:
-        key = F.col("c_custkey")
-        nations = self.raw("nation").select("n_nationkey", "n_name")
+        nations = self.raw("nation").withColumnRenamed("n_nationkey", "c_nationkey")
         return (
             self.raw("customer")
-            .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-            .select(
-                key.alias("id"),
-                F.concat("c_name", F.lit(" St")).alias("line_1"),
-                F.when(key % 3 == 0, F.concat(F.lit("Suite "), (key % 90).cast("string")))
-                .otherwise("")
-                .alias("line_2"),
-                F.col("c_mktsegment").alias("city"),
-                F.when(key % 5 != 0, F.concat(F.lit("P"), (key % 10).cast("string"))).alias("province"),
-                F.lpad(key.cast("string"), 5, "0").alias("postal_code"),
-                F.col("n_name").alias("country"),
+            .join(nations, "c_nationkey")
+            .selectExpr(
+                "c_custkey as id",
+                "concat(c_name, ' St') as line_1",
+                "if(c_custkey % 3 = 0, concat('Suite ', cast(c_custkey % 90 as string)), '') as line_2",
+                "c_mktsegment as city",
+                "if(c_custkey % 5 <> 0, concat('P', cast(c_custkey % 10 as string)), null) as province",
+                "lpad(cast(c_custkey as string), 5, '0') as postal_code",
+                "n_name as country",
             )
         )
 
     @property
     def accounts(self) -> DataFrame:
-        key = F.col("c_custkey")
-        return self.raw("customer").select(
-            key.alias("id"),
-            F.col("c_name").alias("name"),
-            F.concat("c_name", F.lit("@Example.com")).alias("email"),
-            F.when(key % 7 != 0, key).alias("primary_payment_id"),
-            key.alias("primary_address_id"),
-            _node(F.col("c_nationkey")).alias("primary_airport_id"),
+        return self.raw("customer").selectExpr(
+            "c_custkey as id",
+            "c_name as name",
+            "concat(c_name, '@Example.com') as email",
+            "if(c_custkey % 7 <> 0, c_custkey, null) as primary_payment_id",
+            "c_custkey as primary_address_id",
+            f"{_node('c_nationkey')} as primary_airport_id",
         )
 
     @property
     def address_links(self) -> DataFrame:
-        key = F.col("c_custkey")
         customers = self.raw("customer")
-        own = customers.select(key.alias("customer_id"), key.alias("address_id"))
-        shared = customers.filter(key % 2 == 0).select(
-            key.alias("customer_id"), ((key + 1) % self.customers).alias("address_id")
+        own = customers.selectExpr("c_custkey as customer_id", "c_custkey as address_id")
+        shared = customers.filter("c_custkey % 2 = 0").selectExpr(
+            "c_custkey as customer_id", f"(c_custkey + 1) % {self.customers} as address_id"
         )
         return own.unionByName(shared)
 
     @property
     def payments(self) -> DataFrame:
-        key = F.col("c_custkey")
-        return self.raw("customer").select(
-            key.alias("id"),
-            key.alias("customer_id"),
-            F.make_date((2025 + key % 5).cast("int"), (1 + key % 12).cast("int"), F.lit(1)).alias("exp"),
-            F.col("c_name").alias("card_holder"),
-            F.concat(F.lit("Visa "), F.lpad((key % 10000).cast("string"), 4, "0")).alias("display_name"),
-            key.alias("billing_address"),
+        return self.raw("customer").selectExpr(
+            "c_custkey as id",
+            "c_custkey as customer_id",
+            "make_date(cast(2025 + c_custkey % 5 as int), cast(1 + c_custkey % 12 as int), 1) as exp",
+            "c_name as card_holder",
+            "concat('Visa ', lpad(cast(c_custkey % 10000 as string), 4, '0')) as display_name",
+            "c_custkey as billing_address",
         )
 
     @property
     def account_changes(self) -> DataFrame:
-        kind = F.col("event_type")
-        action = (
-            F.when(kind == "view", "add_address")
-            .when(kind == "error", "remove_address")
-            .when(kind == "click", "set_primary_address")
-            .when(kind == "purchase", "set_primary_payment")
-            .otherwise("add_payment")
-        )
-        return self.raw("events").select(
-            F.col("event_id").alias("seq"),
-            F.col("user_id").alias("customer_id"),
-            action.alias("action"),
-            (F.col("event_id") % self.customers).alias("target_id"),
+        return self.raw("events").selectExpr(
+            "event_id as seq",
+            "user_id as customer_id",
+            """case event_type when 'view' then 'add_address' when 'error' then 'remove_address'
+                when 'click' then 'set_primary_address' when 'purchase' then 'set_primary_payment'
+                else 'add_payment' end as action""",
+            f"event_id % {self.customers} as target_id",
         )
 
     @property
     def payment_forms(self) -> DataFrame:
         """Payment forms from sign-ups; the card numbers are made up from the event number."""
-        key = F.col("event_id")
-        return self.raw("events").filter(F.col("event_type") == "signup").select(
-            key.alias("payment_id"),
-            F.col("user_id").alias("customer_id"),
-            F.lpad(((key * 7919) % 10000000).cast("string"), 16, "0").alias("card_number"),
-            F.when(key % 17 == 0, "soon").otherwise((2025 + key % 6).cast("string")).alias("exp_year"),
-            F.when(key % 29 == 0, "x").otherwise((key % 14).cast("string")).alias("exp_month"),
-            F.concat(F.lit("Holder "), F.col("user_id").cast("string")).alias("card_holder"),
-            (key % self.customers).alias("address_id"),
+        return self.raw("events").filter("event_type = 'signup'").selectExpr(
+            "event_id as payment_id",
+            "user_id as customer_id",
+            "lpad(cast((event_id * 7919) % 10000000 as string), 16, '0') as card_number",
+            "if(event_id % 17 = 0, 'soon', cast(2025 + event_id % 6 as string)) as exp_year",
+            "if(event_id % 29 = 0, 'x', cast(event_id % 14 as string)) as exp_month",
+            "concat('Holder ', cast(user_id as string)) as card_holder",
+            f"event_id % {self.customers} as address_id",
         )
 
     @property
     def payment_removals(self) -> DataFrame:
         """Removals of own payment methods and attempts on other customers' ones."""
-        key = F.col("event_id")
-        return self.raw("events").filter(F.col("event_type") == "error").select(
-            key.alias("seq"),
-            F.col("user_id").alias("customer_id"),
-            F.lit("remove_payment").alias("action"),
-            F.when(key % 2 == 0, F.col("user_id")).otherwise(key % self.customers).alias("target_id"),
+        return self.raw("events").filter("event_type = 'error'").selectExpr(
+            "event_id as seq",
+            "user_id as customer_id",
+            "'remove_payment' as action",
+            f"if(event_id % 2 = 0, user_id, event_id % {self.customers}) as target_id",
         )
 
     @property
     def registrations(self) -> DataFrame:
         """Registration forms; homes N25 and N26 are not airports."""
-        key = F.col("c_custkey")
-        return self.raw("customer").select(
-            (1000000000 + key).alias("customer_id"),
-            (2000000000 + key).alias("address_id"),
-            F.col("c_name").alias("name"),
-            F.concat(F.lower("c_name"), F.lit("@example.org")).alias("email"),
-            F.concat(F.lit("Unit "), (key % 500).cast("string")).alias("addr"),
-            F.col("c_mktsegment").alias("city"),
-            F.concat(F.lit("P"), (key % 10).cast("string")).alias("province"),
-            F.lpad(key.cast("string"), 5, "0").alias("post"),
-            _node(F.col("c_nationkey")).alias("country"),
-            _node(key % 27).alias("home"),
+        return self.raw("customer").selectExpr(
+            "1000000000 + c_custkey as customer_id",
+            "2000000000 + c_custkey as address_id",
+            "c_name as name",
+            "concat(lower(c_name), '@example.org') as email",
+            "concat('Unit ', cast(c_custkey % 500 as string)) as addr",
+            "c_mktsegment as city",
+            "concat('P', cast(c_custkey % 10 as string)) as province",
+            "lpad(cast(c_custkey as string), 5, '0') as post",
+            f"{_node('c_nationkey')} as country",
+            f"{_node('c_custkey % 27')} as home",
         )
 
     @property
     def address_forms(self) -> DataFrame:
         """New-address forms, every third one without a second line."""
-        key = F.col("c_custkey")
-        return self.raw("customer").select(
-            key.alias("customer_id"),
-            (3000000000 + key).alias("address_id"),
-            F.concat(F.lit("Dock "), (key % 700).cast("string")).alias("line1"),
-            F.when(key % 3 != 0, F.concat(F.lit("Floor "), (key % 40).cast("string"))).alias("line2"),
-            F.col("c_mktsegment").alias("city"),
-            F.concat(F.lit("P"), (key % 10).cast("string")).alias("province"),
-            F.lpad(key.cast("string"), 5, "0").alias("post"),
-            _node(F.col("c_nationkey")).alias("country"),
+        return self.raw("customer").selectExpr(
+            "c_custkey as customer_id",
+            "3000000000 + c_custkey as address_id",
+            "concat('Dock ', cast(c_custkey % 700 as string)) as line1",
+            "if(c_custkey % 3 <> 0, concat('Floor ', cast(c_custkey % 40 as string)), null) as line2",
+            "c_mktsegment as city",
+            "concat('P', cast(c_custkey % 10 as string)) as province",
+            "lpad(cast(c_custkey as string), 5, '0') as post",
+            f"{_node('c_nationkey')} as country",
         )
 
     @property
     def tags(self) -> DataFrame:
         """Booking tags, two flights each; every ninth has its class quoted, some are broken."""
-        key = F.col("o_orderkey")
-        cabin = (1 + key % 4).cast("string")
-        quoted = F.when(key % 9 == 0, F.concat(F.lit('"'), cabin, F.lit('"'))).otherwise(cabin)
-
-        def pair(number: Column) -> Column:
-            return F.concat(F.lit("["), number.cast("string"), F.lit(", "), quoted, F.lit("]"))
-
-        whole = F.concat(F.lit("["), pair(key), F.lit(", "), pair(key + 1), F.lit("]"))
-        return self.raw("orders").select(
-            key.alias("cart_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.when(key % 31 == 0, F.concat(F.lit("[["), key.cast("string"), F.lit("]]")))
-            .when(key % 37 == 0, "none")
-            .otherwise(whole)
-            .alias("tag"),
+        cabin = "1 + o_orderkey % 4"
+        quoted = f"""if(o_orderkey % 9 = 0, concat('"', {cabin}, '"'), cast({cabin} as string))"""
+        return self.raw("orders").selectExpr(
+            "o_orderkey as cart_id",
+            "o_custkey as customer_id",
+            f"""case when o_orderkey % 31 = 0 then concat('[[', o_orderkey, ']]')
+                when o_orderkey % 37 = 0 then 'none'
+                else concat('[[', o_orderkey, ', ', {quoted}, '], [', o_orderkey + 1, ', ', {quoted}, ']]')
+                end as tag""",
         )
 
     @property
     def dirty_tables(self) -> dict[str, DataFrame]:
         """The tables with faults worked in for the integrity checks."""
-        key = F.col("c_custkey")
-        customers = self.raw("customer").select(
-            F.when(key % 50 == 0, F.abs(key - 1)).otherwise(key).alias("id"),
-            F.when(key % 41 != 0, F.col("c_name")).alias("name"),
-            F.concat("c_name", F.lit("@Example.com")).alias("email"),
-            F.when(key % 7 != 0, key).alias("primary_payment_id"),
-            key.alias("primary_address_id"),
-            F.when(key % 100 == 0, "N7").otherwise(_node(key % 27)).alias("primary_airport_id"),
+        customers = self.raw("customer").selectExpr(
+            "if(c_custkey % 50 = 0, abs(c_custkey - 1), c_custkey) as id",
+            "if(c_custkey % 41 <> 0, c_name, null) as name",
+            "concat(c_name, '@Example.com') as email",
+            "if(c_custkey % 7 <> 0, c_custkey, null) as primary_payment_id",
+            "c_custkey as primary_address_id",
+            f"if(c_custkey % 100 = 0, 'N7', {_node('c_custkey % 27')}) as primary_airport_id",
+        )
+        refund = self.raw("region").filter("r_regionkey = 0").selectExpr(
+            "9 as id", "r_name as display_name", "cast(-1 as decimal(19,2)) as fee"
         )
-        unpaid = self.raw("region").filter(F.col("r_regionkey") == 0).select(
-            F.lit(9).alias("id"), F.col("r_name").alias("display_name"),
-            F.lit("-1.00").cast("decimal(19,2)").alias("fee"),
+        repeated = self.schedule.filter("id % 97 = 0").selectExpr("* except (id)", "id + 1000000000 as id")
+        payments = self.payments.selectExpr(
+            "* except (billing_address)", "if(id % 43 <> 0, billing_address, null) as billing_address"
         )
-        again = self.schedule.filter(F.col("id") % 97 == 0)
         return {
             "customer": customers,
-            "address": self.addresses.filter(F.col("id") % 60 != 0),
+            "address": self.addresses.filter("id % 60 <> 0"),
             "airport": self.airports,
-            "airline": self.airlines.filter(F.col("callsign") != "R4"),
+            "airline": self.airlines.filter("callsign <> 'R4'"),
             "flight": self.flights,
-            "flight_schedule": self.schedule.unionByName(again.withColumn("id", F.col("id") + 1000000000)),
-            "class": self.classes.unionByName(unpaid),
-            "payment_method": self.payments.withColumn(
-                "billing_address", F.when(F.col("id") % 43 != 0, F.col("billing_address"))
-            ),
-            "ticket": self.tickets.withColumn(
-                "class_id", F.when(F.col("id") % 500 == 0, F.lit(7)).otherwise(F.col("class_id"))
+            "flight_schedule": self.schedule.unionByName(repeated),
+            "class": self.classes.unionByName(refund),
+            "payment_method": payments,
+            "ticket": self.tickets.selectExpr(
+                "* except (class_id)", "if(id % 500 = 0, 7, class_id) as class_id"
             ),
-            "flight_class": self.fares.filter(F.col("class_id") < 3).withColumn(
-                "capacity", F.when(F.col("flight_id") % 90 != 0, F.col("capacity"))
+            "flight_class": self.fares.filter("class_id < 3").selectExpr(
+                "* except (capacity)", "if(flight_id % 90 <> 0, capacity, null) as capacity"
             ),
             "customer_address": self.address_links,
         }
