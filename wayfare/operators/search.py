@@ -111,6 +111,9 @@ _LEG = """struct(o_id as id, o_number as number, o_from as departure_airport, o_
 # A path's next flight leaves from where the path ends, in one of its waiting buckets.
 _MEETS = "airline = o_airline and class_id = o_class_id and at = o_from and bucket = o_bucket"
 
+# Buckets from here down are before any calendar date and mark finished paths.
+_FINISHED = -2_000_000_000
+
 
 def _searches(requests: DataFrame) -> DataFrame:
     """Distinct searches, each with the destinations asked of it in short lists.
@@ -143,37 +146,64 @@ def _first_legs(searches: DataFrame, offered: DataFrame, width: int) -> DataFram
         "o_arrives as at_time",
         f"array({_LEG}) as legs",
         "o_price as total",
+        "false as finished",
     )
 
 
-def _grow(paths: DataFrame, offered: DataFrame, level: int, leg_limit: int, width: int) -> DataFrame:
-    """Append one connecting flight to each path that holds ``level`` legs and may hold more."""
-    # Each path stands once in every bucket its connection can leave in. A flight stands in one
-    # bucket only, so no pair meets twice.
-    waiting = paths.filter(F.col("max_legs") > level).withColumn(
-        "bucket", F.explode(buckets_between("at_time", "(at_time + max_wait)", width))
+def _branches(paths: DataFrame, level: int, width: int) -> DataFrame:
+    """Each path once as finished, if it is where it was wanted, and once per bucket in which a
+    connection can leave, if it may hold more than ``level`` legs.
+
+    A flight stands in one bucket only, so no pair meets twice. Finished paths get a bucket no
+    flight is in, spread over many values so that they do not pile up in one partition.
+    """
+    finished = f"array({_FINISHED} - cast(pmod(xxhash64(legs[0].id), 100000) as int))"
+    waiting = (
+        f"sequence({time_bucket_sql('at_time', width)}, {time_bucket_sql('(at_time + max_wait)', width)})"
     )
+    return paths.selectExpr(
+        "* except (finished)",
+        f"""explode(concat(
+            if(finished or array_contains(wanted, at), {finished}, cast(array() as array<int>)),
+            if(not finished and max_legs > {level}, {waiting}, cast(array() as array<int>)))) as bucket""",
+    ).withColumn("finished", F.col("bucket") <= _FINISHED)
+
+
+def _grow(paths: DataFrame, offered: DataFrame, level: int, leg_limit: int, width: int) -> DataFrame:
+    """Append one connecting flight to each unfinished path of ``level`` legs.
+
+    The left join lets finished paths through, so every level is computed once although it
+    yields both results and the paths of the next level.
+    """
+    branches = _branches(paths, level, width)
     matches = f"{_MEETS} and at_time < o_departs and o_departs <= at_time + max_wait"
     if level + 1 == leg_limit:
         # Nothing follows this leg, so the arrival airport becomes part of the join key.
-        waiting = waiting.withColumn("goal", F.explode("wanted")).filter("not array_contains(path, goal)")
+        branches = branches.withColumn("goal", F.expr("explode(if(finished, array(at), wanted))")).filter(
+            "finished or not array_contains(path, goal)"
+        )
         matches += " and goal = o_to"
     else:
         matches += f""" and not array_contains(path, o_to)
             and (max_legs > {level + 1} or array_contains(wanted, o_to))"""
-    return waiting.join(offered, F.expr(matches)).selectExpr(
-        *SEARCH,
-        "wanted",
-        "concat(path, array(o_from)) as path",
-        "o_to as at",
-        "o_arrives as at_time",
-        f"concat(legs, array({_LEG})) as legs",
-        f"cast(total + o_price as {MONEY}) as total",
+    return (
+        branches.join(offered, F.expr(matches), "left")
+        .filter("finished or o_id is not null")
+        .selectExpr(
+            *SEARCH,
+            "wanted",
+            "if(finished, path, concat(path, array(o_from))) as path",
+            "if(finished, at, o_to) as at",
+            "if(finished, at_time, o_arrives) as at_time",
+            f"if(finished, legs, concat(legs, array({_LEG}))) as legs",
+            f"if(finished, total, cast(total + o_price as {MONEY})) as total",
+            "finished",
+        )
     )
 
 
 def _arrived(paths: DataFrame) -> DataFrame:
-    return paths.filter("array_contains(wanted, at)").selectExpr(
+    return paths.filter("finished or array_contains(wanted, at)").selectExpr(
         *SEARCH,
         "at as destination",
         "legs.id as ids",
@@ -194,15 +224,13 @@ def search_trips(
     """Itineraries of every distinct trip asked for; requests for the same trip share the work.
 
     Each level is one equi join on airline, class, airport and time bucket with the exact time
-    bounds as a join condition. Levels one and two read the same shuffle of the offers.
+    bounds as a join condition.
     """
     offered = offers(flights, fares, bucket_minutes)
     paths = _first_legs(_searches(_normal(requests, leg_limit)), offered, bucket_minutes)
-    found = _arrived(paths)
     for level in range(1, leg_limit):
         paths = _grow(paths, offered, level, leg_limit, bucket_minutes)
-        found = found.unionByName(_arrived(paths))
-    return found
+    return _arrived(paths)
 
 
 def answer_requests(requests: DataFrame, trips: DataFrame, leg_limit: int = MAX_LEGS) -> DataFrame:
