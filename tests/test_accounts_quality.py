@@ -1,0 +1,254 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import usd
+from tests.helpers import tuples
+from wayfare.operators import accounts, changes, quality
+
+LOG = "seq bigint, customer_id bigint, action string, target_id bigint"
+
+
+def log(spark, *rows):
+    return spark.createDataFrame(rows, LOG)
+
+
+@pytest.fixture
+def customers(make):
+    return make(
+        "customer",
+        [
+            {"id": 1, "name": "Ann", "email": "Ann_B@x.org", "primary_address_id": 10, "primary_airport_id": "AAA"},
+            {"id": 2, "name": "Bo", "email": "annxb@x.org", "primary_payment_id": 5, "primary_airport_id": "AAA"},
+            {"id": 3, "name": "Cy", "email": "ANN_B@X.ORG", "primary_airport_id": "AAA"},
+        ],
+    )
+
+
+# -- lookups -----------------------------------------------------------------
+
+
+def test_email_matching(spark, customers):
+    wanted = spark.createDataFrame([("ann_b@x.org",), ("%B@x.org",), ("bo@x.org",)], "email string")
+    assert tuples(accounts.customers_by_email(wanted, customers), "wanted_email", "id") == [
+        ("ann_b@x.org", 1), ("ann_b@x.org", 3),
+    ]
+    assert tuples(accounts.customers_by_email(wanted, customers, "pattern"), "wanted_email", "id") == [
+        ("%B@x.org", 1), ("%B@x.org", 2), ("%B@x.org", 3),
+        ("ann_b@x.org", 1), ("ann_b@x.org", 2), ("ann_b@x.org", 3),
+    ]
+    assert tuples(accounts.duplicate_emails(customers), "email", "customers") == [("ann_b@x.org", 2)]
+    with pytest.raises(ValueError):
+        accounts.customers_by_email(wanted, customers, "other")
+
+
+def test_address_lists_keep_links_to_missing_addresses(make, customers):
+    links = make("customer_address", [{"customer_id": 1, "address_id": a} for a in (10, 11)])
+    addresses = make(
+        "address",
+        [
+            {"id": 10, "line_1": "1 Road", "line_2": "", "city": "Town", "postal_code": "9", "country": "US"},
+            {"id": 12, "line_1": "unlinked", "line_2": "", "city": "Town", "country": "US"},
+        ],
+    )
+    book = accounts.address_book(customers, links, addresses)
+    assert tuples(book, "customer_id", "id", "line_1", "is_primary", "label") == [
+        (1, 10, "1 Road", True, "1 Road , Town,  9 US"),
+        (1, 11, None, False, " , ,   "),
+    ]
+    shown = accounts.checkout_addresses(customers, links, addresses)
+    assert tuples(shown, "address_id", "address_key", "is_primary") == [(10, 10, True), (11, None, False)]
+
+
+def test_payment_methods_flag_the_primary(make, customers):
+    payments = make("payment_method", [{"id": i, "customer_id": 2, "display_name": "Visa 1111"} for i in (5, 6)])
+    out = accounts.payment_methods(customers, payments)
+    assert tuples(out, "customer_id", "id", "is_primary") == [(2, 5, True), (2, 6, False)]
+    assert "card_number" not in payments.columns
+
+
+# -- changes -----------------------------------------------------------------
+
+
+def test_newest_link_change_wins(spark, make):
+    links = make("customer_address", [{"customer_id": 1, "address_id": a} for a in (10, 11, 12)])
+    changed = log(
+        spark,
+        (5, 1, "remove_address", 10),
+        (4, 1, "add_address", 10),
+        (6, 1, "remove_address", 11),
+        (7, 1, "add_address", 11),
+        (8, 1, "add_address", 12),
+        (9, 2, "remove_address", 12),
+        (9, 2, "add_address", 13),
+        (1, 1, "set_primary_address", 99),
+    )
+    expected = [(1, 11), (1, 12), (2, 13)]
+    once = changes.apply_address_links(links, changed)
+    assert tuples(once, "customer_id", "address_id") == expected
+    twice = changes.apply_address_links(once, changed.unionByName(changed))
+    assert tuples(twice, "customer_id", "address_id") == expected
+
+
+def test_primaries_are_last_write_wins(spark, customers):
+    changed = log(
+        spark,
+        (3, 1, "set_primary_address", 31),
+        (2, 1, "set_primary_address", 30),
+        (4, 2, "set_primary_payment", None),
+        (1, 9, "set_primary_payment", 1),
+    )
+    out = changes.apply_primaries(customers, changed)
+    assert tuples(out, "id", "primary_address_id", "primary_payment_id") == [
+        (1, 31, None), (2, None, None), (3, None, None),
+    ]
+    assert out.columns == customers.columns
+
+
+def test_onboarding_refuses_unknown_homes(spark, make):
+    forms = spark.createDataFrame(
+        [(1, 101, "Ann", "a@x", "1 Road", "Town", "P", "9", "US", "AAA"),
+         (2, 102, "Bo", "b@x", "2 Road", "Town", "P", "9", "US", "ZZZ")],
+        "customer_id bigint, address_id bigint, name string, email string, addr string, city string, "
+        "province string, post string, country string, home string",
+    )
+    addresses, customers, links, refused = changes.onboard_customers(forms, make("airport", [{"iata": "AAA"}]))
+    assert tuples(addresses, "id", "line_1", "line_2") == [(101, "1 Road", "")]
+    assert tuples(customers, "id", "primary_address_id", "primary_payment_id", "primary_airport_id") == [
+        (1, 101, None, "AAA")
+    ]
+    assert tuples(links, "customer_id", "address_id") == [(1, 101)]
+    assert tuples(refused, "customer_id", "home") == [(2, "ZZZ")]
+
+
+def payment_forms(spark, *years_and_months):
+    return spark.createDataFrame(
+        [(i, 1, "4000123412341234", y, m, "Ann", 10) for i, (y, m) in enumerate(years_and_months)],
+        "payment_id bigint, customer_id bigint, card_number string, exp_year string, exp_month string, "
+        "card_holder string, address_id bigint",
+    )
+
+
+def test_payment_dates_are_checked_and_numbers_not_kept(spark):
+    good, refused = changes.add_payments(
+        payment_forms(spark, ("2027", "3"), ("2027", "13"), ("soon", "3"), ("2027", "x"), (" 2028 ", "12"))
+    )
+    assert tuples(good, "id", "exp", "display_name", "billing_address") == [
+        (0, dt.date(2027, 3, 1), "Visa 4000", 10),
+        (4, dt.date(2028, 12, 1), "Visa 4000", 10),
+    ]
+    assert "card_number" not in good.columns
+    assert tuples(refused, "payment_id", "reason") == [
+        (1, "no such date"), (2, "year is not a number"), (3, "month is not a number"),
+    ]
+
+
+def test_only_the_owner_removes_a_payment_method(spark, make):
+    payments = make("payment_method", [{"id": i, "customer_id": c} for i, c in ((1, 1), (2, 1), (3, 2))])
+    changed = log(spark, (1, 1, "remove_payment", 1), (2, 1, "remove_payment", 3), (3, 1, "remove_payment", 1))
+    assert tuples(changes.remove_payments(payments, changed), "id") == [(2,), (3,)]
+
+
+FULL_LOG = (
+    LOG + ", line1 string, line2 string, city string, province string, post string, country string, "
+    "card_number string, exp_year string, exp_month string, card_holder string, address_id bigint"
+)
+
+
+def account_log(spark):
+    street = ("9 Road", None, "Town", "P", "9", "US")
+    card = ("4111222233334444", "2029", "7", "Ann", 10)
+    none6, none5 = (None,) * 6, (None,) * 5
+    return spark.createDataFrame(
+        [
+            (1, 1, "add_address", 20, *street, *none5),
+            (1, 1, "add_address", 20, *street, *none5),
+            (2, 1, "set_primary_address", 20, *none6, *none5),
+            (3, 1, "add_payment", 50, *none6, *card),
+            (4, 1, "set_primary_payment", 50, *none6, *none5),
+            (5, 1, "remove_address", 10, *none6, *none5),
+            (6, 2, "remove_payment", 5, *none6, *none5),
+            (7, 2, "add_payment", 51, *none6, "4", "2029", "19", "Bo", 10),
+        ],
+        FULL_LOG,
+    )
+
+
+def account_tables(make, customers):
+    return {
+        "customer": customers,
+        "address": make("address", [{"id": 10, "line_1": "1 Road"}]),
+        "customer_address": make("customer_address", [{"customer_id": 1, "address_id": 10}]),
+        "payment_method": make("payment_method", [{"id": 5, "customer_id": 2}]),
+    }
+
+
+def check_account_tables(after):
+    assert tuples(after["customer"], "id", "primary_address_id", "primary_payment_id") == [
+        (1, 20, 50), (2, None, 5), (3, None, None),
+    ]
+    assert tuples(after["address"], "id", "line_1", "line_2") == [(10, "1 Road", None), (20, "9 Road", "")]
+    assert tuples(after["customer_address"], "customer_id", "address_id") == [(1, 20)]
+    assert tuples(after["payment_method"], "id", "display_name") == [(50, "Visa 4111")]
+    assert tuples(after["refused_payment"], "payment_id", "reason") == [(51, "no such date")]
+
+
+def test_a_log_over_all_tables(spark, make, customers):
+    check_account_tables(changes.apply_changes(account_tables(make, customers), account_log(spark)))
+
+
+# -- quality -----------------------------------------------------------------
+
+
+def test_integrity_report(make, customers):
+    tables = {
+        "airport": make("airport", [{"iata": "AAA", "name": "A", "lat": 1.0, "long": 1.0, "city": "A",
+                                     "country": "US", "tz": "UTC"}, {"iata": "TOOLONG"}]),
+        "airline": make("airline", [{"callsign": "XX", "name": "X", "country": "US"}] * 2),
+        "class": make("class", [{"id": 1, "display_name": "Economy", "fee": usd("-1.00")}]),
+        "flight": make("flight", [{"id": i, "airline": "XX", "departure_airport": "AAA", "arrival_airport": a,
+                                   "number": 1, "departure_time": dt.datetime(2024, 1, 1),
+                                   "arrival_time": dt.datetime(2024, 1, 1), "duration": dt.timedelta(0)}
+                                  for i, a in ((1, "AAA"), (2, "BBB"), (3, "BBB"))]),
+        "flight_class": make("flight_class", [{"flight_id": f, "class_id": 1} for f in (1, 1, 9)]),
+        "customer": customers,
+    }
+    report = quality.integrity_report(tables)
+    assert tuples(report, "rule", "table", "key", "violations") == [
+        ("code length", "airport", "iata", 1),
+        ("fee not negative", "class", "fee", 1),
+        ("foreign key", "flight", "arrival_airport=BBB", 2),
+        ("foreign key", "flight_class", "flight_id=9", 1),
+        ("not null", "airport", "city", 1),
+        ("not null", "airport", "country", 1),
+        ("not null", "airport", "lat", 1),
+        ("not null", "airport", "long", 1),
+        ("not null", "airport", "name", 1),
+        ("not null", "airport", "tz", 1),
+        ("not null", "flight_class", "capacity", 3),
+        ("primary key", "airline", "XX", 2),
+        ("primary key", "flight_class", "1,1", 2),
+    ]
+
+
+def test_timetable_entries_may_overlap_but_not_repeat(make):
+    def entry(i, start, end):
+        return {"id": i, "airline": "XX", "number": 1, "valid_from": dt.date(2024, 1, start),
+                "valid_to": dt.date(2024, 1, end), "departure_airport": "AAA", "departure_min": 1,
+                "arrival_airport": "BBB", "arrival_min": 2, "days": "1111111", "leg": 1,
+                "duration": dt.timedelta(0)}
+
+    rows = make("flight_schedule", [entry(1, 1, 9), entry(2, 2, 9), entry(3, 2, 9)])
+    report = quality.domain_report({"flight_schedule": rows})
+    assert tuples(report, "rule", "violations") == [("unique timetable entry", 2)]
+    assert quality.primary_key_report({"flight_schedule": rows}).count() == 0
+    with pytest.raises(ValueError):
+        quality.integrity_report({})
+
+
+def test_full_outer_join_becomes_left(make, customers):
+    links = make("customer_address", [{"customer_id": 1, "address_id": 10}])
+    addresses = make("address", [{"id": 10}])
+    plan = accounts.address_book(customers, links, addresses)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan and F is not None

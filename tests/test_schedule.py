@@ -1,0 +1,107 @@
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from tests.helpers import tuples
+from wayfare.functions.calendar import bit_positions, weekday
+from wayfare.operators.schedule import duration_audit, expand_schedule
+
+DAY = dt.date
+
+
+def entry(i, start, end, days="1111111", dep=600, arr=700, origin="AAA", to="BBB", minutes=100):
+    return {
+        "id": i, "airline": "XX", "number": 7, "valid_from": start, "valid_to": end,
+        "departure_airport": origin, "departure_min": dep, "arrival_airport": to,
+        "arrival_min": arr, "days": days, "leg": 1, "duration": dt.timedelta(minutes=minutes),
+    }
+
+
+def expand(make, *entries):
+    airports = make("airport", [{"iata": "AAA"}, {"iata": "BBB"}])
+    return expand_schedule(make("flight_schedule", entries), airports)
+
+
+def test_every_day_of_the_range_but_the_last(make):
+    out = expand(make, entry(1, DAY(2024, 1, 1), DAY(2024, 1, 4)))
+    assert [r[0] for r in tuples(out, F.to_date("departure_time"))] == [
+        DAY(2024, 1, 1), DAY(2024, 1, 2), DAY(2024, 1, 3),
+    ]
+
+
+def test_empty_reversed_and_open_ranges_give_nothing(make):
+    day = DAY(2024, 1, 5)
+    out = expand(
+        make,
+        entry(1, day, day),
+        entry(2, day, DAY(2024, 1, 1)),
+        entry(3, None, day),
+        entry(4, day, None),
+    )
+    assert out.count() == 0
+
+
+def test_one_day_range(make):
+    assert expand(make, entry(1, DAY(2024, 1, 5), DAY(2024, 1, 6))).count() == 1
+
+
+def test_mask_starts_on_sunday(make):
+    # 2024-01-07 is a Sunday.
+    out = expand(make, entry(1, DAY(2024, 1, 1), DAY(2024, 1, 15), days="1000000"))
+    assert [r[0] for r in tuples(out, F.to_date("departure_time"))] == [DAY(2024, 1, 7), DAY(2024, 1, 14)]
+    assert expand(make, entry(1, DAY(2024, 1, 1), DAY(2024, 1, 15), days="0000000")).count() == 0
+
+
+def test_arrival_clock_before_departure_is_next_day(make):
+    one = (DAY(2024, 1, 1), DAY(2024, 1, 2))
+    out = expand(
+        make,
+        entry(1, *one, dep=1400, arr=30),
+        entry(2, *one, dep=600, arr=600),
+        entry(3, *one, dep=600, arr=601),
+    )
+    assert tuples(out, "arrival_time") == [
+        (dt.datetime(2024, 1, 1, 10, 0),),
+        (dt.datetime(2024, 1, 1, 10, 1),),
+        (dt.datetime(2024, 1, 2, 0, 30),),
+    ]
+
+
+def test_unknown_airports_drop_out(make):
+    one = (DAY(2024, 1, 1), DAY(2024, 1, 2))
+    out = expand(make, entry(1, *one, origin="ZZZ"), entry(2, *one, to="ZZZ"), entry(3, *one))
+    assert out.count() == 1
+
+
+def test_ids_are_distinct_and_repeatable(make):
+    entries = [entry(i, DAY(2024, 1, 1), DAY(2024, 3, 1)) for i in range(1, 30)]
+    first, second = expand(make, *entries), expand(make, *reversed(entries))
+    assert first.select("id").distinct().count() == first.count() == 29 * 60
+    assert tuples(first, "id") == tuples(second, "id")
+
+
+def test_count_is_the_number_of_matching_weekdays(make):
+    masks = ["1010101", "0111110", "0000001", "1111111"]
+    start, days = DAY(2024, 2, 3), 41
+    out = expand(make, *[entry(i, start, start + dt.timedelta(days), m) for i, m in enumerate(masks)])
+    expected = sum(
+        m[(start + dt.timedelta(k)).isoweekday() % 7] == "1" for m in masks for k in range(days)
+    )
+    assert out.count() == expected
+
+
+def test_bit_positions(spark):
+    df = spark.createDataFrame([("1000001",), ("0000000",), ("0110",), ("",), (None,)], "m string")
+    assert [r[0] for r in df.select(bit_positions("m")).collect()] == [[0, 6], None, [1, 2], None, None]
+
+
+def test_weekday_counts_from_sunday(spark):
+    df = spark.createDataFrame([(DAY(2024, 1, 7),), (DAY(2024, 1, 13),)], "d date")
+    assert [r[0] for r in df.select(weekday("d")).collect()] == [0, 6]
+
+
+def test_duration_audit_lists_gained_days(make):
+    one = (DAY(2024, 1, 1), DAY(2024, 1, 2))
+    # A 40-minute hop west: the arrival clock is earlier, so the rule adds a day.
+    out = expand(make, entry(1, *one, dep=600, arr=580, minutes=40), entry(2, *one, minutes=100))
+    assert duration_audit(out).count() == 1

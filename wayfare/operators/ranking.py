@@ -9,7 +9,7 @@ from wayfare.session import stage
 
 
 def number_within(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
-    """Number rows 1, 2, … by ``order`` within each group of ``keys``.
+    """Number rows 1, 2, … by ``order`` (NULLs last) within each group of ``keys``.
 
     A plain window would sort a whole group in one task. Here Spark's range partitioning sorts
     the rows, cutting a large group into several partitions; each partition numbers its own
@@ -18,9 +18,10 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], out: str) ->
 
     The sorted rows are staged because their positions must not change between the two uses.
     """
+    by = [*keys, *[F.col(c).asc_nulls_last() for c in order]]
     placed = stage(
-        df.repartitionByRange(*keys, *order)
-        .sortWithinPartitions(*keys, *order)
+        df.repartitionByRange(*by)
+        .sortWithinPartitions(*by)
         .withColumn("_at", F.monotonically_increasing_id()),
         "numbered",
     ).withColumn("_slice", F.shiftright("_at", 33))
