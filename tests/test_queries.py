@@ -1,0 +1,42 @@
+"""Every registered query against its SQL in DuckDB, on the smallest driver tables."""
+
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as registered
+
+FOLDER = "/root/testdata/sf0.001"
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for file in os.listdir(FOLDER):
+        con.execute(f"create view {file.removesuffix('.parquet')} as select * from '{FOLDER}/{file}'")
+    return con
+
+
+def rows(columns, values):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(repr([row[i] for i in order]) for row in values)
+
+
+def test_every_query_has_sql():
+    assert set(registered.queries()) == set(registered.oracle_sql())
+
+
+@pytest.mark.parametrize("name", list(registered.queries()))
+def test_query_equals_its_sql(spark, duck, name):
+    out = registered.queries()[name](spark, FOLDER)
+    result = duck.execute(registered.oracle_sql()[name])
+    columns = [c[0] for c in result.description]
+    assert sorted(out.columns) == sorted(columns)
+    assert rows(out.columns, out.collect()) == rows(columns, result.fetchall())
+
+
+def test_entry(spark):
+    assert registered.entry(spark).count() == 3

@@ -86,9 +86,9 @@ def cart_state(events: DataFrame) -> DataFrame:
     """Entries still in the carts after all events (seq, customer_id, action, pair).
 
     An added entry stays when it is newer than the customer's last clear or checkout and newer
-    than the last removal of the same pair. Only sequence numbers are compared, so the order
-    and repetition of events do not matter. Both maxima are combined before their shuffle, so
-    a very busy customer costs one row there.
+    than the last removal of the same pair. Only sequence numbers are compared, so events may
+    come in any order, and an event delivered twice counts once. Both maxima are combined before
+    their shuffle, so a very busy customer costs one row there.
     """
     cleared = (
         events.filter(F.col("action").isin("clear", "checkout"))
@@ -109,6 +109,7 @@ def cart_state(events: DataFrame) -> DataFrame:
         .join(removed, ["customer_id", *PAIR], "left")
         .filter(newer_than_remove)
         .select("customer_id", "seq", *PAIR)
+        .dropDuplicates(["customer_id", "seq"])
     )
 
 

@@ -86,6 +86,32 @@ def _normal(requests: DataFrame, leg_limit: int) -> DataFrame:
     )
 
 
+def within_horizon(flights: DataFrame, requests: DataFrame, leg_limit: int = MAX_LEGS) -> DataFrame:
+    """The flights any of the requests could use, by departure time.
+
+    A first leg leaves inside the request's window, and each later leg at most one flight and
+    one wait after it. Both bounds are scalar subqueries, so they reach the scan as filters, and
+    prune whole folders where flights are stored by ``departure_date``.
+    """
+    later = leg_limit - 1
+    none = "interval '0' second"
+    asked = requests.agg(
+        F.min("dmin").alias("first"),
+        F.expr(f"max(dmax) + greatest({none}, coalesce(max(max_wait), {none})) * {later}").alias("last"),
+    )
+    span = flights.agg(
+        F.expr(f"least({none}, min(arrival_time - departure_time)) * {later}").alias("shortest"),
+        F.expr(f"greatest({none}, max(arrival_time - departure_time)) * {later}").alias("longest"),
+    )
+    first = asked.select("first").scalar() + span.select("shortest").scalar()
+    last = asked.select("last").scalar() + span.select("longest").scalar()
+    usable = flights.filter((F.col("departure_time") >= first) & (F.col("departure_time") <= last))
+    if "departure_date" in flights.columns:
+        day = F.col("departure_date")
+        usable = usable.filter((day >= first.cast("date")) & (day <= last.cast("date")))
+    return usable
+
+
 # -- the walk ---------------------------------------------------------------
 
 

@@ -16,7 +16,7 @@ from wayfare.functions.labels import clock_label, departure_label, flight_code,
 from wayfare.operators import accounts, booking, cart, changes, fares, quality, schedule, search
 from wayfare.session import stage, staging_root
 from wayfare.sources.standin import StandIn
-from wayfare.streaming import feeds
+from wayfare.streaming import feeds, keyed_carts
 
 TODAY = "2024-01-03"
 
@@ -135,7 +135,8 @@ def search_requests_refused(t: StandIn) -> DataFrame:
 def search_forms(t: StandIn) -> DataFrame:
     """Forms resolved and searched in one go."""
     good, _ = search.resolve_requests(t.forms, t.accounts, TODAY)
-    return _shown(search.search_itineraries(good, t.flights, t.fares))
+    flights = search.within_horizon(t.flights, good)
+    return _shown(search.search_itineraries(good, flights, t.fares))
 
 
 @_query
@@ -447,6 +448,17 @@ def cart_stream(t: StandIn) -> DataFrame:
     return cart.cart_state(feeds.compact_cart_log(reduced))
 
 
+@_query
+def cart_keyed_stream(t: StandIn) -> DataFrame:
+    """The same carts from keyed state, by the changes it put out."""
+    keyed_carts.use_rocksdb(t.spark)
+    events = t.cart_events.drop("ts")
+    out = keyed_carts.cart_changes(_as_stream(t, events, "cart-events", files=2), shards=2)
+    log, checkpoint = _scratch(t, "cart-changes"), _scratch(t, "cart-changes-state")
+    feeds.start_log(out, log, checkpoint).awaitTermination()
+    return keyed_carts.current_carts(feeds.read_log(t.spark, log, out.schema))
+
+
 @_query
 def booking_stream(t: StandIn) -> DataFrame:
     """Tickets after all booking tags were checked out as a stream."""

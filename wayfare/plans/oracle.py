@@ -320,6 +320,7 @@ _SQL: dict[str, tuple[str, str]] = {
     "cart_tags_refused": ("", "select cart_id, customer_id, tag from tag where cart_id%31=0 or cart_id%37=0"),
     "cart_state": ("", "select * from carts_left"),
     "cart_stream": ("", "select * from carts_left"),
+    "cart_keyed_stream": ("", "select * from carts_left"),
     "cart_review": (
         "",
         """select k.cart_id, fc.flight_id, fc.class_id, c.display_name class_name, f.airline, f.number,
