@@ -58,6 +58,22 @@ def test_flights_are_stored_by_day(spark, make, tmp_path):
     assert "PartitionFilters: [isnotnull(departure_date" in plan
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, make, tmp_path):
+    flights = [flight(i, "A", "B", "2024-01-01 08:00", "2024-01-01 09:00") for i in range(50)]
+    tables.save_bucketed(make("flight", flights), "b_flight", ["id"], 4, path=f"{tmp_path}/f")
+    tables.save_bucketed(fares_for(make, flights), "b_fare", ["flight_id"], 4, path=f"{tmp_path}/c")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        offered = search.offers(spark.table("b_flight"), spark.table("b_fare"))
+        assert offered.count() == 100
+        assert "Exchange" not in offered._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("drop table b_flight")
+        spark.sql("drop table b_fare")
+
+
 def test_staging_folder_comes_from_the_session(spark):
     assert staging_root(spark) == spark.conf.get("spark.checkpoint.dir")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.constants import MONEY
 from wayfare.functions.money import money
 
 PAIR = ["flight_id", "class_id"]
@@ -186,12 +187,19 @@ def cart_totals(
 ) -> DataFrame:
     """Sum of fares per cart. NULL fares are skipped; a cart none of whose entries has a fare
     totals NULL. ``carts`` (cart_id) may list carts without entries, which total 0.00."""
-    sums = cart_fares(cart, fares, pair_mode).groupBy("cart_id").agg(money(F.sum("price")).alias("total"))
-    filled = cart.select("cart_id").distinct().join(sums, "cart_id", "left")
-    if carts is None:
-        return filled
-    empty = carts.select("cart_id").distinct().join(cart.select("cart_id").distinct(), "cart_id", "left_anti")
-    return filled.unionByName(empty.withColumn("total", money(F.lit("0.00"))))
+    # One aggregation over the fares, a marker per entry and a marker per listed cart finds the
+    # sums, the carts without fares and the carts without entries.
+    rows = cart_fares(cart, fares, pair_mode).selectExpr("cart_id", "price", "true as has_entry")
+    rows = rows.unionByName(cart.selectExpr("cart_id", f"cast(null as {MONEY}) as price", "true as has_entry"))
+    if carts is not None:
+        rows = rows.unionByName(
+            carts.selectExpr("cart_id", f"cast(null as {MONEY}) as price", "false as has_entry")
+        )
+    return (
+        rows.groupBy("cart_id")
+        .agg(money(F.sum("price")).alias("total"), F.bool_or("has_entry").alias("has_entry"))
+        .selectExpr("cart_id", f"if(has_entry, total, cast(0 as {MONEY})) as total")
+    )
 
 
 def cart_pair_audit(cart: DataFrame, fares: DataFrame) -> DataFrame:

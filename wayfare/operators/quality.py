@@ -91,84 +91,88 @@ def duplicate_keys(df: DataFrame, table: str, keys: list[str], rule: str = "prim
     return _report(counted.withColumn("key", text), rule, table)
 
 
-def missing_values(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
-    """Required columns with NULLs, all counted in one pass; ``key`` is the column."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    rows = counts.unpivot([], columns, "key", "violations").filter(F.col("violations") > 0)
-    return _report(rows, "not null", table)
+def row_rules(df: DataFrame, table: str, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Rows breaking each of ``rules`` (rule, key, SQL condition for a broken row), all counted in
+    one pass over the table. Rules nobody breaks give no row."""
+    counts = df.agg(*[F.count_if(F.expr(broken)).alias(f"n{i}") for i, (_, _, broken) in enumerate(rules)])
+    named = ", ".join(
+        f"struct('{rule}' as rule, '{key}' as key, n{i} as violations)" for i, (rule, key, _) in enumerate(rules)
+    )
+    found = counts.selectExpr(f"inline(array({named}))").filter("violations > 0")
+    return found.select("rule", F.lit(table).alias("table"), "key", "violations")
 
 
-def orphans(child: DataFrame, table: str, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """Foreign key values without a parent row; NULL counts as no reference.
+def orphans(child: DataFrame, table: str, links: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """Values of the child's ``links`` (column, parent, parent key) without a parent row.
 
-    Child values are counted before the join, so a value shared by many rows travels once.
+    All columns are checked in one pass. NULL counts as no reference. The values are counted
+    before the join, so a value shared by many rows travels once.
     """
-    used = child.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value"))
-    counted = used.agg(F.count("*").alias("violations"))
-    missing = counted.join(parent.select(F.col(parent_key).alias("_value")), "_value", "left_anti")
-    key = F.concat(F.lit(f"{column}="), F.col("_value").cast("string"))
-    return _report(missing.withColumn("key", key), "foreign key", table)
-
-
-def broken_rule(df: DataFrame, rule: str, table: str, key: str, broken) -> DataFrame:
-    """Number of rows for which the condition ``broken`` is true, if there are any."""
-    counted = df.agg(F.count_if(broken).alias("violations")).filter(F.col("violations") > 0)
-    return _report(counted.withColumn("key", F.lit(key)), rule, table)
+    values = ", ".join(f"struct('{c}' as _column, cast({c} as string) as _value)" for c, _, _ in links)
+    used = child.selectExpr(f"inline(array({values}))").filter("_value is not null")
+    counted = used.groupBy("_column", "_value").agg(F.count("*").alias("violations"))
+    known = reduce(
+        DataFrame.unionByName,
+        [p.selectExpr(f"'{c}' as _column", f"cast({key} as string) as _value") for c, p, key in links],
+    )
+    missing = counted.join(known, ["_column", "_value"], "left_anti")
+    return _report(missing.withColumn("key", F.concat("_column", F.lit("="), "_value")), "foreign key", table)
 
 
 def primary_key_report(tables: dict[str, DataFrame]) -> DataFrame:
     return _union(duplicate_keys(tables[t], t, keys) for t, keys in PRIMARY_KEYS.items() if t in tables)
 
 
+def foreign_key_report(tables: dict[str, DataFrame]) -> DataFrame:
+    links: dict[str, list] = {}
+    for child, column, parent, key in FOREIGN_KEYS:
+        if child in tables and parent in tables:
+            links.setdefault(child, []).append((column, tables[parent], key))
+    return _union(orphans(tables[child], child, found) for child, found in links.items())
+
+
+def _not_null_rules(table: str, df: DataFrame) -> list[tuple[str, str, str]]:
+    return [("not null", c, f"{c} is null") for c in REQUIRED.get(table, []) if c in df.columns]
+
+
+def _domain_rules(table: str) -> list[tuple[str, str, str]]:
+    rules = [("code length", c, f"length({c}) <> {n}") for t, c, n in CODE_LENGTHS if t == table]
+    if table == "class":
+        rules.append(("fee not negative", "fee", "fee < 0"))
+    return rules
+
+
 def not_null_report(tables: dict[str, DataFrame]) -> DataFrame:
-    return _union(
-        missing_values(tables[t], t, [c for c in columns if c in tables[t].columns])
-        for t, columns in REQUIRED.items()
-        if t in tables
-    )
+    return _union(row_rules(df, t, _not_null_rules(t, df)) for t, df in tables.items())
 
 
-def foreign_key_report(tables: dict[str, DataFrame]) -> DataFrame:
-    return _union(
-        orphans(tables[child], child, column, tables[parent], key)
-        for child, column, parent, key in FOREIGN_KEYS
-        if child in tables and parent in tables
-    )
+def unique_timetable(schedule: DataFrame) -> DataFrame:
+    """Repeated timetable entries. Only equal ranges count: one flight number may have
+    overlapping ranges."""
+    return duplicate_keys(schedule, "flight_schedule", SCHEDULE_UNIQUE, "unique timetable entry")
 
 
 def domain_report(tables: dict[str, DataFrame]) -> DataFrame:
     """Code lengths, the class fee and the timetable's uniqueness rule."""
-    parts = [
-        broken_rule(tables[t], "code length", t, column, F.length(column) != length)
-        for t, column, length in CODE_LENGTHS
-        if t in tables
-    ]
-    if "class" in tables:
-        parts.append(broken_rule(tables["class"], "fee not negative", "class", "fee", F.col("fee") < 0))
+    parts = [row_rules(df, t, _domain_rules(t)) for t, df in tables.items() if _domain_rules(t)]
     if "flight_schedule" in tables:
-        # Equal ranges only: overlapping ranges of one flight number are allowed.
-        parts.append(
-            duplicate_keys(
-                tables["flight_schedule"], "flight_schedule", SCHEDULE_UNIQUE, "unique timetable entry"
-            )
-        )
+        parts.append(unique_timetable(tables["flight_schedule"]))
     return _union(parts)
 
 
 def integrity_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """All rules over the given tables: rule, table, key, violations. Empty means clean."""
-    return _union(
-        [
-            primary_key_report(tables),
-            not_null_report(tables),
-            foreign_key_report(tables),
-            domain_report(tables),
-        ]
-    )
+    """All rules over the given tables: rule, table, key, violations. Empty means clean.
 
-
-def _union(parts) -> DataFrame:
-    parts = list(parts)
-    if not parts:
+    Each table is read once for its row rules, once for its key and once for its references.
+    """
+    if not tables:
         raise ValueError("no table to check")
-    return reduce(DataFrame.unionByName, parts)
+    parts = [row_rules(df, t, _not_null_rules(t, df) + _domain_rules(t)) for t, df in tables.items()]
+    if "flight_schedule" in tables:
+        parts.append(unique_timetable(tables["flight_schedule"]))
+    return _union([primary_key_report(tables), foreign_key_report(tables), *parts])
+
+
+def _union(parts) -> DataFrame | None:
+    parts = [p for p in parts if p is not None]
+    return reduce(DataFrame.unionByName, parts) if parts else None

@@ -68,3 +68,21 @@ def write_fares(fares: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def append_tickets(tickets: DataFrame, path: str) -> None:
     tickets.write.mode("append").parquet(path)
+
+
+def save_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, **options: str) -> None:
+    """Save a catalog table bucketed and sorted by ``keys``.
+
+    Flights bucketed by ``id`` and fares by ``flight_id``, with the same number of buckets, join
+    without a shuffle; so do tickets bucketed by ``flight`` and ``class_id`` with fares bucketed
+    by ``flight_id`` and ``class_id``.
+    """
+    # Laid out by bucket first, every task writes one file for each of its buckets.
+    (
+        df.repartition(buckets, *keys)
+        .write.mode("overwrite")
+        .options(**options)
+        .bucketBy(buckets, *keys)
+        .sortBy(*keys)
+        .saveAsTable(name)
+    )
