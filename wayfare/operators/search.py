@@ -80,7 +80,7 @@ def _normal(requests: DataFrame, leg_limit: int) -> DataFrame:
         "destination",
         "dmin",
         "dmax",
-        "class_id",
+        "cast(class_id as int) as class_id",
         "greatest(coalesce(max_wait, interval '0' minute), interval '0' minute) as max_wait",
         f"cast(greatest(1, least(coalesce(max_legs, 1), {leg_limit})) as int) as max_legs",
     )
@@ -117,7 +117,7 @@ def within_horizon(flights: DataFrame, requests: DataFrame, leg_limit: int = MAX
 
 def offers(flights: DataFrame, fares: DataFrame, bucket_minutes: int = BUCKET_MINUTES) -> DataFrame:
     """Flights with one row per fare, placed in departure-time buckets."""
-    prices = fares.selectExpr("flight_id as o_id", "class_id as o_class_id", "price as o_price")
+    prices = fares.selectExpr("flight_id as o_id", "cast(class_id as int) as o_class_id", "price as o_price")
     moves = flights.selectExpr(
         "id as o_id",
         "airline as o_airline",

@@ -141,12 +141,12 @@ def search_forms(t: StandIn) -> DataFrame:
 
 @_query
 def search_nonstop(t: StandIn) -> DataFrame:
-    return _shown(search.search_itineraries(_with_legs(t, 1), t.flights, t.fares))
+    return _shown(search.search_itineraries(_with_legs(t, 1), t.flights, t.fares, leg_limit=1))
 
 
 @_query
 def search_one_stop(t: StandIn) -> DataFrame:
-    return _shown(search.search_itineraries(_with_legs(t, 2), t.flights, t.fares))
+    return _shown(search.search_itineraries(_with_legs(t, 2), t.flights, t.fares, leg_limit=2))
 
 
 @_query

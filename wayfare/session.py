@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Scratch folders of local sessions, by application.
+_scratch: dict[str, str] = {}
+
+
 def build_session(app: str = "wayfare", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and skew-join handling on."""
     builder = SparkSession.builder.appName(app)
@@ -39,9 +43,10 @@ def staging_root(spark: SparkSession) -> str:
         return root
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="wayfare-stage-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = tempfile.mkdtemp(prefix="wayfare-stage-")
+    return _scratch[app]
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
