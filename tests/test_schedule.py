@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import tuples
@@ -105,3 +106,8 @@ def test_duration_audit_lists_gained_days(make):
     # A 40-minute hop west: the arrival clock is earlier, so the rule adds a day.
     out = expand(make, entry(1, *one, dep=600, arr=580, minutes=40), entry(2, *one, minutes=100))
     assert duration_audit(out).count() == 1
+
+
+def test_ids_out_of_range_fail_loudly(make):
+    with pytest.raises(Exception, match="too large"):
+        expand(make, entry(2**43, DAY(2024, 1, 1), DAY(2024, 1, 2))).collect()

@@ -13,7 +13,11 @@ _DAY_BITS = 20
 
 def flight_id(schedule_id: str, day: str) -> Column:
     """Collision-free id of one schedule on one day, the same on every run."""
-    return F.shiftleft(F.col(schedule_id).cast("bigint"), _DAY_BITS) + day_number(day)
+    number = day_number(day)
+    fits = F.col(schedule_id).between(0, 2 ** (63 - _DAY_BITS) - 1) & number.between(0, 2**_DAY_BITS - 1)
+    return F.when(fits, F.shiftleft(F.col(schedule_id).cast("bigint"), _DAY_BITS) + number).otherwise(
+        F.raise_error(F.lit("schedule id or date too large for a flight id")).cast("bigint")
+    )
 
 
 def expand_schedule(schedule: DataFrame, airports: DataFrame) -> DataFrame:

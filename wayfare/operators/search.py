@@ -40,7 +40,12 @@ def resolve_requests(forms: DataFrame, customers: DataFrame, today: str) -> tupl
 
     Returns (requests, refused forms with a reason).
     """
+    # Only forms that need a home airport meet the customers. Anonymous forms, which may be most,
+    # would otherwise all share the NULL key.
     home = customers.select(F.col("id").alias("customer_id"), "primary_airport_id")
+    needs_home = F.col("from_airport").isNull() & F.col("customer_id").isNotNull()
+    at_home = forms.filter(needs_home).join(home, "customer_id", "left")
+    elsewhere = forms.filter(~needs_home).withColumn("primary_airport_id", F.lit(None).cast("string"))
     day = F.coalesce(
         F.when(F.col("dep_date").isNull(), F.to_date(F.lit(today))),
         F.try_to_timestamp("dep_date", F.lit(FORM_DATE_FORMAT)).cast("date"),
@@ -51,7 +56,7 @@ def resolve_requests(forms: DataFrame, customers: DataFrame, today: str) -> tupl
     cabin = F.when(F.col("class_id").isNull(), F.lit(DEFAULT_CLASS_ID)).otherwise(
         F.col("class_id").try_cast("int")
     )
-    read = forms.join(home, "customer_id", "left").select(
+    read = at_home.unionByName(elsewhere).select(
         "request_id",
         F.coalesce("airline", F.lit(DEFAULT_AIRLINE)).alias("airline"),
         F.coalesce("from_airport", "primary_airport_id", F.lit(DEFAULT_ORIGIN)).alias("origin"),

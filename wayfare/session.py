@@ -21,6 +21,8 @@ def build_session(app: str = "wayfare", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Partitions measured to be below this size join by hash, without a sort.
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         # Call-site capture makes several JVM round trips per column expression.

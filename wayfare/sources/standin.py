@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.operators.fares import price_flights
+from wayfare.operators.ranking import number_within
 from wayfare.sources.tables import cabin_classes
 
 # Columns of the driver tables that are used here.
@@ -160,14 +161,15 @@ class StandIn:
             self.raw("orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey"
         )
 
-    @property
+    @cached_property
     def carts(self) -> DataFrame:
-        # An order has a handful of lines, so this window never meets a large group.
-        return self._order_lines.filter("l_orderkey % 10 = 0").selectExpr(
+        """Every tenth order as a cart, its lines numbered in order."""
+        order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+        lines = self._order_lines.filter("l_orderkey % 10 = 0")
+        return number_within(lines, ["l_orderkey"], order, "seq").selectExpr(
             "l_orderkey as cart_id",
             "o_custkey as customer_id",
-            """cast(row_number() over (partition by l_orderkey
-                order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as bigint) as seq""",
+            "seq",
             "if(l_quantity >= 49, -1, l_partkey) as flight_id",
             "cast(1 + l_linenumber % 4 as int) as class_id",
             "o_custkey as paid_with",
