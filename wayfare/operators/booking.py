@@ -36,7 +36,12 @@ def book_tickets(
 
     Returns (tickets, rows of refused carts with the reason at the failing row).
     """
-    priced = priced_cart(cart, fares)
+    return settle(priced_cart(cart, fares), leg_mode)
+
+
+def settle(priced: DataFrame, leg_mode: str = "position") -> tuple[DataFrame, DataFrame]:
+    """Tickets and refused rows of a priced cart table. A job that stores both may stage the
+    priced carts first, so that they meet the fares once."""
     reason = F.when(F.col("price").isNull(), "no price").when(F.col("paid_with").isNull(), "no payment method")
     # The failing carts are reduced to distinct ids before they meet the cart rows again.
     failing = priced.filter(reason.isNotNull()).select("cart_id").distinct()

@@ -35,17 +35,17 @@ def _tag_is_good() -> Column:
 
 
 def explode_tags(tags: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tags (cart_id, customer_id, tag) to cart rows, in tag order from 1.
+    """Tags (cart_id, tag and any other columns) to cart rows, in tag order from 1.
 
     Returns (cart rows, tags that are not a list of [flight id, class id] pairs).
     """
     read = tags.withColumn("_pairs", _tag_pairs())
+    kept = [c for c in tags.columns if c != "tag"]
     rows = (
         read.filter(_tag_is_good())
-        .select("cart_id", "customer_id", F.posexplode("_pairs").alias("_position", "_pair"))
+        .select(*kept, F.posexplode("_pairs").alias("_position", "_pair"))
         .select(
-            "cart_id",
-            "customer_id",
+            *kept,
             (F.col("_position") + 1).cast("bigint").alias("seq"),
             _tag_number(0).alias("flight_id"),
             _tag_number(1).cast("int").alias("class_id"),

@@ -5,7 +5,6 @@ Arrays and intervals are shown as text and minutes so that results compare acros
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from wayfare.functions.calendar import bit_positions, interval_minutes
 from wayfare.functions.labels import clock_label, departure_label, flight_code, path_label
 from wayfare.operators import accounts, booking, cart, changes, fares, quality, schedule, search
-from wayfare.session import stage, staging_root
+from wayfare.session import stage, staging_path
 from wayfare.sources.standin import StandIn
 from wayfare.streaming import feeds, keyed_carts
 
@@ -428,7 +427,7 @@ def integrity_domain(t: StandIn) -> DataFrame:
 
 
 def _scratch(t: StandIn, label: str) -> str:
-    return f"{staging_root(t.spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return staging_path(t.spark, label)
 
 
 def _as_stream(t: StandIn, df: DataFrame, label: str, files: int = 4) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.operators import booking, changes, fares, quality, schedule, search
+from wayfare.session import stage
 from wayfare.sources import tables
 
 
@@ -52,7 +53,7 @@ def answer_searches(
 
 def book_carts(cart: DataFrame, prices: DataFrame, out: str, run: str) -> None:
     """Book carts into the ``run`` folder of the ticket table; a repeated run replaces its own."""
-    tickets, refused = booking.book_tickets(cart, prices)
+    tickets, refused = booking.settle(stage(booking.priced_cart(cart, prices), "priced-carts"))
     tickets.write.mode("overwrite").parquet(f"{out}/ticket/run={run}")
     refused.write.mode("overwrite").parquet(f"{out}/refused_cart/run={run}")
 

@@ -57,7 +57,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage, survives the loss of executors, and fixes values that would differ if the
     plan ran twice (row positions, for one).
     """
-    spark = df.sparkSession
-    path = f"{staging_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = staging_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staging_path(spark: SparkSession, label: str) -> str:
+    """A new path in the staging folder. All paths of one application share a parent folder,
+    which can go when the application has ended."""
+    app = spark.sparkContext.applicationId
+    return f"{staging_root(spark).rstrip('/')}/wayfare-{app}/{label}-{uuid.uuid4().hex}"

@@ -97,19 +97,21 @@ def start_bookings(
         checkouts = checkouts.withWatermark("ts", late).dropDuplicatesWithinWatermark(["cart_id"])
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        rows, broken = explode_tags(batch.select("cart_id", "customer_id", "tag"))
-        cart = rows.join(batch.select("cart_id", "paid_with"), "cart_id")
+        # Both outputs read the batch, so it is kept for the time of the two writes.
+        batch = batch.select("cart_id", "customer_id", "paid_with", "tag").persist()
+        cart, broken = explode_tags(batch)
         tickets, refused = book_tickets(cart, fares)
-        unreadable = broken.select(
+        unreadable = broken.selectExpr(
             "cart_id",
             "customer_id",
-            F.lit(None).cast("bigint").alias("seq"),
-            F.lit(None).cast("bigint").alias("flight_id"),
-            F.lit(None).cast("int").alias("class_id"),
-            F.lit("unreadable tag").alias("reason"),
+            "cast(null as bigint) as seq",
+            "cast(null as bigint) as flight_id",
+            "cast(null as int) as class_id",
+            "'unreadable tag' as reason",
         )
         _write_batch(tickets, tickets_path, batch_id)
         _write_batch(refused.unionByName(unreadable), refused_path, batch_id)
+        batch.unpersist()
 
     return (
         checkouts.writeStream.foreachBatch(land)
