@@ -317,3 +317,43 @@ def test_numbering_a_group_that_spans_partitions(spark):
     plain = df.selectExpr("*", "row_number() over (partition by key order by price, id) as rank")
     assert out.count() == 30000
     assert out.exceptAll(plain).count() == 0
+
+
+def test_a_hub_is_split_over_tasks(spark):
+    """Two thirds of all flights leave one hub within one bucket; adaptive execution splits them."""
+    flights = spark.range(0, 1800, 1, 8).selectExpr(
+        "id", "'XX' as airline", "cast(id as int) as number",
+        """timestamp_ntz'2024-01-01 00:00:00'
+            + make_dt_interval(0, 0, cast(if(id % 3 = 0, id % 1200, 601 + id % 100) as int)) as departure_time""",
+        """timestamp_ntz'2024-01-01 00:00:00'
+            + make_dt_interval(0, 0, cast(if(id % 3 = 0, 600, 760) as int)) as arrival_time""",
+        "if(id % 3 = 0, concat('N', id % 40), 'HUB') as departure_airport",
+        "if(id % 3 = 0, 'HUB', concat('N', id % 40)) as arrival_airport",
+    )
+    fares = flights.selectExpr("id as flight_id", "1 as class_id", "cast(id % 300 as decimal(19,2)) as price")
+    asked = spark.range(40).selectExpr(
+        "id as request_id", "'XX' as airline", "concat('N', id) as origin", "concat('N', (id + 7) % 40) as destination",
+        "timestamp_ntz'2024-01-01 00:00:00' as dmin", "timestamp_ntz'2024-01-01 10:00:00' as dmax",
+        "1 as class_id", "make_dt_interval(0, 2) as max_wait", "3 as max_legs",
+    )
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8000",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    plain = stage(search.search_itineraries(asked, flights, fares).select("request_id", "ids"), "hub")
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        split = search.search_itineraries(asked, flights, fares).select("request_id", "ids")
+        rows = split.collect()
+        assert "skew=true" in split._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(rows) > 100
+    assert ordered(tuple(r) for r in rows) == tuples(plain, "request_id", "ids")

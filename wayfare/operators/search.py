@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,25 +97,22 @@ def within_horizon(flights: DataFrame, requests: DataFrame, leg_limit: int = MAX
     """The flights any of the requests could use, by departure time.
 
     A first leg leaves inside the request's window, and each later leg at most one flight and
-    one wait after it. Both bounds are scalar subqueries, so they reach the scan as filters, and
-    prune whole folders where flights are stored by ``departure_date``.
+    one wait after it. The bounds are worked out first, from one row of totals each, so that they
+    reach the scan as plain filters, and prune whole folders of flights stored by
+    ``departure_date``.
     """
-    later = leg_limit - 1
-    none = "interval '0' second"
-    asked = requests.agg(
-        F.min("dmin").alias("first"),
-        F.expr(f"max(dmax) + greatest({none}, coalesce(max(max_wait), {none})) * {later}").alias("last"),
-    )
-    span = flights.agg(
-        F.expr(f"least({none}, min(arrival_time - departure_time)) * {later}").alias("shortest"),
-        F.expr(f"greatest({none}, max(arrival_time - departure_time)) * {later}").alias("longest"),
-    )
-    first = asked.select("first").scalar() + span.select("shortest").scalar()
-    last = asked.select("last").scalar() + span.select("longest").scalar()
-    usable = flights.filter((F.col("departure_time") >= first) & (F.col("departure_time") <= last))
+    asked = requests.agg(F.min("dmin").alias("first"), F.max("dmax").alias("last"), F.max("max_wait").alias("wait"))
+    flown = F.col("arrival_time") - F.col("departure_time")
+    asked = asked.first()
+    span = flights.agg(F.min(flown).alias("shortest"), F.max(flown).alias("longest")).first()
+    if asked["first"] is None or asked["last"] is None or span["longest"] is None:
+        return flights.filter("false")
+    none, later = timedelta(0), leg_limit - 1
+    first = asked["first"] + min(none, span["shortest"]) * later
+    last = asked["last"] + (max(none, span["longest"]) + max(none, asked["wait"] or none)) * later
+    usable = flights.filter(f"departure_time between timestamp_ntz'{first}' and timestamp_ntz'{last}'")
     if "departure_date" in flights.columns:
-        day = F.col("departure_date")
-        usable = usable.filter((day >= first.cast("date")) & (day <= last.cast("date")))
+        usable = usable.filter(f"departure_date between date'{first.date()}' and date'{last.date()}'")
     return usable
 
 
