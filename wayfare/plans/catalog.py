@@ -221,28 +221,28 @@ def cart_state(t: StandIn) -> DataFrame:
 
 @_query
 def cart_review(t: StandIn) -> DataFrame:
-    return cart.cart_review(t.carts, t.flights, t.fares, t.classes)
+    return cart.cart_review(t.cart_items, t.flights, t.fares, t.classes)
 
 
 @_query
 def cart_review_cross(t: StandIn) -> DataFrame:
-    return cart.cart_review(t.carts, t.flights, t.fares, t.classes, "cross")
+    return cart.cart_review(t.cart_items, t.flights, t.fares, t.classes, "cross")
 
 
 @_query
 def cart_totals(t: StandIn) -> DataFrame:
     all_carts = t.raw("orders").select(F.col("o_orderkey").alias("cart_id"))
-    return cart.cart_totals(t.carts, t.fares, "exact", all_carts)
+    return cart.cart_totals(t.cart_items, t.fares, "exact", all_carts)
 
 
 @_query
 def cart_totals_cross(t: StandIn) -> DataFrame:
-    return cart.cart_totals(t.carts, t.fares, "cross")
+    return cart.cart_totals(t.cart_items, t.fares, "cross")
 
 
 @_query
 def cart_pair_audit(t: StandIn) -> DataFrame:
-    return cart.cart_pair_audit(t.carts, t.fares)
+    return cart.cart_pair_audit(t.cart_items, t.fares)
 
 
 # -- booking ----------------------------------------------------------------
@@ -286,7 +286,7 @@ def receipt_totals(t: StandIn) -> DataFrame:
 @_query
 def receipt_totals_cross(t: StandIn) -> DataFrame:
     _, refused = booking.book_tickets(t.carts, t.fares)
-    booked = t.carts.join(refused.select("cart_id").distinct(), "cart_id", "left_anti")
+    booked = t.cart_items.join(refused.select("cart_id").distinct(), "cart_id", "left_anti")
     return booking.receipt_totals(booked, t.fares, "cross")
 
 

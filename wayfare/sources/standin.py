@@ -43,6 +43,15 @@ def _at(minute: str) -> str:
     return f"timestamp_ntz'2024-01-01 00:00:00' + {_minutes(minute)}"
 
 
+_CART = [
+    "l_orderkey as cart_id",
+    "o_custkey as customer_id",
+    "if(l_quantity >= 49, -1, l_partkey) as flight_id",
+    "cast(1 + l_linenumber % 4 as int) as class_id",
+    "o_custkey as paid_with",
+]
+
+
 class StandIn:
     """Lazily built tables over one folder of driver files."""
 
@@ -161,19 +170,20 @@ class StandIn:
             self.raw("orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey"
         )
 
+    @property
+    def _cart_lines(self) -> DataFrame:
+        return self._order_lines.filter("l_orderkey % 10 = 0")
+
+    @property
+    def cart_items(self) -> DataFrame:
+        """Every tenth order as a cart, its entries in no order."""
+        return self._cart_lines.selectExpr(*_CART)
+
     @cached_property
     def carts(self) -> DataFrame:
-        """Every tenth order as a cart, its lines numbered in order."""
+        """The same carts with their entries numbered, as booking needs them."""
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-        lines = self._order_lines.filter("l_orderkey % 10 = 0")
-        return number_within(lines, ["l_orderkey"], order, "seq").selectExpr(
-            "l_orderkey as cart_id",
-            "o_custkey as customer_id",
-            "seq",
-            "if(l_quantity >= 49, -1, l_partkey) as flight_id",
-            "cast(1 + l_linenumber % 4 as int) as class_id",
-            "o_custkey as paid_with",
-        )
+        return number_within(self._cart_lines, ["l_orderkey"], order, "seq").selectExpr(*_CART, "seq")
 
     @property
     def tickets(self) -> DataFrame:
