@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registered
+from wayfare.plans import catalog, oracle
 from wayfare.sources.standin import StandIn
 
 FOLDER = "/root/testdata/sf0.001"
@@ -27,10 +28,15 @@ def rows(columns, values):
 
 
 def test_every_query_has_sql():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(catalog.queries()) == set(oracle.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(registered.queries()))
+def test_all_are_registered():
+    assert set(catalog.queries()) <= set(registered.queries())
+    assert set(oracle.oracle_sql()) <= set(registered.oracle_sql())
+
+
+@pytest.mark.parametrize("name", list(catalog.queries()))
 def test_query_equals_its_sql(spark, duck, name):
     out = registered.queries()[name](spark, FOLDER)
     result = duck.execute(registered.oracle_sql()[name])

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-# Scratch folders of local sessions, by application.
-_scratch: dict[str, str] = {}
-
-
 def build_session(app: str = "wayfare", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and skew-join handling on."""
     builder = SparkSession.builder.appName(app)
@@ -37,7 +32,7 @@ def build_session(app: str = "wayfare", master: str | None = None, **conf: str)
 def staging_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    A local session without that setting gets a scratch folder of its own. A cluster session
+    A local session without that setting stages below its warehouse folder. A cluster session
     must name one, because executors cannot share a folder of the driver's machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,10 +40,7 @@ def staging_root(spark: SparkSession) -> str:
         return root
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _scratch:
-        _scratch[app] = tempfile.mkdtemp(prefix="wayfare-stage-")
-    return _scratch[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
