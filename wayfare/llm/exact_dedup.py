@@ -122,10 +122,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     # A text without chunks has no list and is equal to the other empty ones.
     ids = F.coalesce(F.expr("transform(ids, x -> struct(x.hash, x.variant))"), F.expr("array()"))
     named_rows = rows.drop("chunks").join(lists, "row", "left").withColumn("ids", ids)
+    named_rows = named_rows.withColumn("list_hash", F.xxhash64("ids"))
     groups = named_rows.groupBy("ids").agg(
         F.max(F.struct("doc_id", "row")).alias("keeper"), F.count("*").alias("group_size")
     )
-    return named_rows.join(groups, "ids").select(
+    # Joined on one more key than grouped by, both sides are dealt anew, and adaptive execution can
+    # then split the rows of a large group over several tasks.
+    groups = groups.withColumn("list_hash", F.xxhash64("ids"))
+    return named_rows.join(groups, ["list_hash", "ids"]).select(
         "doc_id",
         F.col("keeper.doc_id").alias("keep_id"),
         "group_size",
