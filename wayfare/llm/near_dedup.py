@@ -296,11 +296,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
         F.min_by(F.struct("doc_id", "text_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("keep")
     )
     keep = first.select(F.col("keep.doc_id").alias("k_id"), F.col("keep.text_key").alias("k_text")).distinct()
-    keep = keep.select(F.coalesce("k_id", F.lit(0)).alias("_id"), F.col("k_id").isNull().alias("_none"), F.col("k_text").alias("_key"))
+    keep = keep.select(F.coalesce("k_id", F.lit(0)).alias("__near_id"), F.col("k_id").isNull().alias("__near_none"), F.col("k_text").alias("__near_key"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
     keyed = docs.withColumns(
-        {"_id": F.coalesce(doc_id, F.lit(0).cast("long")), "_none": doc_id.isNull(), "_key": F.md5(text)}
+        {"__near_id": F.coalesce(doc_id, F.lit(0).cast("long")), "__near_none": doc_id.isNull(), "__near_key": F.md5(text)}
     )
-    keys = ["_id", "_none", "_key"]
+    keys = ["__near_id", "__near_none", "__near_key"]
     return keyed.join(keep, keys, "left_semi").dropDuplicates(keys).drop(*keys)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import bpe, exact_dedup, near_dedup, quality_rules, secrets, token_counts
+from wayfare.llm import bpe, exact_dedup, near_dedup, quality_model, quality_rules, secrets, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_documents(spark, sf_dir))
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality_model.score(docs, quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
@@ -39,7 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_bpe, op4_near_dedup, op8_exact_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_bpe, op4_near_dedup, op7_quality_model, op8_exact_dedup, op10_token_counts)}
 
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
