@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import bpe, exact_dedup, near_dedup, quality_model, quality_rules, secrets, token_counts
+from wayfare.llm import bpe, exact_dedup, line_dedup, near_dedup, packing, quality_model, quality_rules, secrets, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_documents(spark, sf_dir))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir))
+
+
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return quality_model.score(docs, quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -39,12 +43,27 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_bpe, op4_near_dedup, op7_quality_model, op8_exact_dedup, op10_token_counts)}
+    found = (
+        op1_secret_scan,
+        op2_quality_rules,
+        op3_bpe,
+        op4_near_dedup,
+        op6_best_fit_packing,
+        op7_quality_model,
+        op8_exact_dedup,
+        op9_line_dedup,
+        op10_token_counts,
+    )
+    return {f.__name__: f for f in found}
 
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -57,5 +76,26 @@ FROM hashed WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+LINE_DEDUP_SQL = """
+WITH lines AS (
+    SELECT r, doc_id, source, pos, line, regexp_matches(line, '[^ \\t-\\r]') AS worded
+    FROM (SELECT row_number() OVER () AS r, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents) d,
+         LATERAL (SELECT unnest(parts) AS line, generate_subscripts(parts, 1) AS pos) u
+), spread AS (
+    SELECT line FROM lines WHERE worded GROUP BY line HAVING count(DISTINCT source) >= 5
+), marked AS (
+    SELECT l.*, s.line IS NOT NULL AS hit FROM lines l LEFT JOIN spread s ON l.worded AND l.line = s.line
+), judged AS (
+    SELECT *, sum(CASE WHEN hit THEN length(line) ELSE 0 END) OVER (PARTITION BY r)
+              <= 0.5 * sum(length(line)) OVER (PARTITION BY r) AS few
+    FROM marked
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hit AND few) AS n_removed,
+       bool_or(hit AND NOT few) AS left_whole,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT (hit AND few)), '')) AS text_sha256
+FROM judged GROUP BY r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op8_exact_dedup": EXACT_DEDUP_SQL, "op9_line_dedup": LINE_DEDUP_SQL}
