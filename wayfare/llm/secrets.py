@@ -220,7 +220,8 @@ def find_secrets(docs: DataFrame, table: list[float] | None = None) -> DataFrame
 def mask_secrets(docs: DataFrame, table: list[float] | None = None, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mask``, overlapping ones by one.
 
-    Texts without secrets, null ones included, stay as they are, and so do all other columns.
+    Texts without secrets, null ones included, stay as they are, and so do all other columns, but
+    for n_chars, where there is one, which follows the text.
     """
     table = table or train(labelled_samples(docs.select("doc_id", "text")))
     names = docs.columns
@@ -243,6 +244,9 @@ def mask_secrets(docs: DataFrame, table: list[float] | None = None, mask: str =
     )
     text = F.when(F.size("found") > 0, rebuilt).otherwise(F.col("text"))
     masked = found.withColumn("masked", text)
+    size = F.when(F.size("found") > 0, F.length("masked")).otherwise(F.col("row").getField("n_chars")) if "n_chars" in names else None
+    changed = {"text": F.col("masked"), "n_chars": size}
+    kinds = dict(docs.dtypes)
     return masked.select(
-        *[(F.col("masked") if c == "text" else F.col("row").getField(c)).alias(c) for c in names]
+        *[(changed[c] if c in changed else F.col("row").getField(c)).cast(kinds[c]).alias(c) for c in names]
     )
