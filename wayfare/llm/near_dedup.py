@@ -6,9 +6,10 @@ register of two sets agrees about as often as the sets overlap. Bands of registe
 the joint likelihood of all registers discards those far from the threshold, and the rest are
 confirmed on the full sets.
 
-Proposing is done in two rounds so that no bucket gives all its pairs: first every document meets
-the first of each of its buckets; then only documents of buckets that still hold several
-components meet the bucket's others.
+This is done in two rounds so that no bucket gives all its pairs: first every document meets the
+first of each of its buckets; then, where buckets still hold several components, the documents
+outside the largest are compared with the others in blocks, which yield only the links that join
+components.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,6 +38,9 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65535
 #: the threshold than at any above it.
 MARGIN = 14.0
 
+#: Nodes and shingles of a block, on average.
+BLOCK_NODES, BLOCK_SHINGLES = 512, 1_000_000
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -209,6 +214,99 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "t_a", "t_b").mapInArrow(_confirmed, "a long, b long")
 
 
+def _link_blocks(teams: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: links that join the components of every team of nodes, as few as do.
+
+    A team is all nodes that share a bucket with the same first node, so every proposed pair is in
+    one. Nodes outside a team's largest component are compared with all of the team, on full sets,
+    in blocks of bounded size: a task holds two blocks, however large the team. Teams of a single
+    component are left alone.
+    """
+    known = teams.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counts = known.join(nodes.select("node", "n_shingles"), "node")
+    counts = counts.groupBy("team", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    need = lambda n, size: F.greatest(F.ceil(n / BLOCK_NODES), F.ceil(size / BLOCK_SHINGLES), F.lit(1))
+    mixed = counts.groupBy("team").agg(
+        F.max(F.struct("n", "label", "size")).alias("main"),
+        F.sum("n").alias("n"),
+        F.sum("size").alias("size"),
+        F.count("*").alias("labels"),
+    )
+    mixed = mixed.where("labels > 1").select(
+        "team",
+        F.col("main.label").alias("main"),
+        need(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).cast("int").alias("few"),
+        need(F.col("main.n"), F.col("main.size")).cast("int").alias("many"),
+    )
+    still = known.join(mixed, "team")
+    # Blocks 0 to few - 1 hold the nodes outside the main component, the rest those inside.
+    hashed = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    still = still.withColumn(
+        "block", F.when(F.col("label") == F.col("main"), F.col("few") + hashed(F.col("many"))).otherwise(hashed(F.col("few")))
+    )
+    last = F.when(F.col("block") < F.col("few"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1
+    paired = still.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    paired = paired.select(
+        "team", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "text"
+    )
+    return paired.groupBy("team", "low", "high").applyInPandas(_linked_block, "a long, b long")
+
+
+def _linked_block(part: pd.DataFrame) -> pd.DataFrame:
+    """Links between different components of two blocks (or within one), a spanning set of them."""
+    low, high = int(part["low"].iloc[0]), int(part["high"].iloc[0])
+    part = part.sort_values(["block", "node"], kind="stable")
+    sides = [part[part["block"] == low], part[part["block"] == high]]
+    if low < high and (sides[0].empty or sides[1].empty):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    sets = [[shingles(t) for t in side["text"]] for side in sides]
+    sizes = [np.array([len(x) for x in s], np.int64) for s in sets]
+    both = overlaps(*sets)
+    linked = 100 * both >= LINKED * (sizes[0][:, None] + sizes[1][None, :] - both)
+    names = [side["label"].to_numpy() for side in sides]
+    ids = [side["node"].to_numpy() for side in sides]
+    linked &= names[0][:, None] != names[1][None, :]
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    found = []
+    for i, j in np.argwhere(linked).tolist():
+        x, y = root(int(names[0][i])), root(int(names[1][j]))
+        if x != y:
+            top[x] = y
+            found.append((int(ids[0][i]), int(ids[1][j])))
+    return pd.DataFrame(found, columns=["a", "b"]).astype(np.int64)
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one side with all of the other."""
+    sides = [np.concatenate(s) if s else np.zeros(0, np.uint64) for s in (left, right)]
+    shared = np.intersect1d(*sides)
+    places = []
+    for sets, stacked in zip((left, right), sides, strict=True):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(shared, stacked)
+        at[at == len(shared)] = 0
+        hit = shared[at] == stacked if len(shared) else np.zeros(len(stacked), bool)
+        order = np.argsort(at[hit], kind="stable")
+        places.append((owner[hit][order], at[hit][order]))
+    total = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(shared), _STEP):
+        held = []
+        for sets, (owner, at) in zip((left, right), places, strict=True):
+            low, high = np.searchsorted(at, [start, start + _STEP])
+            block = np.zeros((len(sets), min(_STEP, len(shared) - start)), np.float32)
+            block[owner[low:high], at[low:high] - start] = 1
+            held.append(block)
+        total += held[0] @ held[1].T
+    return total.astype(np.int64)
+
+
 def _grouped(docs: DataFrame) -> DataFrame:
     """row, doc_id, text_key, n_shingles, node, component of every document; nodes stand for sets,
     and documents without shingles have neither node nor component."""
@@ -243,26 +341,15 @@ def _grouped(docs: DataFrame) -> DataFrame:
     links = stage(_confirm(best, texts), "links")
     labels = connected_components(links, "a", "b")
 
-    # Second round: buckets with several components. Members outside the bucket's largest component
-    # meet all members of other components; so every proposed pair is met that is not joined yet.
-    known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    counts = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels"))
-    mixed = mixed.where("labels > 1").select("bucket", F.col("main.label").alias("main"))
-    still = stage(known.join(mixed, "bucket").select("bucket", "node", "label", "main"), "mixed-buckets")
-    fewer = still.where("label <> main").select("bucket", F.col("node").alias("x"), F.col("label").alias("x_label"))
-    cross = (
-        still.join(fewer, "bucket")
-        .where("label <> x_label AND (label = main OR node < x)")
-        .select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
-        .distinct()
-    )
-    cross = cross.join(best.select("a", "b"), ["a", "b"], "left_anti")
-    more = stage(_confirm(_judge(cross, nodes), texts), "more-links")
-    labels = connected_components(links.unionByName(more), "a", "b")
+    # Second round: groups that still hold several components.
+    more = _link_blocks(members.select(F.col("first").alias("team"), "node").distinct(), labels, nodes, texts)
+    labels = connected_components(links.unionByName(stage(more, "more-links")), "a", "b")
 
     of_sets = sets.join(labels, "node", "left").select("set_key", "node", F.coalesce("label", "node").alias("component"))
-    return rows.drop("registers").join(of_sets, "set_key", "left")
+    # Joined on one more key, so that adaptive execution can split the rows of a frequent set.
+    of_sets = of_sets.withColumn("deal", F.xxhash64("set_key"))
+    rows = rows.drop("registers").withColumn("deal", F.xxhash64("set_key"))
+    return rows.join(of_sets, ["set_key", "deal"], "left").drop("deal")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
