@@ -1,0 +1,65 @@
+"""Small tables that every corpus operator is tested on."""
+
+import random
+
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, row string, node long, ids string,"
+    " kept string, score string, label string, number string, found string, n_words string, start string"
+)
+
+SYLLABLES = "the of an ing er tion re on at es ha st ou le and in"
+
+
+def prose(seed, words):
+    rng = random.Random(seed)
+    parts = SYLLABLES.split()
+    return " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(words))
+
+
+def lined(seed, lines, words=12):
+    return "\n".join(prose(seed * 1000 + i, words) for i in range(lines))
+
+
+LONG = lined(7, 2500)
+
+
+def odd_rows():
+    """Null, empty, wordless, short, very long, repeated and upper-case texts; null ids."""
+    texts = [
+        (1, None),
+        (2, ""),
+        (3, " \n\t "),
+        (4, "word"),
+        (5, "Word"),
+        (6, LONG),
+        (7, LONG.upper()),
+        (8, "A b c d e"),
+        (8, "A b c d e"),
+        (8, "another text of the same id"),
+        (None, "a b c d e"),
+        (None, None),
+        (None, None),
+        (9, prose(1, 120)),
+        (10, prose(1, 120) + " end"),
+        (11, "é ÉÀ straße 日本語 😀 \x00 " + prose(2, 60)),
+        (12, 'set password = "hunter22xyz" now'),
+        (13, "\n".join(["same line here"] * 30)),
+    ]
+    return [(i, t, "en", f"s{n % 3}", len(t or ""), "x", 5, "x", "x", "x", "x", "x", "x", "x", "x") for n, (i, t) in enumerate(texts)]
+
+
+def odd_documents(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA).repartition(3)
+
+
+def no_documents(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def documents(spark, texts, sources=None):
+    rows = [(i, t, "en", (sources or ["a"] * len(texts))[i], len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def found(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
