@@ -198,6 +198,31 @@ def test_a_log_over_all_tables(spark, make, customers):
     check_account_tables(changes.apply_changes(account_tables(make, customers), account_log(spark)))
 
 
+ACCOUNT_TABLES = ["customer", "address", "customer_address", "payment_method"]
+
+
+def test_a_log_applied_again_or_in_parts_changes_nothing(spark, make, customers):
+    rows = [tuple(r) for r in account_log(spark).collect()]
+    schema = account_log(spark).schema
+    card = ("4999222233334444", "2030", "8", "Ann", 10)
+    late = (None,) * 6 + card
+    rows += [(40, 1, "remove_payment", 70) + (None,) * 11, (41, 1, "add_payment", 70) + late]
+    rows += [(42, 1, "add_payment", 71) + late, (43, 1, "remove_payment", 71) + (None,) * 11]
+    whole = changes.apply_changes(account_tables(make, customers), spark.createDataFrame(rows, schema))
+    once = {t: tuples(whole[t], *whole[t].columns) for t in ACCOUNT_TABLES}
+    assert [r[0] for r in once["payment_method"]].count(70) == 1
+    assert 71 not in [r[0] for r in once["payment_method"]]
+    again = changes.apply_changes(whole, spark.createDataFrame(rows, schema))
+    assert {t: tuples(again[t], *whole[t].columns) for t in ACCOUNT_TABLES} == once
+    for cut in (3, 7):
+        part = changes.apply_changes(account_tables(make, customers), spark.createDataFrame(rows[:cut], schema))
+        rest = changes.apply_changes(part, spark.createDataFrame(rows, schema))
+        assert {t: tuples(rest[t], *whole[t].columns) for t in ACCOUNT_TABLES} == once
+    shuffled = spark.createDataFrame(rows[::-1] + rows[::2], schema)
+    mixed = changes.apply_changes(account_tables(make, customers), shuffled)
+    assert {t: tuples(mixed[t], *whole[t].columns) for t in ACCOUNT_TABLES} == once
+
+
 # -- quality -----------------------------------------------------------------
 
 

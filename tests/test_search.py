@@ -103,7 +103,7 @@ def test_a_path_through_the_destination_ends_there(spark, make):
 
 @pytest.mark.parametrize(
     "legs, expected",
-    [(-1, [1]), (0, [1]), (1, [1]), (2, [1, 2]), (3, [1, 2, 3]), (9, [1, 2, 3]), (None, [1])],
+    [(-1, [1]), (0, [1]), (1, [1]), (2, [1, 2]), (3, [1, 2, 3]), (9, [1, 2, 3, 4]), (None, [1])],
 )
 def test_leg_limits(spark, make, legs, expected):
     flights = [
@@ -124,8 +124,25 @@ def test_more_legs_on_request(spark, make):
         flight(i, a, b, f"2024-01-01 {7 + i:02}:00", f"2024-01-01 {7 + i:02}:30")
         for i, (a, b) in enumerate(["AB", "BD", "DE", "EF", "FC"])
     ]
-    assert find(spark, make, flights, ask(legs=5)).count() == 0
-    assert ids(find(spark, make, flights, ask(legs=5), leg_limit=5)) == [(1, [0, 1, 2, 3, 4])]
+    assert ids(find(spark, make, flights, ask(legs=5))) == [(1, [0, 1, 2, 3, 4])]
+    assert ids(find(spark, make, flights, ask(legs=4))) == []
+
+
+def test_a_leg_limit_refuses_requests_for_more(spark, make):
+    flights = [flight(1, "A", "C", "2024-01-01 08:00", "2024-01-01 09:00")]
+    asked = [ask(1, legs=2), ask(2, legs=5), ask(3, legs=None)]
+    assert ids(find(spark, make, flights, *asked, leg_limit=3)) == [(1, [1]), (3, [1])]
+    refused = search.beyond_limit(request(spark, *asked), 3)
+    assert tuples(refused, "request_id", "reason") == [(2, "number of legs")]
+
+
+def test_many_destinations_share_one_walk(spark, make):
+    flights = [flight(i, "A", f"D{i}", "2024-01-01 08:00", "2024-01-01 09:00") for i in range(40)]
+    asked = [ask(i, b=f"D{i}") for i in range(60)]  # the last twenty are served by no flight
+    assert ids(find(spark, make, flights, *asked)) == [(i, [i]) for i in range(40)]
+    trips = search.search_trips(request(spark, *asked), make("flight", flights), fares_for(make, flights))
+    left = search.requests_without_trip(request(spark, *asked), trips)
+    assert tuples(left, "request_id") == [(i,) for i in range(40, 60)]
 
 
 def test_other_airlines_and_classes_do_not_connect(spark, make):
@@ -145,7 +162,7 @@ def test_missing_price_makes_the_total_unknown(spark, make):
         flight(3, "A", "C", "2024-01-01 09:30", "2024-01-01 10:00"),
     ]
     fares = fares_for(make, flights, lambda i: None if i == 2 else usd("100.00"))
-    out = search.rank_itineraries(find(spark, make, flights, ask(), fares=fares))
+    out = search.ranked_itineraries(request(spark, ask()), make("flight", flights), fares)
     assert tuples(out, "rank", "ids", "total_price") == [(1, [3], usd("100.00")), (2, [1, 2], None)]
 
 

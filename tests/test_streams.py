@@ -71,6 +71,17 @@ def test_bookings_are_whole_and_not_repeated(spark, fares, tmp_path):  # noqa: F
     ]
 
 
+def test_a_checkout_sent_again_is_booked_once_without_a_watermark(spark, fares, tmp_path):  # noqa: F811
+    schema = "cart_id bigint, customer_id bigint, paid_with bigint, tag string"
+    one, two = (1, 7, 900, "[[1, 1], [2, 2]]"), (2, 8, 900, "[[1, 1]]")
+    batches = [[one, one], [two, one], [one], [two]]
+    tickets, refused = f"{tmp_path}/tickets", f"{tmp_path}/refused"
+    feeds.start_bookings(
+        land(spark, batches, schema, tmp_path), fares, tickets, refused, f"{tmp_path}/cp"
+    ).awaitTermination()
+    assert tuples(spark.read.parquet(tickets), "flight", "class_id", "customer_id") == [(1, 1, 7), (1, 1, 8), (2, 2, 7)]
+
+
 def test_account_stream_equals_the_batch(spark, make, customers, tmp_path):  # noqa: F811
     rows = [tuple(r) for r in account_log(spark).collect()]
     batches = [rows[5:], rows[:3], rows[3:5], rows[:1]]

@@ -6,20 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.money import money
-from wayfare.operators.cart import PAIR, cart_totals, fare_details
+from wayfare.operators.cart import PAIR, fare_details
 
 # A ticket id holds the cart id above the position in the cart.
-_POSITION_BITS = 20
+POSITION_BITS = 20
 
 
 def ticket_id(cart_id: Column, seq: Column) -> Column:
     """Collision-free id, the same on every run, so booking a cart twice gives equal tickets."""
-    in_range = (seq >= 0) & (seq < 2**_POSITION_BITS) & (cart_id >= 0) & (cart_id < 2 ** (63 - _POSITION_BITS))
-    return F.when(in_range, F.shiftleft(cart_id.cast("bigint"), _POSITION_BITS) + seq).otherwise(
+    in_range = (seq >= 0) & (seq < 2**POSITION_BITS) & (cart_id >= 0) & (cart_id < 2 ** (63 - POSITION_BITS))
+    return F.when(in_range, F.shiftleft(cart_id.cast("bigint"), POSITION_BITS) + seq).otherwise(
         F.raise_error(F.lit("cart id or position too large for a ticket id")).cast("bigint")
     )
 
 
+def first_ticket(cart_id: int) -> int:
+    """The smallest id that a ticket of a cart can have."""
+    return cart_id << POSITION_BITS
+
+
+def last_ticket(cart_id: int) -> int:
+    """The largest id that a ticket of a cart can have."""
+    return first_ticket(cart_id + 1) - 1
+
+
 def priced_cart(cart: DataFrame, fares: DataFrame) -> DataFrame:
     """Cart rows with the price of their exact flight and class, NULL where there is none."""
     return cart.join(fares.select(*PAIR, "price"), PAIR, "left").select(*cart.columns, "price")
@@ -91,10 +101,5 @@ def ticket_history(
     return receipts(tickets, flights, fares, classes)
 
 
-def receipt_totals(cart: DataFrame, fares: DataFrame, pair_mode: str = "exact") -> DataFrame:
-    """Total per booked cart: the fares of its own pairs, or of the ``cross`` pairs."""
-    return cart_totals(cart, fares, pair_mode)
-
-
 def receipt_total(receipt: DataFrame, by: list[str]) -> DataFrame:
     return receipt.groupBy(*by).agg(money(F.sum("price")).alias("total"))

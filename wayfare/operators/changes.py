@@ -142,7 +142,8 @@ def add_payments(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def remove_payments(payments: DataFrame, log: DataFrame) -> DataFrame:
-    """Payment methods left after removals (``target_id``) by their own customer."""
+    """Payment methods left after removals (``target_id``) by their own customer. The rows of
+    ``payments`` count as older than the log."""
     removed = (
         log.filter(F.col("action") == "remove_payment")
         .select(F.col("target_id").alias("id"), "customer_id")
@@ -151,6 +152,70 @@ def remove_payments(payments: DataFrame, log: DataFrame) -> DataFrame:
     return payments.join(removed, ["id", "customer_id"], "left_anti").select(*payments.columns)
 
 
+_FORM = [
+    "line1",
+    "line2",
+    "city",
+    "province",
+    "post",
+    "country",
+    "card_number",
+    "exp_year",
+    "exp_month",
+    "card_holder",
+    "address_id",
+]
+
+
+def _newest_forms(log: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest row of ``log`` per ``keys``, with its form columns."""
+    form = F.struct(*[F.col(c) for c in _FORM if c in log.columns])
+    newest = log.groupBy(*keys).agg(F.max("seq").alias("seq"), F.max_by(form, "seq").alias("_form"))
+    return newest.select(*keys, "seq", "_form.*")
+
+
+def apply_addresses(addresses: DataFrame, log: DataFrame) -> DataFrame:
+    """Addresses after the log: the newest form of an added address replaces what is stored."""
+    forms = _newest_forms(
+        log.filter((F.col("action") == "add_address") & F.col("line1").isNotNull()), ["target_id"]
+    ).withColumns({"address_id": F.col("target_id"), "customer_id": F.lit(None).cast("bigint")})
+    added, _ = add_addresses(forms)
+    kept = addresses.join(added.select("id"), "id", "left_anti").select(*addresses.columns)
+    return kept.unionByName(added.select(*addresses.columns))
+
+
+def apply_payments(payments: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(payment methods after the log, refused forms).
+
+    Per method and customer the newest change wins: an addition replaces what is stored, a removal
+    takes it away. Refused forms change nothing.
+    """
+    adds = log.filter(F.col("action") == "add_payment").withColumn("payment_id", F.col("target_id"))
+    good, refused = add_payments(adds)
+    valid = adds.join(
+        good.select(F.col("id").alias("payment_id"), "customer_id").distinct(), ["payment_id", "customer_id"], "left_semi"
+    )
+    # Of one key's forms only readable ones may be the newest.
+    readable = valid.filter(
+        F.trim("exp_year").try_cast("int").between(1, 9999) & F.trim("exp_month").try_cast("int").between(1, 12)
+    )
+    forms = _newest_forms(readable, ["payment_id", "customer_id"])
+    removals = (
+        log.filter(F.col("action") == "remove_payment")
+        .groupBy(F.col("target_id").alias("payment_id"), "customer_id")
+        .agg(F.max("seq").alias("_removed"))
+    )
+    alive = forms.join(removals, ["payment_id", "customer_id"], "left").filter(
+        F.col("_removed").isNull() | (F.col("_removed") < F.col("seq"))
+    )
+    added, _ = add_payments(alive)
+    touched = forms.select(F.col("payment_id").alias("id"), "customer_id").unionByName(
+        removals.select(F.col("payment_id").alias("id"), "customer_id")
+    )
+    kept = payments.join(touched.distinct(), ["id", "customer_id"], "left_anti").select(*payments.columns)
+    return kept.unionByName(added.select(*payments.columns)), refused.distinct()
+
+
 # -- all tables at once -----------------------------------------------------
 
 
@@ -160,34 +225,14 @@ def apply_changes(tables: dict[str, DataFrame], log: DataFrame) -> dict[str, Dat
     Besides seq, customer_id, action and target_id, the log carries the form columns line1,
     line2, city, province, post, country, card_number, exp_year, exp_month and card_holder. The
     new key of an added address or payment method is its ``target_id``; for add_payment the
-    billing address is ``address_id``. The key ``refused_payment`` holds refused forms.
+    billing address is ``address_id``. The key ``refused_payment`` holds refused forms. Applying a
+    log to its own result changes nothing.
     """
-    # A change delivered twice has the same seq and must add one row.
-    new_addresses, _ = add_addresses(
-        log.filter((F.col("action") == "add_address") & F.col("line1").isNotNull())
-        .dropDuplicates(["seq"])
-        .select(
-            "customer_id",
-            F.col("target_id").alias("address_id"),
-            "line1",
-            "line2",
-            "city",
-            "province",
-            "post",
-            "country",
-        )
-    )
-    new_payments, refused = add_payments(
-        log.filter(F.col("action") == "add_payment")
-        .dropDuplicates(["seq"])
-        .withColumn("payment_id", F.col("target_id"))
-    )
-    payment_columns = tables["payment_method"].columns
-    added = new_payments.select(*payment_columns)
+    payments, refused = apply_payments(tables["payment_method"], log)
     return {
         "customer": apply_primaries(tables["customer"], log),
-        "address": tables["address"].unionByName(new_addresses),
+        "address": apply_addresses(tables["address"], log),
         "customer_address": apply_address_links(tables["customer_address"], log),
-        "payment_method": remove_payments(tables["payment_method"].unionByName(added), log),
+        "payment_method": payments,
         "refused_payment": refused,
     }

@@ -9,9 +9,6 @@ from wayfare.constants import CABIN_CLASSES, MONEY
 from wayfare.functions.geo import airport_trig, trig_miles
 from wayfare.functions.money import money, ticket_price
 
-# A class list up to this many rows travels inside the plan; a longer one is joined.
-INLINE_CLASSES = 200
-
 
 def cabin_capacity(class_id: str) -> Column:
     """Seats of a cabin class; NULL for a class without a fixed layout."""
@@ -37,21 +34,13 @@ def flight_miles(flights: DataFrame, airports: DataFrame, mode: str = "reference
 def with_each_class(df: DataFrame, classes: DataFrame) -> DataFrame:
     """Every row once per cabin class, adding ``class_id`` and ``fee``.
 
-    A short class list is read once and unrolled from an array, which keeps this a narrow step.
+    A fare is wanted for every pair, so this is a cross join. The class list is the small side, and
+    Spark's own size check broadcasts it.
     """
     wanted = classes.filter("id is not null").selectExpr(
         "cast(id as int) as class_id", f"cast(fee as {MONEY}) as fee"
     )
-    rows = wanted.take(INLINE_CLASSES + 1)
-    if not rows:
-        return df.join(wanted, F.lit(False))
-    if len(rows) > INLINE_CLASSES:
-        return df.join(wanted, F.lit(True))
-    listed = ", ".join(
-        f"struct({r.class_id} as class_id, cast({'null' if r.fee is None else r.fee} as {MONEY}) as fee)"
-        for r in rows
-    )
-    return df.selectExpr(*df.columns, f"inline(array({listed})) as (class_id, fee)")
+    return df.crossJoin(wanted)
 
 
 def price_flights(

@@ -26,8 +26,6 @@ SEARCH = ["airline", "origin", "dmin", "dmax", "class_id", "max_wait", "max_legs
 TRIP = [*SEARCH, "destination"]
 
 BUCKET_MINUTES = 120
-# Destinations of one search are carried along its paths in lists of at most this many.
-DESTINATIONS_PER_LIST = 16
 
 
 # -- requests ---------------------------------------------------------------
@@ -78,9 +76,20 @@ def resolve_requests(forms: DataFrame, customers: DataFrame, today: str) -> tupl
     return good, bad
 
 
+def most_legs(requests: DataFrame) -> int:
+    """The largest leg limit of a batch of requests, at least 1: how many levels it is walked."""
+    return max(1, requests.agg(F.max("max_legs")).first()[0] or 1)
+
+
+def beyond_limit(requests: DataFrame, leg_limit: int) -> DataFrame:
+    """Requests that ask for more legs than ``leg_limit``, which a search with it leaves out."""
+    over = requests.filter(F.col("max_legs") > leg_limit)
+    return over.select("request_id", F.lit("number of legs").alias("reason"))
+
+
 def _normal(requests: DataFrame, leg_limit: int) -> DataFrame:
-    """Requests that can match, with the leg limit within 1..leg_limit and no missing wait."""
-    return requests.filter("dmin <= dmax").selectExpr(
+    """Requests that can match, with a limit of 1..leg_limit legs and no missing wait."""
+    return requests.filter(f"dmin <= dmax and coalesce(max_legs, 1) <= {leg_limit}").selectExpr(
         "request_id",
         "airline",
         "origin",
@@ -89,11 +98,11 @@ def _normal(requests: DataFrame, leg_limit: int) -> DataFrame:
         "dmax",
         "cast(class_id as int) as class_id",
         "greatest(coalesce(max_wait, interval '0' minute), interval '0' minute) as max_wait",
-        f"cast(greatest(1, least(coalesce(max_legs, 1), {leg_limit})) as int) as max_legs",
+        "cast(greatest(1, coalesce(max_legs, 1)) as int) as max_legs",
     )
 
 
-def within_horizon(flights: DataFrame, requests: DataFrame, leg_limit: int = MAX_LEGS) -> DataFrame:
+def within_horizon(flights: DataFrame, requests: DataFrame, leg_limit: int | None = None) -> DataFrame:
     """The flights any of the requests could use, by departure time.
 
     A first leg leaves inside the request's window, and each later leg at most one flight and
@@ -101,13 +110,18 @@ def within_horizon(flights: DataFrame, requests: DataFrame, leg_limit: int = MAX
     reach the scan as plain filters, and prune whole folders of flights stored by
     ``departure_date``.
     """
-    asked = requests.agg(F.min("dmin").alias("first"), F.max("dmax").alias("last"), F.max("max_wait").alias("wait"))
+    asked = requests.agg(
+        F.min("dmin").alias("first"),
+        F.max("dmax").alias("last"),
+        F.max("max_wait").alias("wait"),
+        F.max("max_legs").alias("legs"),
+    )
     flown = F.col("arrival_time") - F.col("departure_time")
     asked = asked.first()
     span = flights.agg(F.min(flown).alias("shortest"), F.max(flown).alias("longest")).first()
     if asked["first"] is None or asked["last"] is None or span["longest"] is None:
         return flights.filter("false")
-    none, later = timedelta(0), leg_limit - 1
+    none, later = timedelta(0), max(1, leg_limit or asked["legs"] or 1) - 1
     first = asked["first"] + min(none, span["shortest"]) * later
     last = asked["last"] + (max(none, span["longest"]) + max(none, asked["wait"] or none)) * later
     usable = flights.filter(f"departure_time between timestamp_ntz'{first}' and timestamp_ntz'{last}'")
@@ -145,17 +159,16 @@ _MEETS = "airline = o_airline and class_id = o_class_id and at = o_from and buck
 _FINISHED = -2_000_000_000
 
 
-def _searches(requests: DataFrame) -> DataFrame:
-    """Distinct searches, each with the destinations asked of it in short lists.
+def _searches(requests: DataFrame, flights: DataFrame) -> DataFrame:
+    """Distinct searches, each with the list of destinations asked of it.
 
-    The set of destinations of one search is at most the number of airports, and duplicates
-    fall away before the shuffle, so a search asked a billion times is still one small row.
+    Only airports that some flight serves are kept, so a list is never longer than the airports
+    are many, whatever text the requests hold. Duplicates fall away before the shuffle, so a
+    search asked a billion times is still one small row.
     """
-    wanted = requests.groupBy(*SEARCH).agg(F.collect_set("destination").alias("_all"))
-    step = DESTINATIONS_PER_LIST
-    return wanted.filter("size(_all) > 0").selectExpr(
-        *SEARCH, f"explode(transform(sequence(1, size(_all), {step}), i -> slice(_all, i, {step}))) as wanted"
-    )
+    served = flights.select(F.col("arrival_airport").alias("destination")).distinct()
+    possible = requests.select(*SEARCH, "destination").distinct().join(served, "destination", "left_semi")
+    return possible.groupBy(*SEARCH).agg(F.collect_set("destination").alias("wanted"))
 
 
 def _first_legs(searches: DataFrame, offered: DataFrame, width: int) -> DataFrame:
@@ -248,22 +261,25 @@ def search_trips(
     requests: DataFrame,
     flights: DataFrame,
     fares: DataFrame,
-    leg_limit: int = MAX_LEGS,
+    leg_limit: int | None = None,
     bucket_minutes: int = BUCKET_MINUTES,
 ) -> DataFrame:
     """Itineraries of every distinct trip asked for; requests for the same trip share the work.
 
     Each level is one equi join on airline, class, airport and time bucket with the exact time
-    bounds as a join condition.
+    bounds as a join condition. There are as many levels as the requests ask for. ``leg_limit``
+    saves finding that number; requests for more legs are then left out, and are what
+    :func:`beyond_limit` gives.
     """
+    leg_limit = leg_limit or most_legs(requests)
     offered = offers(flights, fares, bucket_minutes)
-    paths = _first_legs(_searches(_normal(requests, leg_limit)), offered, bucket_minutes)
+    paths = _first_legs(_searches(_normal(requests, leg_limit), flights), offered, bucket_minutes)
     for level in range(1, leg_limit):
         paths = _grow(paths, offered, level, leg_limit, bucket_minutes)
     return _arrived(paths)
 
 
-def answer_requests(requests: DataFrame, trips: DataFrame, leg_limit: int = MAX_LEGS) -> DataFrame:
+def answer_requests(requests: DataFrame, trips: DataFrame, leg_limit: int) -> DataFrame:
     """Give every request the itineraries of its trip."""
     asked = _normal(requests, leg_limit).select("request_id", *TRIP)
     extra = [c for c in trips.columns if c not in TRIP]
@@ -274,10 +290,11 @@ def search_itineraries(
     requests: DataFrame,
     flights: DataFrame,
     fares: DataFrame,
-    leg_limit: int = MAX_LEGS,
+    leg_limit: int | None = None,
     bucket_minutes: int = BUCKET_MINUTES,
 ) -> DataFrame:
     """One row per request and itinerary: ids, path, total_legs, total_price, legs."""
+    leg_limit = leg_limit or most_legs(requests)
     trips = search_trips(requests, flights, fares, leg_limit, bucket_minutes)
     return answer_requests(requests, trips, leg_limit)
 
@@ -286,23 +303,19 @@ def ranked_itineraries(
     requests: DataFrame,
     flights: DataFrame,
     fares: DataFrame,
-    leg_limit: int = MAX_LEGS,
+    leg_limit: int | None = None,
     bucket_minutes: int = BUCKET_MINUTES,
 ) -> DataFrame:
     """Itineraries with ``rank`` 1, 2, … per request by total price, then by flight ids.
 
     Ranks belong to a trip, so they are worked out once per trip and not once per request.
     """
+    leg_limit = leg_limit or most_legs(requests)
     trips = search_trips(requests, flights, fares, leg_limit, bucket_minutes)
     trips = number_within(trips, TRIP, ["total_price", "ids"], "rank")
     return answer_requests(requests, trips, leg_limit)
 
 
-def rank_itineraries(itineraries: DataFrame) -> DataFrame:
-    """Add ``rank`` to itineraries that are already spread over requests."""
-    return number_within(itineraries, ["request_id"], ["total_price", "ids"], "rank")
-
-
 # -- results ----------------------------------------------------------------
 
 
@@ -337,6 +350,15 @@ def booking_tag(ids: Column, class_id: Column) -> Column:
     return F.to_json(F.transform(ids, lambda i: F.array(i, class_id.cast("bigint"))))
 
 
+def requests_without_trip(requests: DataFrame, trips: DataFrame) -> DataFrame:
+    """Requests whose trip is not among ``trips``, as :func:`search_trips` gives them for the same
+    requests. Nothing is spread over the requests to find that out."""
+    legs = most_legs(requests)
+    asked = _normal(requests, legs).select("request_id", *TRIP)
+    answered = asked.join(trips.select(*TRIP).distinct(), TRIP, "left_semi").select("request_id")
+    return requests.join(answered, "request_id", "left_anti")
+
+
 def unmatched_requests(requests: DataFrame, itineraries: DataFrame) -> DataFrame:
     """Requests without a single itinerary."""
     answered = itineraries.select("request_id").distinct()

@@ -14,6 +14,7 @@ from wayfare.functions.calendar import bit_positions, interval_minutes
 from wayfare.functions.labels import clock_label, departure_label, flight_code, path_label
 from wayfare.operators import accounts, booking, cart, changes, fares, quality, schedule, search
 from wayfare.session import stage, staging_path
+from wayfare.sources.schemas import schema_of
 from wayfare.sources.standin import StandIn
 from wayfare.streaming import feeds, keyed_carts
 
@@ -153,6 +154,13 @@ def search_itineraries(t: StandIn) -> DataFrame:
     return _shown(search.search_itineraries(t.requests, t.flights, t.fares))
 
 
+@_query
+def search_four_legs(t: StandIn) -> DataFrame:
+    """Requests for one to four legs in one batch."""
+    asked = t.requests.withColumn("max_legs", (1 + F.col("request_id") % 4).cast("int"))
+    return _shown(search.search_itineraries(asked, t.flights, t.fares))
+
+
 @_query
 def search_legs(t: StandIn) -> DataFrame:
     legs = search.itinerary_legs(search.search_itineraries(t.requests, t.flights, t.fares))
@@ -169,8 +177,8 @@ def search_ranked(t: StandIn) -> DataFrame:
 
 @_query
 def search_no_match(t: StandIn) -> DataFrame:
-    found = search.search_itineraries(t.requests, t.flights, t.fares)
-    return search.unmatched_requests(t.requests, found).select("request_id", "origin", "destination")
+    trips = search.search_trips(t.requests, t.flights, t.fares)
+    return search.requests_without_trip(t.requests, trips).select("request_id", "origin", "destination")
 
 
 @_query
@@ -248,28 +256,33 @@ def cart_pair_audit(t: StandIn) -> DataFrame:
 # -- booking ----------------------------------------------------------------
 
 
+def _priced(t: StandIn) -> DataFrame:
+    """The carts with their prices, staged so that they meet the fares once."""
+    return stage(booking.priced_cart(t.carts, t.fares), "priced-carts")
+
+
 @_query
 def book_tickets(t: StandIn) -> DataFrame:
-    tickets, _ = booking.book_tickets(t.carts, t.fares)
+    tickets, _ = booking.settle(_priced(t))
     return tickets
 
 
 @_query
 def book_tickets_leg_zero(t: StandIn) -> DataFrame:
-    tickets, _ = booking.book_tickets(t.carts, t.fares, "zero")
+    tickets, _ = booking.settle(_priced(t), "zero")
     return tickets.drop("id")
 
 
 @_query
 def book_refused(t: StandIn) -> DataFrame:
-    _, refused = booking.book_tickets(t.carts, t.fares)
+    _, refused = booking.settle(_priced(t))
     return refused
 
 
 @_query
 def receipts(t: StandIn) -> DataFrame:
     """Receipts of the tickets just booked."""
-    tickets, _ = booking.book_tickets(t.carts, t.fares)
+    tickets = stage(booking.settle(_priced(t))[0], "tickets")
     return booking.receipts(t.tickets.unionByName(tickets), t.flights, t.fares, t.classes, tickets).withColumn(
         "departing", departure_label(F.col("departure_time"))
     )
@@ -277,7 +290,7 @@ def receipts(t: StandIn) -> DataFrame:
 
 @_query
 def receipt_totals(t: StandIn) -> DataFrame:
-    tickets, _ = booking.book_tickets(t.carts, t.fares)
+    tickets, _ = booking.settle(_priced(t))
     return booking.receipt_total(
         booking.receipts(tickets, t.flights, t.fares, t.classes), ["customer_id"]
     )
@@ -285,9 +298,9 @@ def receipt_totals(t: StandIn) -> DataFrame:
 
 @_query
 def receipt_totals_cross(t: StandIn) -> DataFrame:
-    _, refused = booking.book_tickets(t.carts, t.fares)
+    _, refused = booking.settle(_priced(t))
     booked = t.cart_items.join(refused.select("cart_id").distinct(), "cart_id", "left_anti")
-    return booking.receipt_totals(booked, t.fares, "cross")
+    return cart.cart_totals(booked, t.fares, "cross")
 
 
 @_query
@@ -400,6 +413,21 @@ def remove_payments(t: StandIn) -> DataFrame:
     return changes.remove_payments(t.payments, t.payment_removals)
 
 
+@_query
+def apply_changes_address(t: StandIn) -> DataFrame:
+    return changes.apply_addresses(t.addresses, t.change_log)
+
+
+@_query
+def apply_changes_customer_address(t: StandIn) -> DataFrame:
+    return changes.apply_address_links(t.address_links, t.change_log)
+
+
+@_query
+def apply_changes_payment_method(t: StandIn) -> DataFrame:
+    return changes.apply_payments(t.payments, t.change_log)[0]
+
+
 # -- integrity --------------------------------------------------------------
 
 
@@ -462,12 +490,14 @@ def cart_keyed_stream(t: StandIn) -> DataFrame:
 def booking_stream(t: StandIn) -> DataFrame:
     """Tickets after all booking tags were checked out as a stream."""
     checkouts = t.tags.withColumn("paid_with", F.col("customer_id"))
+    # Every third checkout is sent twice, in the same micro-batch or in another.
+    checkouts = checkouts.unionByName(checkouts.filter("cart_id % 3 = 0"))
     tickets, refused = _scratch(t, "tickets"), _scratch(t, "refused")
     stored = stage(t.fares, "fares")
     feeds.start_bookings(
         _as_stream(t, checkouts, "checkouts"), stored, tickets, refused, _scratch(t, "booking-state")
     ).awaitTermination()
-    return t.spark.read.parquet(tickets).drop("batch_id")
+    return t.spark.read.schema(schema_of("ticket")).parquet(tickets)
 
 
 @_query

@@ -92,7 +92,7 @@ _VIEWS = {
           order by l_linenumber,l_partkey,l_suppkey,l_extendedprice) seq,
         case when l_quantity>=49 then -1 else l_partkey end flight_id,
         cast(1+l_linenumber%4 as int) class_id, o_custkey paid_with
-        from lineitem join orders on l_orderkey=o_orderkey where l_orderkey%10=0""",
+        from lineitem join orders on l_orderkey=o_orderkey""",
     "cart_cross": """select k.cart_id, fc.flight_id, fc.class_id, fc.price
         from (select distinct cart_id, flight_id from cart) k join flight_class fc on k.flight_id=fc.flight_id
         where exists (select 1 from cart c where c.cart_id=k.cart_id and c.class_id=fc.class_id)""",
@@ -112,11 +112,10 @@ _VIEWS = {
         cast(json_extract_string(tag, '$['||(s-1)||'][1]') as int) class_id
         from tag cross join (values (1::bigint),(2)) n(s)
         where cart_id%31<>0 and cart_id%37<>0""",
-    "ticket": """select l_orderkey*10+l_linenumber id,
+    "ticket": """select 4611686018427387904+l_orderkey*10+l_linenumber id,
         cast(round(max(l_extendedprice)/100,2) as decimal(19,2)) price, 0 leg, min(l_partkey) flight,
         min(o_custkey) customer_id, min(o_custkey) paid_with, cast(1+l_linenumber%4 as int) class_id
-        from lineitem join orders on l_orderkey=o_orderkey where l_orderkey%10<>0
-        group by l_orderkey, l_linenumber""",
+        from lineitem join orders on l_orderkey=o_orderkey group by l_orderkey, l_linenumber""",
     "address": """select c_custkey id, c_name||' St' line_1,
         case when c_custkey%3=0 then 'Suite '||cast(c_custkey%90 as varchar) else '' end line_2,
         c_mktsegment city,
@@ -138,6 +137,17 @@ _VIEWS = {
           when 'click' then 'set_primary_address' when 'purchase' then 'set_primary_payment'
           else 'add_payment' end as action,
         event_id%(select count(*) from customer) target_id from events""",
+    "change_log": """select event_id seq, user_id customer_id,
+        case event_type when 'view' then 'add_address' when 'error' then 'remove_address'
+          when 'click' then 'add_payment' when 'purchase' then 'remove_payment'
+          else 'set_primary_payment' end as action,
+        user_id+case when event_id%3=0 then 0 else (select count(*) from customer) end target_id,
+        'Dock '||cast(event_id%700 as varchar) line1,
+        case when event_id%3<>0 then 'Floor '||cast(event_id%40 as varchar) else '' end line2,
+        'P'||cast(event_id%10 as varchar) province, lpad(cast(event_id as varchar),5,'0') post,
+        lpad(cast((event_id*7919)%10000000 as varchar),16,'0') card_number,
+        case when event_id%17=0 then 0 else 2025+event_id%6 end exp_year, event_id%14 exp_month,
+        'Holder '||cast(user_id as varchar) card_holder, user_id address_id from events""",
     "payment_form": """select event_id payment_id, user_id customer_id,
         lpad(cast((event_id*7919)%10000000 as varchar),16,'0') card_number,
         case when event_id%17=0 then 'soon' else cast(2025+event_id%6 as varchar) end exp_year,
@@ -170,7 +180,7 @@ _VIEWS = {
     "bad_ticket": "select flight, customer_id, paid_with, case when id%500=0 then 7 else class_id end class_id from ticket",
     "bad_payment_method": "select id, customer_id, case when id%43<>0 then billing_address end billing_address from payment_method",
     "bad_flight_class": """select flight_id, class_id, case when flight_id%90<>0 then capacity end capacity
-        from flight_class where class_id<3""",
+        from flight_class""",
 }
 
 _RECEIPT = """select t.id ticket_id, t.customer_id, fc.flight_id, fc.class_id, c.display_name class_name,
@@ -285,6 +295,10 @@ _SQL: dict[str, tuple[str, str]] = {
     "search_nonstop": (_legs_view(1) + ", " + _paths("asked"), _SHOWN),
     "search_one_stop": (_legs_view(2) + ", " + _paths("asked"), _SHOWN),
     "search_itineraries": (_paths("request"), _SHOWN),
+    "search_four_legs": (
+        "asked as (select * replace (cast(1+request_id%4 as int) as max_legs) from request), " + _paths("asked"),
+        _SHOWN,
+    ),
     "search_legs": (
         _paths("request"),
         """select request_id, array_to_string(ids, ',') ids, id, array_to_string(path, ',') path, leg,
@@ -366,7 +380,7 @@ _SQL: dict[str, tuple[str, str]] = {
     "receipts": (
         "",
         """select r.*, strftime(departure_time, 'Departing at %H:%M on %m-%d-%y') departing from ("""
-        + _RECEIPT.format(tickets="(select * from booked union all select t0.* from ticket t0 join booked b0 on t0.id=b0.id)")
+        + _RECEIPT.format(tickets="booked")
         + ") r",
     ),
     "receipt_totals": (
@@ -434,6 +448,29 @@ _SQL: dict[str, tuple[str, str]] = {
               where n.customer_id=l.customer_id and n.address_id=l.address_id)
             union all select customer_id, address_id from newest where action='add_address'""",
     ),
+    "apply_changes_address": (
+        """newest as (select target_id id, max(seq) seq from change_log where action='add_address' group by 1)""",
+        """select * from address where id not in (select id from newest)
+            union all select c.target_id, c.line1, c.line2, 'City', c.province, c.post, 'Land'
+            from newest n join change_log c on c.seq=n.seq""",
+    ),
+    "apply_changes_customer_address": (
+        """newest as (select customer_id, target_id address_id, arg_max(action, seq) as action
+            from change_log where action in ('add_address','remove_address') group by 1, 2)""",
+        """select customer_id, address_id from customer_address l where not exists (select 1 from newest n
+              where n.customer_id=l.customer_id and n.address_id=l.address_id)
+            union all select customer_id, address_id from newest where action='add_address'""",
+    ),
+    "apply_changes_payment_method": (
+        """usable as (select * from change_log where action='remove_payment'
+            or action='add_payment' and exp_year>0 and exp_month between 1 and 12),
+          newest as (select target_id id, customer_id, max(seq) seq from usable group by 1, 2)""",
+        """select * from payment_method p where not exists (select 1 from newest n
+              where n.id=p.id and n.customer_id=p.customer_id)
+            union all select c.target_id, c.customer_id, make_date(exp_year, exp_month, 1), card_holder,
+              'Visa '||substr(card_number,1,4), c.address_id
+            from newest n join change_log c on c.seq=n.seq where c.action='add_payment'""",
+    ),
     "apply_primaries": ("", ""),
     "account_stream": ("", ""),
     "onboard_addresses": (

@@ -43,6 +43,8 @@ def _at(minute: str) -> str:
     return f"timestamp_ntz'2024-01-01 00:00:00' + {_minutes(minute)}"
 
 
+TICKET_BASE = 2**62
+
 _CART = [
     "l_orderkey as cart_id",
     "o_custkey as customer_id",
@@ -170,26 +172,23 @@ class StandIn:
             self.raw("orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey"
         )
 
-    @property
-    def _cart_lines(self) -> DataFrame:
-        return self._order_lines.filter("l_orderkey % 10 = 0")
-
     @property
     def cart_items(self) -> DataFrame:
-        """Every tenth order as a cart, its entries in no order."""
-        return self._cart_lines.selectExpr(*_CART)
+        """Every order as a cart, its entries in no order."""
+        return self._order_lines.selectExpr(*_CART)
 
     @cached_property
     def carts(self) -> DataFrame:
         """The same carts with their entries numbered, as booking needs them."""
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-        return number_within(self._cart_lines, ["l_orderkey"], order, "seq").selectExpr(*_CART, "seq")
+        return number_within(self._order_lines, ["l_orderkey"], order, "seq").selectExpr(*_CART, "seq")
 
     @property
     def tickets(self) -> DataFrame:
-        lines = self._order_lines.filter("l_orderkey % 10 <> 0").groupBy("l_orderkey", "l_linenumber")
+        # Their ids lie above those of all tickets that the carts can be booked into.
+        lines = self._order_lines.groupBy("l_orderkey", "l_linenumber")
         return lines.agg({"l_extendedprice": "max", "l_partkey": "min", "o_custkey": "min"}).selectExpr(
-            "l_orderkey * 10 + l_linenumber as id",
+            f"{TICKET_BASE} + l_orderkey * 10 + l_linenumber as id",
             "cast(round(`max(l_extendedprice)` / 100, 2) as decimal(19,2)) as price",
             "0 as leg",
             "`min(l_partkey)` as flight",
@@ -257,6 +256,30 @@ class StandIn:
             f"event_id % {self.customers} as target_id",
         )
 
+    @property
+    def change_log(self) -> DataFrame:
+        """Account changes with their forms. Keys come again and again, some for stored rows."""
+        forms = self.raw("events").selectExpr(
+            "event_id as seq",
+            "user_id as customer_id",
+            """case event_type when 'view' then 'add_address' when 'error' then 'remove_address'
+                when 'click' then 'add_payment' when 'purchase' then 'remove_payment'
+                else 'set_primary_payment' end as action""",
+            f"user_id + if(event_id % 3 = 0, 0, {self.customers}) as target_id",
+            "concat('Dock ', cast(event_id % 700 as string)) as line1",
+            "if(event_id % 3 <> 0, concat('Floor ', cast(event_id % 40 as string)), null) as line2",
+            "'City' as city",
+            "concat('P', cast(event_id % 10 as string)) as province",
+            "lpad(cast(event_id as string), 5, '0') as post",
+            "'Land' as country",
+            "lpad(cast((event_id * 7919) % 10000000 as string), 16, '0') as card_number",
+            "if(event_id % 17 = 0, 'soon', cast(2025 + event_id % 6 as string)) as exp_year",
+            "cast(event_id % 14 as string) as exp_month",
+            "concat('Holder ', cast(user_id as string)) as card_holder",
+            "user_id as address_id",
+        )
+        return forms
+
     @property
     def payment_forms(self) -> DataFrame:
         """Payment forms from sign-ups; the card numbers are made up from the event number."""
@@ -354,7 +377,7 @@ class StandIn:
             "ticket": self.tickets.selectExpr(
                 "* except (class_id)", "if(id % 500 = 0, 7, class_id) as class_id"
             ),
-            "flight_class": self.fares.filter("class_id < 3").selectExpr(
+            "flight_class": self.fares.selectExpr(
                 "* except (capacity)", "if(flight_id % 90 <> 0, capacity, null) as capacity"
             ),
             "customer_address": self.address_links,

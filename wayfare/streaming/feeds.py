@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from wayfare.operators.booking import book_tickets
+from wayfare.operators.booking import POSITION_BITS, first_ticket, last_ticket, priced_cart, settle
 from wayfare.operators.cart import cart_state, explode_tags, reduce_cart_events
+from wayfare.sources.schemas import schema_of
 
 _NO_TRIGGER = {"availableNow": True}
 
@@ -89,29 +90,48 @@ def start_bookings(
     """Book a stream of checkouts (cart_id, customer_id, paid_with, tag) against stored fares.
 
     A checkout is one row, so all its items are in one micro-batch and it is booked as a whole.
-    Ticket ids depend only on cart and position, and a retried batch replaces its own folder, so
-    nothing is booked twice. With ``late`` (such as "1 hour") the stream needs a ``ts`` column;
-    a checkout sent again within that time is dropped.
+    Ticket ids depend only on cart and position. A cart that comes twice in a batch counts once,
+    and one that already holds tickets from an earlier batch is not booked again; a retried batch
+    replaces its own folder. With ``late`` (such as "1 hour") the stream needs a ``ts`` column, and
+    a checkout sent again within that time is dropped before it meets the stored tickets.
     """
     if late is not None:
         checkouts = checkouts.withWatermark("ts", late).dropDuplicatesWithinWatermark(["cart_id"])
+    spark = checkouts.sparkSession
+    # An empty first folder, so that there is a table to read from the start.
+    ticket = schema_of("ticket")
+    nothing = spark.createDataFrame([], ticket)
+    _write_batch(nothing, tickets_path, -1)
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        # Both outputs read the batch, so it is kept for the time of the two writes.
-        batch = batch.select("cart_id", "customer_id", "paid_with", "tag").persist()
-        cart, broken = explode_tags(batch)
-        tickets, refused = book_tickets(cart, fares)
-        unreadable = broken.selectExpr(
-            "cart_id",
-            "customer_id",
-            "cast(null as bigint) as seq",
-            "cast(null as bigint) as flight_id",
-            "cast(null as int) as class_id",
-            "'unreadable tag' as reason",
+        once = batch.groupBy("cart_id").agg(F.min(F.struct("tag", "customer_id", "paid_with")).alias("x"))
+        once = once.select("cart_id", "x.customer_id", "x.paid_with", "x.tag")
+        bounds = once.agg(F.min("cart_id").alias("first"), F.max("cart_id").alias("last")).first()
+        if bounds["first"] is None:
+            return
+        stored = spark.read.schema(StructType([*ticket.fields, StructField("batch_id", LongType())]))
+        # The ids' range reaches the file statistics, the batch prunes folders.
+        held = stored.parquet(tickets_path).filter(
+            (F.col("batch_id") < batch_id) & F.col("id").between(first_ticket(bounds["first"]), last_ticket(bounds["last"]))
         )
-        _write_batch(tickets, tickets_path, batch_id)
-        _write_batch(refused.unionByName(unreadable), refused_path, batch_id)
-        batch.unpersist()
+        booked = held.select(F.shiftright("id", POSITION_BITS).alias("cart_id")).distinct()
+        cart, broken = explode_tags(once.join(booked, "cart_id", "left_anti"))
+        # Both outputs read the priced carts, which are kept for the time of the two writes.
+        priced = priced_cart(cart, fares).persist()
+        try:
+            tickets, refused = settle(priced)
+            unreadable = broken.selectExpr(
+                "cart_id",
+                "customer_id",
+                "cast(null as bigint) as seq",
+                "cast(null as bigint) as flight_id",
+                "cast(null as int) as class_id",
+                "'unreadable tag' as reason",
+            )
+            _write_batch(tickets, tickets_path, batch_id)
+            _write_batch(refused.unionByName(unreadable), refused_path, batch_id)
+        finally:
+            priced.unpersist()
 
     return (
         checkouts.writeStream.foreachBatch(land)
