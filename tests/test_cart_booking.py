@@ -1,3 +1,6 @@
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +142,55 @@ def test_review_shows_details(spark, fares, flights):
     ]
 
 
+# -- checkouts ---------------------------------------------------------------
+
+EVENTS = "seq bigint, customer_id bigint, action string, flight_id bigint, class_id int, tag string"
+
+
+def plain_checkouts(events):
+    """What each checkout buys, by replaying the events."""
+    held, out = {}, []
+    for seq, customer, action, flight, cabin, tag in sorted(set(events)):
+        mine = held.setdefault(customer, [])
+        if action == "add":
+            mine.append((flight, cabin))
+        elif action == "add_group":
+            mine += [tuple(map(int, pair)) for pair in json.loads(tag)]
+        elif action == "remove":
+            held[customer] = [p for p in mine if p != (flight, cabin)]
+        else:
+            if action == "checkout":
+                out += [(seq, customer, i, *p) for i, p in enumerate(mine, 1)]
+            held[customer] = []
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_checkouts_buy_what_the_cart_holds(spark, monkeypatch, seed):
+    monkeypatch.setattr(cart, "SLICE", 7)  # most rows look beyond their slice
+    rng = random.Random(seed)
+    actions = ["add"] * 5 + ["add_group", "remove", "remove", "clear", "checkout"]
+    events = []
+    for seq in range(1, 160):
+        action = rng.choice(actions)
+        pair = (rng.randrange(4), 1) if action in ("add", "remove") else (None, None)
+        tag = f"[[{rng.randrange(4)}, 1], [{rng.randrange(4)}, 1]]" if action == "add_group" else None
+        events.append((seq, rng.choice([1, 1, 1, 2, 3]), action, *pair, tag))
+    again = events + rng.sample(events, 40)
+    rng.shuffle(again)
+    got = cart.checked_out_carts(spark.createDataFrame(again, EVENTS))
+    assert tuples(got, "cart_id", "customer_id", "seq", "flight_id", "class_id") == plain_checkouts(events)
+
+
+def test_tags_of_one_cart_are_numbered_through(spark):
+    tags = spark.createDataFrame(
+        [(1, 20, "[[5, 1]]"), (1, 10, "[[7, 1], [8, 2]]"), (2, 1, "?")], "cart_id bigint, at int, tag string"
+    )
+    rows, refused = cart.carts_from_tags(tags, "at")
+    assert tuples(rows, "cart_id", "seq", "flight_id", "class_id") == [(1, 1, 7, 1), (1, 2, 8, 2), (1, 3, 5, 1)]
+    assert tuples(refused, "cart_id") == [(2,)]
+
+
 # -- booking -----------------------------------------------------------------
 
 

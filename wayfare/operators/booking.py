@@ -53,8 +53,11 @@ def settle(priced: DataFrame, leg_mode: str = "position") -> tuple[DataFrame, Da
     """Tickets and refused rows of a priced cart table. A job that stores both may stage the
     priced carts first, so that they meet the fares once."""
     reason = F.when(F.col("price").isNull(), "no price").when(F.col("paid_with").isNull(), "no payment method")
-    # The failing carts are reduced to distinct ids before they meet the cart rows again.
-    failing = priced.filter(reason.isNotNull()).select("cart_id").distinct()
+    # The failing carts are reduced to distinct ids before they meet the cart rows again. Two entries
+    # at one position would get one ticket id.
+    places = priced.groupBy("cart_id", "seq").agg(F.count("*").alias("n"), F.bool_or(reason.isNotNull()).alias("bad"))
+    failing = places.groupBy("cart_id").agg(F.bool_or("bad").alias("bad"), F.bool_or(F.col("n") > 1).alias("twice"))
+    failing = failing.filter("bad or twice").select("cart_id", "twice")
     leg = F.lit(0) if leg_mode == "zero" else F.col("seq").cast("int")
     tickets = priced.join(failing, "cart_id", "left_anti").select(
         ticket_id(F.col("cart_id"), F.col("seq")).alias("id"),
@@ -65,8 +68,12 @@ def settle(priced: DataFrame, leg_mode: str = "position") -> tuple[DataFrame, Da
         "paid_with",
         "class_id",
     )
-    refused = priced.join(failing, "cart_id", "left_semi").select(
-        "cart_id", "customer_id", "seq", *PAIR, reason.alias("reason")
+    refused = priced.join(failing, "cart_id").select(
+        "cart_id",
+        "customer_id",
+        "seq",
+        *PAIR,
+        F.coalesce(reason, F.when(F.col("twice"), "position used twice")).alias("reason"),
     )
     return tickets, refused
 

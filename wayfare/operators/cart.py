@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.constants import MONEY
 from wayfare.functions.money import money
+from wayfare.operators.ranking import number_within
 
 PAIR = ["flight_id", "class_id"]
 
@@ -54,8 +55,20 @@ def explode_tags(tags: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, read.filter(~_tag_is_good()).select(*tags.columns)
 
 
+def carts_from_tags(tags: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """Tags that carts took one after another, by the column ``order``, to cart rows numbered from
+    1 over the whole cart. ``order`` is unique within a cart. Returns (cart rows, refused tags)."""
+    rows, refused = explode_tags(tags)
+    rows = rows.withColumnRenamed("seq", "_item")
+    kept = [c for c in rows.columns if c not in (order, "_item", *PAIR)]
+    return number_within(rows, ["cart_id"], [order, "_item"], "seq").select(*kept, "seq", *PAIR), refused
+
+
 # -- cart events ------------------------------------------------------------
 
+# Event numbers that are looked through in one task, for any one customer.
+SLICE = 1_000_000
+
 
 def reduce_cart_events(events: DataFrame) -> DataFrame:
     """The part of an event batch that the fold needs: all adds, and per customer and per pair
@@ -86,6 +99,8 @@ def reduce_cart_events(events: DataFrame) -> DataFrame:
 def cart_state(events: DataFrame) -> DataFrame:
     """Entries still in the carts after all events (seq, customer_id, action, pair).
 
+    What a checkout bought is given by :func:`checked_out_carts`.
+
     An added entry stays when it is newer than the customer's last clear or checkout and newer
     than the last removal of the same pair. Only sequence numbers are compared, so events may
     come in any order, and an event delivered twice counts once. Both maxima are combined before
@@ -114,6 +129,58 @@ def cart_state(events: DataFrame) -> DataFrame:
     )
 
 
+def _next_mark(rows: DataFrame, marks: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """``rows`` with ``out``, the ``seq`` of the first of ``marks`` after each, of equal ``keys``.
+
+    Event numbers are cut into slices, so a very busy key is spread over tasks. A row without a
+    mark in the rest of its slice takes the first one of the next slice that has any.
+    """
+    cut = F.floor(F.col("seq") / F.lit(SLICE))
+    both = rows.withColumn("_mark", F.lit(None).cast("bigint")).unionByName(
+        marks.select(*keys, "seq", F.col("seq").alias("_mark")), allowMissingColumns=True
+    ).withColumn("_slice", cut)
+    later = Window.partitionBy(*keys, "_slice").orderBy(F.col("seq").desc())
+    near = both.withColumn("_near", F.min("_mark").over(later.rowsBetween(Window.unboundedPreceding, -1)))
+    firsts = marks.groupBy(*keys, cut.alias("_slice")).agg(F.min("seq").alias("_first"))
+    # One row per slice that has a row or a mark.
+    slices = both.select(*keys, "_slice").distinct().join(firsts, [*keys, "_slice"], "left")
+    onward = Window.partitionBy(*keys).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    far = slices.select(*keys, "_slice", F.min("_first").over(onward).alias("_far"))
+    found = near.filter(F.col("_mark").isNull()).join(far, [*keys, "_slice"])
+    return found.select(*rows.columns, F.coalesce("_near", "_far").alias(out))
+
+
+def _added(events: DataFrame) -> DataFrame:
+    """Single additions: those of ``add`` events, and of ``add_group`` events with a ``tag``."""
+    columns = ["customer_id", "seq", "item", *PAIR]
+    single = events.filter(F.col("action") == "add").withColumn("item", F.lit(1).cast("bigint"))
+    added = single.select(*columns)
+    if "tag" in events.columns:
+        groups = events.filter(F.col("action") == "add_group").select("customer_id", F.col("seq").alias("_at"), "tag")
+        rows, _ = explode_tags(groups)
+        added = added.unionByName(rows.select("customer_id", F.col("_at").alias("seq"), F.col("seq").alias("item"), *PAIR))
+    return added.dropDuplicates(["customer_id", "seq", "item"])
+
+
+def checked_out_carts(events: DataFrame) -> DataFrame:
+    """What each checkout bought: cart_id (the checkout's ``seq``), customer_id, seq, pair.
+
+    An added entry is bought by the customer's first checkout after it, unless the cart was
+    cleared or the pair removed before. Entries are numbered from 1 in the order in which they
+    were added. Events may come in any order, and one delivered twice counts once. An
+    ``add_group`` event carries a ``tag`` and appends its entries.
+    """
+    ends = events.filter(F.col("action").isin("clear", "checkout")).select("customer_id", "seq", "action")
+    removals = events.filter(F.col("action") == "remove").select("customer_id", "seq", *PAIR)
+    held = _next_mark(_added(events), ends.select("customer_id", "seq").distinct(), ["customer_id"], "_end")
+    held = _next_mark(held.filter("_end is not null"), removals.distinct(), ["customer_id", *PAIR], "_gone")
+    held = held.filter("_gone is null or _gone > _end")
+    checkouts = ends.filter(F.col("action") == "checkout").select(F.col("seq").alias("_end"), "customer_id").distinct()
+    bought = held.join(checkouts, ["customer_id", "_end"]).withColumnRenamed("_end", "cart_id")
+    bought = bought.withColumnRenamed("seq", "_at")
+    return number_within(bought, ["cart_id"], ["_at", "item"], "seq").select("cart_id", "customer_id", "seq", *PAIR)
+
+
 # -- review and totals ------------------------------------------------------
 
 

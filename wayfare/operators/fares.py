@@ -46,15 +46,21 @@ def with_each_class(df: DataFrame, classes: DataFrame) -> DataFrame:
 def price_flights(
     flights: DataFrame, airports: DataFrame, classes: DataFrame, mode: str = "reference"
 ) -> DataFrame:
-    """One fare per flight and cabin class: distance price plus the class fee, and the seats."""
+    """One fare per flight and cabin class: distance price plus the class fee, and the seats.
+
+    Flights as they are stored have a ``departure_date``, which their fares then get too, so that
+    both can be stored and pruned by it.
+    """
+    dated = [c for c in ("departure_date",) if c in flights.columns]
     priced = flight_miles(flights, airports, mode).select(
-        F.col("id").alias("flight_id"), ticket_price(F.col("miles")).alias("base")
+        F.col("id").alias("flight_id"), ticket_price(F.col("miles")).alias("base"), *dated
     )
     return with_each_class(priced, classes).select(
         "flight_id",
         "class_id",
         cabin_capacity("class_id").alias("capacity"),
         money(F.col("base") + F.col("fee")).alias("price"),
+        *dated,
     )
 
 

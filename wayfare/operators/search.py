@@ -130,12 +130,28 @@ def within_horizon(flights: DataFrame, requests: DataFrame, leg_limit: int | Non
     return usable
 
 
+def fares_of(fares: DataFrame, usable: DataFrame) -> DataFrame:
+    """The fares, stored by ``departure_date``, of the dates of ``usable`` flights.
+
+    The flights are those of :func:`within_horizon`, whose dates are a plain range; the same range
+    then prunes the folders of the fares.
+    """
+    span = usable.agg(F.min("departure_date").alias("first"), F.max("departure_date").alias("last")).first()
+    if span["first"] is None:
+        return fares.filter("false")
+    return fares.filter(f"departure_date between date'{span['first']}' and date'{span['last']}'")
+
+
 # -- the walk ---------------------------------------------------------------
 
 
 def offers(flights: DataFrame, fares: DataFrame, bucket_minutes: int = BUCKET_MINUTES) -> DataFrame:
     """Flights with one row per fare, placed in departure-time buckets."""
-    prices = fares.selectExpr("flight_id as o_id", "cast(class_id as int) as o_class_id", "price as o_price")
+    # Tables stored by date are joined on it too, which keeps the work of each date together.
+    dated = all("departure_date" in t.columns for t in (flights, fares))
+    day = ["departure_date as o_day"] if dated else []
+    keys = ["o_id", "o_day"] if dated else ["o_id"]
+    prices = fares.selectExpr("flight_id as o_id", "cast(class_id as int) as o_class_id", "price as o_price", *day)
     moves = flights.selectExpr(
         "id as o_id",
         "airline as o_airline",
@@ -145,8 +161,9 @@ def offers(flights: DataFrame, fares: DataFrame, bucket_minutes: int = BUCKET_MI
         "arrival_airport as o_to",
         "arrival_time as o_arrives",
         f"{time_bucket_sql('departure_time', bucket_minutes)} as o_bucket",
+        *day,
     )
-    return moves.join(prices, "o_id")
+    return moves.join(prices, keys).drop("o_day")
 
 
 _LEG = """struct(o_id as id, o_number as number, o_from as departure_airport, o_departs as departure_time,

@@ -14,6 +14,7 @@ from wayfare.functions.calendar import bit_positions, interval_minutes
 from wayfare.functions.labels import clock_label, departure_label, flight_code, path_label
 from wayfare.operators import accounts, booking, cart, changes, fares, quality, schedule, search
 from wayfare.session import stage, staging_path
+from wayfare.sources import tables
 from wayfare.sources.schemas import schema_of
 from wayfare.sources.standin import StandIn
 from wayfare.streaming import feeds, keyed_carts
@@ -59,7 +60,7 @@ def bit_position_lists(t: StandIn) -> DataFrame:
 @_query
 def schedule_expand(t: StandIn) -> DataFrame:
     flights = schedule.expand_schedule(t.schedule, t.airports)
-    return flights.drop("id").withColumn("duration", interval_minutes("duration"))
+    return flights.withColumn("duration", interval_minutes("duration"))
 
 
 @_query
@@ -154,6 +155,17 @@ def search_itineraries(t: StandIn) -> DataFrame:
     return _shown(search.search_itineraries(t.requests, t.flights, t.fares))
 
 
+@_query
+def search_stored(t: StandIn) -> DataFrame:
+    """Flights and fares built, written by date, read back, pruned to the requests and searched."""
+    tables.write_flights(t.flights, f"{(root := staging_path(t.spark, 'timetable'))}/flight")
+    flights = tables.read_flights(t.spark, f"{root}/flight")
+    tables.write_fares(fares.price_flights(flights, t.airports, t.classes), f"{root}/flight_class")
+    usable = search.within_horizon(flights, t.requests)
+    offered = search.fares_of(tables.read_fares(t.spark, f"{root}/flight_class"), usable)
+    return _shown(search.search_itineraries(t.requests, usable, offered))
+
+
 @_query
 def search_four_legs(t: StandIn) -> DataFrame:
     """Requests for one to four legs in one batch."""
@@ -227,6 +239,27 @@ def cart_state(t: StandIn) -> DataFrame:
     return cart.cart_state(t.cart_events)
 
 
+@_query
+def cart_from_many_tags(t: StandIn) -> DataFrame:
+    """Carts that took several tags one after another: one cart per customer."""
+    tags = t.tags.withColumns({"at": F.col("cart_id"), "cart_id": F.col("customer_id")})
+    rows, _ = cart.carts_from_tags(tags, "at")
+    return rows
+
+
+@_query
+def checkout_carts(t: StandIn) -> DataFrame:
+    return cart.checked_out_carts(t.cart_events)
+
+
+@_query
+def checkout_tickets(t: StandIn) -> DataFrame:
+    """Tickets for what the carts held at each checkout."""
+    bought = cart.checked_out_carts(t.cart_events).withColumn("paid_with", F.col("customer_id"))
+    tickets, _ = booking.settle(stage(booking.priced_cart(bought, t.fares), "priced-checkouts"))
+    return tickets
+
+
 @_query
 def cart_review(t: StandIn) -> DataFrame:
     return cart.cart_review(t.cart_items, t.flights, t.fares, t.classes)
@@ -497,7 +530,7 @@ def booking_stream(t: StandIn) -> DataFrame:
     feeds.start_bookings(
         _as_stream(t, checkouts, "checkouts"), stored, tickets, refused, _scratch(t, "booking-state")
     ).awaitTermination()
-    return t.spark.read.schema(schema_of("ticket")).parquet(tickets)
+    return t.spark.read.schema(schema_of("ticket")).parquet(tickets).drop("batch_id")
 
 
 @_query

@@ -23,7 +23,7 @@ _VIEWS = {
         (p_partkey*37)%1440 departure_min, (p_partkey*37+45+(p_partkey*11)%300)%1440 arrival_min,
         lpad(bin(p_partkey%128),7,'0') day_mask,
         cast(45+(p_partkey*11)%300+case when p_partkey%10=0 then 800 else 0 end as int) duration from part""",
-    "expanded": """select airline, number,
+    "expanded": """select id*1048576+(d-date '0001-01-01') id, airline, number,
         cast(d as timestamp)+to_minutes(cast(departure_min as int)) departure_time,
         cast(d as timestamp)+to_days(case when arrival_min<departure_min then 1 else 0 end)
           +to_minutes(cast(arrival_min as int)) arrival_time,
@@ -87,6 +87,12 @@ _VIEWS = {
             and c.action in ('clear','checkout')), -1)
           and a.seq > coalesce((select max(r.seq) from cart_event r where r.customer_id=a.customer_id
             and r.flight_id=a.flight_id and r.class_id=a.class_id and r.action='remove'), -1)""",
+    "bought": """select e.seq cart_id, a.customer_id,
+        row_number() over (partition by e.seq order by a.seq) seq, a.flight_id, a.class_id
+        from cart_event a join cart_event e on e.customer_id=a.customer_id and e.action='checkout' and e.seq>a.seq
+        where a.action='add' and not exists (select 1 from cart_event x where x.customer_id=a.customer_id
+          and x.seq>a.seq and x.seq<e.seq and (x.action in ('clear','checkout') or x.action='remove'
+            and x.flight_id=a.flight_id and x.class_id=a.class_id))""",
     "cart": """select l_orderkey cart_id, o_custkey customer_id,
         row_number() over (partition by l_orderkey
           order by l_linenumber,l_partkey,l_suppkey,l_extendedprice) seq,
@@ -295,6 +301,7 @@ _SQL: dict[str, tuple[str, str]] = {
     "search_nonstop": (_legs_view(1) + ", " + _paths("asked"), _SHOWN),
     "search_one_stop": (_legs_view(2) + ", " + _paths("asked"), _SHOWN),
     "search_itineraries": (_paths("request"), _SHOWN),
+    "search_stored": (_paths("request"), _SHOWN),
     "search_four_legs": (
         "asked as (select * replace (cast(1+request_id%4 as int) as max_legs) from request), " + _paths("asked"),
         _SHOWN,
@@ -331,6 +338,20 @@ _SQL: dict[str, tuple[str, str]] = {
         "select id, display_name from class where id in (select class_id from flight_class) order by id",
     ),
     "cart_from_tags": ("", "select * from tag_row"),
+    "cart_from_many_tags": (
+        "",
+        """select customer_id cart_id, customer_id,
+            row_number() over (partition by customer_id order by cart_id, seq) seq, flight_id, class_id from tag_row""",
+    ),
+    "checkout_carts": ("", "select * from bought"),
+    "checkout_tickets": (
+        """failed as (select distinct b.cart_id from bought b left join flight_class fc
+            on b.flight_id=fc.flight_id and b.class_id=fc.class_id where fc.price is null)""",
+        """select b.cart_id*1048576+b.seq id, fc.price, cast(b.seq as int) leg, b.flight_id flight, b.customer_id,
+            b.customer_id paid_with, b.class_id
+            from bought b join flight_class fc on b.flight_id=fc.flight_id and b.class_id=fc.class_id
+            where b.cart_id not in (select cart_id from failed)""",
+    ),
     "cart_tags_refused": ("", "select cart_id, customer_id, tag from tag where cart_id%31=0 or cart_id%37=0"),
     "cart_state": ("", "select * from carts_left"),
     "cart_stream": ("", "select * from carts_left"),

@@ -26,7 +26,7 @@ def build_timetable(spark: SparkSession, root: str, out: str) -> dict[str, DataF
     good, refused = fares.split_fares(fares.price_flights(flights, airports, classes))
     tables.write_fares(good, f"{out}/flight_class")
     tables.write_fares(refused, f"{out}/refused_fares")
-    stored = tables.read_table(spark, "flight_class", f"{out}/flight_class")
+    stored = tables.read_fares(spark, f"{out}/flight_class")
 
     checked = {
         "airport": airports,
@@ -44,8 +44,10 @@ def answer_searches(
 ) -> None:
     """Search forms to ranked itineraries under ``out``, with refused and unanswered forms."""
     requests, refused = search.resolve_requests(forms, customers, today)
-    usable = search.within_horizon(flights, requests)
-    search.ranked_itineraries(requests, usable, prices).write.mode("overwrite").parquet(f"{out}/itineraries")
+    usable, offered = search.within_horizon(flights, requests), prices
+    if "departure_date" in prices.columns:
+        offered = search.fares_of(prices, usable)
+    search.ranked_itineraries(requests, usable, offered).write.mode("overwrite").parquet(f"{out}/itineraries")
     found = forms.sparkSession.read.parquet(f"{out}/itineraries")
     search.unmatched_requests(requests, found).write.mode("overwrite").parquet(f"{out}/unanswered")
     refused.write.mode("overwrite").parquet(f"{out}/refused")

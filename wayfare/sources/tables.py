@@ -63,10 +63,24 @@ def read_flights(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_fares(fares: DataFrame, path: str, mode: str = "overwrite") -> None:
-    fares.write.mode(mode).parquet(path)
+    """Store fares by departure date, as :func:`write_flights` does with flights, where they carry
+    one; within a date by flight, so that a join finds them sorted by its key."""
+    if "departure_date" not in fares.columns:
+        fares.write.mode(mode).parquet(path)
+        return
+    order = ["departure_date", "flight_id", "class_id"]
+    dealt = fares.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.write.mode(mode).partitionBy("departure_date").parquet(path)
+
+
+def read_fares(spark: SparkSession, path: str) -> DataFrame:
+    """Fares as stored by :func:`write_fares` with dates; filters on ``departure_date`` prune folders."""
+    return spark.read.schema(schema_of("flight_class").add("departure_date", "date")).parquet(path)
 
 
 def append_tickets(tickets: DataFrame, path: str) -> None:
+    """Add tickets to a table. A job that may run twice writes a folder of its own instead, as
+    ``pipelines.book_carts`` does."""
     tickets.write.mode("append").parquet(path)
 
 
