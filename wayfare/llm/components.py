@@ -18,23 +18,20 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     links = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     nodes = links.select("a").union(links.select("b")).distinct()
-    labels = stage(nodes.select(F.col("a").alias("node"), F.col("a").alias("label")), "labels")
+    labels = nodes.select(F.col("a").alias("node"), F.col("a").alias("label"))
     links = stage(links.where("a <> b").distinct(), "round")
     while not links.isEmpty():
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy("a").agg(F.min("b").alias("least"))
-        to = stage(to.select(F.col("a").alias("node"), F.least("a", "least").alias("to")), "pointers")
+        to = to.select(F.col("a").alias("node"), F.least("a", "least").alias("to"))
         for _ in range(2):
             onward = to.select(F.col("node").alias("to"), F.col("to").alias("next"))
             to = to.join(onward, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
         to = stage(to, "pointers")
-        labels = stage(
-            labels.join(to.select(F.col("node").alias("label"), "to"), "label", "left").select(
-                "node", F.coalesce("to", "label").alias("label")
-            ),
-            "labels",
+        labels = labels.join(to.select(F.col("node").alias("label"), "to"), "label", "left").select(
+            "node", F.coalesce("to", "label").alias("label")
         )
         links = links.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
         links = links.join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
         links = stage(links.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "round")
-    return labels
+    return stage(labels, "labels")

@@ -330,7 +330,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     # First round: each node and the first of each of its buckets. Of those that may be linked, the
     # likeliest is confirmed.
     meet = members.where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    open_pairs = stage(_judge(meet, nodes), "open-pairs")
+    open_pairs = _judge(meet, nodes)
     best = open_pairs.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
 
     wanted = members.select("node").distinct().join(nodes.select("node", "set_key", "doc_id"), "node")

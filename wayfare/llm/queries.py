@@ -10,7 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from wayfare.llm import bpe, exact_dedup, line_dedup, near_dedup, packing, quality_model, quality_rules, secrets, sharding, token_counts
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Send at most 500 texts to Python at once, so that long ones need little memory there and in
+    the JVM. A setting of the session that runs these queries; the operators leave it alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
