@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.llm import line_dedup, near_dedup, packing, quality_model, secrets
+from wayfare.llm.queries import bound_batches
 from wayfare.session import stage
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality model, trained on the labelled ones, rejects."""
+    bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_model.keep_good(docs, quality_model.train(docs, labels))
 
@@ -26,6 +28,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates."""
+    bound_batches(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
