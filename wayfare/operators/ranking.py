@@ -12,15 +12,17 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], out: str) ->
     """Number rows 1, 2, … by ``order`` (NULLs last) within each group of ``keys``.
 
     A plain window would sort a whole group in one task. Here Spark's range partitioning sorts
-    the rows, cutting a large group into several partitions; each partition numbers its own
-    slice and the sizes of the slices before it are added. ``keys`` and ``order`` together must
-    identify a row, and no key may be NULL.
+    the rows, cutting a large group into several slices. Positions run on within a slice, so its
+    first position and the sizes of the slices before it give a row its number, without another
+    sort. ``keys`` and ``order`` together must identify a row, and no key may be NULL.
 
-    The sorted rows are staged because their positions must not change between the two uses.
+    The rows are staged as they come, since range partitioning reads them twice, and once sorted,
+    because their positions must not change between the two uses. So ``df`` is best narrow.
     """
     by = [*keys, *[F.col(c).asc_nulls_last() for c in order]]
     placed = stage(
-        df.repartitionByRange(*by)
+        stage(df, "to-number")
+        .repartitionByRange(*by)
         .sortWithinPartitions(*by)
         .withColumn("_at", F.monotonically_increasing_id()),
         "numbered",
@@ -28,18 +30,15 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], out: str) ->
 
     # Only a group that crosses a partition boundary needs an offset, so the offsets are fewer
     # than twice the partitions of the sort.
-    sizes = placed.groupBy(*keys, "_slice").agg(F.count("*").alias("_rows"))
-    crossing = sizes.groupBy(*keys).agg(F.min("_slice").alias("_first"), F.max("_slice").alias("_last"))
+    slices = placed.groupBy(*keys, "_slice").agg(F.count("*").alias("_rows"), F.min("_at").alias("_start"))
+    crossing = slices.groupBy(*keys).agg(F.min("_slice").alias("_first"), F.max("_slice").alias("_last"))
     crossing = crossing.filter(F.col("_first") < F.col("_last")).select(*keys)
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.join(crossing, keys, "left_semi").select(
+    offsets = slices.join(crossing, keys, "left_semi").select(
         *keys, "_slice", F.sum("_rows").over(earlier).alias("_before")
     )
-
-    local = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy("_at"))
-    return (
-        placed.withColumn("_local", local)
-        .join(offsets, [*keys, "_slice"], "left")
-        .withColumn(out, F.col("_local") + F.coalesce(F.col("_before"), F.lit(0)))
-        .select(*df.columns, out)
+    starts = slices.join(offsets, [*keys, "_slice"], "left").selectExpr(
+        *keys, "_slice", "_start - coalesce(_before, 0) - 1 as _zero"
     )
+    numbered = placed.join(starts, [*keys, "_slice"])
+    return numbered.withColumn(out, F.col("_at") - F.col("_zero")).select(*df.columns, out)

@@ -322,13 +322,17 @@ def ranked_itineraries(
     fares: DataFrame,
     leg_limit: int | None = None,
     bucket_minutes: int = BUCKET_MINUTES,
+    details: bool = True,
 ) -> DataFrame:
     """Itineraries with ``rank`` 1, 2, … per request by total price, then by flight ids.
 
-    Ranks belong to a trip, so they are worked out once per trip and not once per request.
+    Ranks belong to a trip, so they are worked out once per trip and not once per request. Without
+    ``details`` the columns path and legs are left out, which makes the rows to sort much smaller.
     """
     leg_limit = leg_limit or most_legs(requests)
     trips = search_trips(requests, flights, fares, leg_limit, bucket_minutes)
+    if not details:
+        trips = trips.drop("path", "legs")
     trips = number_within(trips, TRIP, ["total_price", "ids"], "rank")
     return answer_requests(requests, trips, leg_limit)
 

@@ -183,7 +183,7 @@ def search_legs(t: StandIn) -> DataFrame:
 
 @_query
 def search_ranked(t: StandIn) -> DataFrame:
-    ranked = search.ranked_itineraries(t.requests, t.flights, t.fares)
+    ranked = search.ranked_itineraries(t.requests, t.flights, t.fares, details=False)
     return ranked.select("request_id", "rank", F.array_join("ids", ",").alias("ids"), "total_price")
 
 
