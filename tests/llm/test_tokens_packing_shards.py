@@ -165,3 +165,60 @@ def test_even_shards_keep_groups_together(spark):
 def test_quotas_exchange_evenly():
     moves, room = sharding.quotas({(0, 1): 5, (1, 0): 3, (2, 1): 4}, {0: 1, 1: 3, 2: 9})
     assert moves == {(0, 1): 5, (1, 0): 3, (2, 1): 1} and room == {(1, 0): 2, (1, 2): 1}
+
+
+def test_no_group_that_fits_is_split_beside_a_hot_one(spark):
+    teams = ["hot"] * 1600 + [f"g{i % 300}" for i in range(1500)] + [None] * 1700
+    random.Random(2).shuffle(teams)
+    rows = spark.createDataFrame(list(enumerate(teams)), "row long, name string")
+    got = sharding.propagate(rows, F.col("name"), shards=24).collect()
+    assert sorted(r["row"] for r in got) == list(range(4800))
+    assert set(collections.Counter(r["shard"] for r in got).values()) == {200}
+    places = collections.defaultdict(set)
+    for r in got:
+        places[teams[r["row"]]].add(r["shard"])
+    assert len(places["hot"]) == 8 and all(len(places[f"g{i}"]) == 1 for i in range(300))
+
+
+def test_shards_full_of_groups(spark):
+    teams = [f"g{i % 160}" for i in range(800)]  # no row without links to make room
+    random.Random(3).shuffle(teams)
+    rows = spark.createDataFrame(list(enumerate(teams)), "row long, name string")
+    got = sharding.propagate(rows, F.col("name"), shards=8).collect()
+    assert set(collections.Counter(r["shard"] for r in got).values()) == {100}
+    assert len({(teams[r["row"]], r["shard"]) for r in got}) == 160
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_split_groups_fit_nowhere(seed):
+    rng = random.Random(seed)
+    shards = rng.randint(2, 9)
+    classes = collections.Counter((rng.choice([2, 3, 7, 20, 45, 130]), rng.randrange(shards)) for _ in range(rng.randint(1, 60)))
+    total = sum(size * n for (size, _), n in classes.items()) + rng.randint(0, 40)
+    capacity = [total // shards + (j < total % shards) for j in range(shards)]
+    for keep in (True, False):
+        plan = sharding.place(classes, capacity, keep)
+        used, rows, whole = collections.Counter(), collections.Counter(), collections.Counter()
+        for size, home, lower, upper, to in plan.whole:
+            used[to] += size * (upper - lower)
+            whole[to] += size * (upper - lower)
+            for number in range(lower, upper):
+                rows[size, home, number] += size
+        shares = collections.Counter()
+        for size, home, number, lower, upper, to in plan.parts:
+            used[to] += upper - lower
+            rows[size, home, number] += upper - lower
+            shares[size, home, number] += 1
+        assert all(used[j] + plan.room[j] == capacity[j] and plan.room[j] >= 0 for j in range(shards))
+        assert rows == {(size, home, k): size for (size, home), n in classes.items() for k in range(n)}
+        split = [g for g in shares if g[0] <= max(capacity)]
+        assert len(split) == plan.split and all(shares[g] > 1 for g in split)
+        giants = collections.Counter()
+        for size, _, _, lower, upper, to in plan.parts:
+            giants[to] += upper - lower if size > max(capacity) else 0
+        assert all(g[0] > capacity[j] - whole[j] - giants[j] for g in split for j in range(shards))
+
+
+def test_rows_without_links_move_through_any_shard():
+    spans = sharding.displaced({0: 5, 2: 4}, [1, 6, 2])
+    assert spans == [(0, 0, 1, 0), (2, 0, 2, 2), (0, 1, 5, 1), (2, 2, 4, 1)]
