@@ -7,7 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import bpe, exact_dedup, line_dedup, near_dedup, packing, quality_model, quality_rules, secrets, sharding, token_counts
+from wayfare.llm import (
+    bpe,
+    exact_dedup,
+    filter_audit,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality_model,
+    quality_rules,
+    secrets,
+    sharding,
+    token_counts,
+)
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -62,6 +74,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_secret_scan,
@@ -74,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_exact_dedup,
         op9_line_dedup,
         op10_token_counts,
+        op13_filter_audit,
     )
     return {f.__name__: f for f in found}
 
@@ -109,5 +126,49 @@ FROM judged GROUP BY r
 """
 
 
+FILTER_AUDIT_SQL = """
+WITH RECURSIVE docs AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+           list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda w: w <> '') AS words
+    FROM documents
+), judged AS (
+    SELECT part,
+           [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words),
+            100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+            regexp_matches(text, '[#$%&*|]'),
+            coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS f,
+           coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic
+    FROM docs LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1) l
+         USING (doc_id)
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 3, 4, 5]) AS pos
+), orders(spelled, ats) AS (
+    SELECT letter, [pos] FROM letters
+    UNION ALL
+    SELECT spelled || letter, list_append(ats, pos) FROM orders, letters WHERE NOT list_contains(ats, pos)
+), steps AS (
+    SELECT spelled AS filter_order, ats, step FROM orders, unnest([1, 2, 3, 4, 5]) AS s(step) WHERE len(ats) = 5
+), sets AS (
+    SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM judged GROUP BY ALL
+), seen AS (
+    SELECT *, f[ats[step]] AS fails, list_bool_or(list_transform(ats[1:step - 1], lambda a: f[a])) AS before
+    FROM sets, steps
+), summed AS (
+    SELECT part, filter_order, step, ats[step] AS pos,
+           coalesce(sum(n) FILTER (NOT fails AND NOT coalesce(before, false)), 0) AS kept,
+           coalesce(sum(n) FILTER (fails AND NOT coalesce(before, false)), 0) AS removed,
+           coalesce(sum(n) FILTER (fails AND coalesce(before, false)), 0) AS redundant,
+           coalesce(sum(n) FILTER (fails AND len(list_filter(f, lambda x: x)) = 1), 0) AS unique_fails,
+           coalesce(sum(good) FILTER (fails AND NOT coalesce(before, false)), 0) AS good_lost,
+           coalesce(sum(toxic) FILTER (fails AND NOT coalesce(before, false)), 0) AS toxic_lost
+    FROM seen GROUP BY ALL
+)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, pos))::BIGINT AS shapley
+FROM summed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": EXACT_DEDUP_SQL, "op9_line_dedup": LINE_DEDUP_SQL}
+    return {"op8_exact_dedup": EXACT_DEDUP_SQL, "op9_line_dedup": LINE_DEDUP_SQL, "op13_filter_audit": FILTER_AUDIT_SQL}
