@@ -18,6 +18,7 @@ from wayfare.llm import (
     quality_rules,
     secrets,
     sharding,
+    spelling,
     token_counts,
 )
 
@@ -74,6 +75,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_exact_dedup,
         op9_line_dedup,
         op10_token_counts,
+        op12_spelling,
         op13_filter_audit,
     )
     return {f.__name__: f for f in found}
