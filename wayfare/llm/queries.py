@@ -14,6 +14,7 @@ from wayfare.llm import (
     line_dedup,
     near_dedup,
     packing,
+    pii,
     quality_model,
     quality_rules,
     secrets,
@@ -75,6 +76,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_documents(spark, sf_dir))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -95,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_exact_dedup,
         op9_line_dedup,
         op10_token_counts,
+        op11_personal_data,
         op12_spelling,
         op13_filter_audit,
     )
