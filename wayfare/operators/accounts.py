@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.labels import address_label
+from wayfare.operators.email_index import match_patterns
 
 _ADDRESS = ["line_1", "line_2", "city", "province", "postal_code", "country"]
 
 
 def customers_by_email(
-    wanted: DataFrame, customers: DataFrame, match: str = "equal"
+    wanted: DataFrame, customers: DataFrame, match: str = "equal", index: DataFrame | None = None
 ) -> DataFrame:
     """Customers for each ``email`` in ``wanted``, ignoring case.
 
     ``equal`` compares the whole address. ``pattern`` also lets ``%`` and ``_`` in the wanted
-    address stand for any text and any character. Several customers may share an address.
+    address stand for any text and any character, found by ``index`` (see ``email_index``) or one built
+    for the purpose. Several customers may share an address.
     """
     left = wanted.select(F.col("email").alias("wanted_email"))
     right = customers.select("id", "name", "email")
@@ -24,30 +26,11 @@ def customers_by_email(
         return left.join(right, F.lower("wanted_email") == F.lower("email")).select("wanted_email", "id", "name")
     if match != "pattern":
         raise ValueError(f"unknown match {match!r}")
-    # Only wanted addresses with a wildcard need their pattern tried, and only on customers
-    # whose address starts with the same fixed letters.
+    # Only wanted addresses with a wildcard need their pattern tried.
     has_wildcard = F.col("wanted_email").rlike(r"[%_\\]")
     plain = left.filter(~has_wildcard).join(right, F.lower("wanted_email") == F.lower("email"))
-    fixed = F.lower(F.regexp_extract("wanted_email", r"^[^%_\\]*", 0))
-    length = F.array_max(F.filter(_prefix_lengths(), lambda n: n <= F.length(fixed)))
-    wild = left.filter(has_wildcard).select(
-        "wanted_email", length.alias("w_length"), F.substring(fixed, F.lit(1), length).alias("w_start")
-    )
-    starts = right.withColumn(
-        "c_length", F.explode(F.filter(_prefix_lengths(), lambda n: n <= F.length("email")))
-    ).withColumn("c_start", F.substring(F.lower("email"), F.lit(1), F.col("c_length")))
-    tried = wild.join(
-        starts,
-        (F.col("w_length") == F.col("c_length"))
-        & (F.col("w_start") == F.col("c_start"))
-        & F.expr("email ilike wanted_email"),
-    )
-    out = ["wanted_email", "id", "name"]
-    return plain.select(*out).unionByName(tried.select(*out))
-
-
-def _prefix_lengths():
-    return F.array(*[F.lit(n) for n in (0, 1, 2, 4, 8, 16)])
+    tried = match_patterns(left.filter(has_wildcard), right, index)
+    return plain.select("wanted_email", "id", "name").unionByName(tried)
 
 
 def duplicate_emails(customers: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def beyond_limit(requests: DataFrame, leg_limit: int) -> DataFrame:
     return over.select("request_id", F.lit("number of legs").alias("reason"))
 
 
-def _normal(requests: DataFrame, leg_limit: int) -> DataFrame:
+def normal_requests(requests: DataFrame, leg_limit: int) -> DataFrame:
     """Requests that can match, with a limit of 1..leg_limit legs and no missing wait."""
     return requests.filter(f"dmin <= dmax and coalesce(max_legs, 1) <= {leg_limit}").selectExpr(
         "request_id",
@@ -290,7 +290,7 @@ def search_trips(
     """
     leg_limit = leg_limit or most_legs(requests)
     offered = offers(flights, fares, bucket_minutes)
-    paths = _first_legs(_searches(_normal(requests, leg_limit), flights), offered, bucket_minutes)
+    paths = _first_legs(_searches(normal_requests(requests, leg_limit), flights), offered, bucket_minutes)
     for level in range(1, leg_limit):
         paths = _grow(paths, offered, level, leg_limit, bucket_minutes)
     return _arrived(paths)
@@ -298,7 +298,7 @@ def search_trips(
 
 def answer_requests(requests: DataFrame, trips: DataFrame, leg_limit: int) -> DataFrame:
     """Give every request the itineraries of its trip."""
-    asked = _normal(requests, leg_limit).select("request_id", *TRIP)
+    asked = normal_requests(requests, leg_limit).select("request_id", *TRIP)
     extra = [c for c in trips.columns if c not in TRIP]
     return asked.join(trips, TRIP).select("request_id", "airline", "class_id", *extra)
 
@@ -375,7 +375,7 @@ def requests_without_trip(requests: DataFrame, trips: DataFrame) -> DataFrame:
     """Requests whose trip is not among ``trips``, as :func:`search_trips` gives them for the same
     requests. Nothing is spread over the requests to find that out."""
     legs = most_legs(requests)
-    asked = _normal(requests, legs).select("request_id", *TRIP)
+    asked = normal_requests(requests, legs).select("request_id", *TRIP)
     answered = asked.join(trips.select(*TRIP).distinct(), TRIP, "left_semi").select("request_id")
     return requests.join(answered, "request_id", "left_anti")
 

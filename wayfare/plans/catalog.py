@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.calendar import bit_positions, interval_minutes
 from wayfare.functions.labels import clock_label, departure_label, flight_code, path_label
-from wayfare.operators import accounts, booking, cart, changes, fares, quality, schedule, search
+from wayfare.operators import accounts, booking, cart, changes, fares, quality, schedule, search, shared_search
 from wayfare.session import stage, staging_path
 from wayfare.sources import tables
 from wayfare.sources.schemas import schema_of
@@ -173,6 +173,24 @@ def search_four_legs(t: StandIn) -> DataFrame:
     return _shown(search.search_itineraries(asked, t.flights, t.fares))
 
 
+@_query
+def search_reachable(t: StandIn) -> DataFrame:
+    """The same itineraries, from paths that backward labels keep to what can still arrive."""
+    return _shown(shared_search.search_shared(t.requests, t.flights, t.fares))
+
+
+@_query
+def search_shared(t: StandIn) -> DataFrame:
+    """Every request in two classes and with two leg limits, in one walk."""
+    mixed = t.requests.withColumns(
+        {"class_id": F.expr("cast(1 + request_id % 4 as int)"), "max_legs": F.expr("cast(1 + request_id % 4 as int)")}
+    )
+    again = t.requests.withColumns(
+        {"class_id": F.expr("cast(1 + (request_id + 1) % 4 as int)"), "request_id": F.expr("request_id + 1000000000")}
+    )
+    return _shown(shared_search.search_shared(mixed.unionByName(again), t.flights, t.fares))
+
+
 @_query
 def search_legs(t: StandIn) -> DataFrame:
     legs = search.itinerary_legs(search.search_itineraries(t.requests, t.flights, t.fares))
@@ -362,6 +380,15 @@ def customer_by_email_pattern(t: StandIn) -> DataFrame:
     return accounts.customers_by_email(_wanted_emails(t, pattern=True), t.accounts, "pattern")
 
 
+@_query
+def customer_by_email_part(t: StandIn) -> DataFrame:
+    """Patterns that begin with a wildcard: one for the end of every customer's name, and one without
+    three fixed characters in a row for every region."""
+    ends = t.raw("customer").select(F.concat(F.lit("%"), F.substring("c_name", -5, 5), F.lit("@ex_mple%")).alias("email"))
+    loose = t.raw("region").select(F.concat(F.lit("%"), F.col("r_regionkey"), F.lit("_@%")).alias("email"))
+    return accounts.customers_by_email(ends.unionByName(loose), t.accounts, "pattern")
+
+
 @_query
 def duplicate_emails(t: StandIn) -> DataFrame:
     again = t.registrations.filter(F.col("customer_id") % 3 == 0).select("email")

@@ -306,6 +306,14 @@ _SQL: dict[str, tuple[str, str]] = {
         "asked as (select * replace (cast(1+request_id%4 as int) as max_legs) from request), " + _paths("asked"),
         _SHOWN,
     ),
+    "search_reachable": (_paths("request"), _SHOWN),
+    "search_shared": (
+        """asked as (select * replace (cast(1+request_id%4 as int) as class_id, cast(1+request_id%4 as int) as max_legs)
+            from request union all select * replace (request_id+1000000000 as request_id,
+            cast(1+(request_id+1)%4 as int) as class_id) from request), """
+        + _paths("asked"),
+        _SHOWN,
+    ),
     "search_legs": (
         _paths("request"),
         """select request_id, array_to_string(ids, ',') ids, id, array_to_string(path, ',') path, leg,
@@ -434,6 +442,11 @@ _SQL: dict[str, tuple[str, str]] = {
             from customer)""",
         "select w.email wanted_email, a.id, a.name from wanted w join account a on a.email ilike w.email",
     ),
+    "customer_by_email_part": (
+        """wanted as (select '%'||right(c_name,5)||'@ex_mple%' email from customer
+            union all select '%'||cast(r_regionkey as varchar)||'_@%' from region)""",
+        "select w.email wanted_email, a.id, a.name from wanted w join account a on a.email ilike w.email",
+    ),
     "duplicate_emails": (
         "",
         """select lower(email) email, count(*) customers from (select email from registration
