@@ -113,8 +113,8 @@ def test_registered_spelling_query(spark):
 
 def brute_audit(rows, labels):
     """``rows``: doc_id, text, lang; ``labels``: doc_id, quality, toxic."""
-    good = {d for d, q, _ in labels if q == 1}
-    toxic = {d for d, _, t in labels if t == 1}
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, t in labels if t == 1 and d is not None}
     parts = collections.defaultdict(list)
     for doc_id, text, lang in rows:
         text = text or ""

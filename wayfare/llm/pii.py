@@ -15,7 +15,6 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +37,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Characters of a training window; windows with personal data and without that train the network at most,
 #: chosen by hash from about as many documents; made-up windows, up to which the sample is filled up.
-WINDOW, LABELLED, PLAIN, MADE = 96, 2000, 2000, 4000
+WINDOW, LABELLED, PLAIN, MADE = 96, 1500, 1500, 3500
 #: Characters of a window of the scan and of the overlap of two; windows scanned at once.
-SCAN, OVERLAP, AT_ONCE = 512, 64, 1024
+SCAN, OVERLAP, AT_ONCE = 512, 64, 1000
 #: How far a find must weigh above no find.
 MARGIN = 1.0
 
@@ -133,6 +132,11 @@ def checked(text: str, span: Span) -> list[Span]:
         return [(1, start, end)] if address.version == 4 or found.count(":") >= 3 else []
     if kind == 2:
         return [(2, start + a, start + b) for a, b in _cards(found)]
+    if found.count("(") < found.count(")") and text[start - 1 : start] == "(":
+        start -= 1
+    while start < end and text[start] == "(" and text.count("(", start, end) > text.count(")", start, end):
+        start += 1
+    found = text[start:end]
     digits = _digits(found)
     written = _PHONE_TEXT.fullmatch(found) and (len(digits) < len(found) or found.startswith("00"))
     return [(3, start, end)] if written and 9 <= len(digits) <= 15 else []
@@ -319,21 +323,10 @@ def training_set(windows: list[tuple[str, bytes]], made: int = MADE, seed: int =
     return ids, tags
 
 
-def untrained(seed: int = 5) -> Tagger:
-    """A network whose tags follow each other as spans do: within a span only after its start."""
-    n = 1 + 2 * len(KINDS)
-    legal = np.ones((n, n), bool)
-    for kind in range(len(KINDS)):
-        legal[:, 2 + 2 * kind] = False
-        legal[[1 + 2 * kind, 2 + 2 * kind], 2 + 2 * kind] = True
-    first = np.array([True] + [True, False] * len(KINDS))
-    return Tagger(legal, first, seed)
-
-
 def train(docs: DataFrame, made: int = MADE) -> Tagger | None:
     """A network trained on :func:`labelled_windows` of ``docs``; None where there is no text."""
     windows = labelled_windows(docs)
-    return tagger.fit(untrained(), *training_set(windows, made)) if windows else None
+    return tagger.fit(Tagger(len(KINDS)), *training_set(windows, made)) if windows else None
 
 
 # -- the scan ---------------------------------------------------------------
@@ -432,11 +425,6 @@ def spelled(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for kind, start, end in sorted(spans))
 
 
-@cache
-def _slices(rows: int) -> list[tuple[int, int]]:
-    return [(i, min(200, rows - i)) for i in range(0, rows, 200)]
-
-
 def find_personal_data(docs: DataFrame, network: Tagger | None = None) -> DataFrame:
     """Spans of personal data in every whole text.
 
@@ -451,8 +439,8 @@ def find_personal_data(docs: DataFrame, network: Tagger | None = None) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, size in _slices(batch.num_rows):
-                part = batch.slice(start, size)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
                 found = scan(network, [t or "" for t in part.column("text").to_pylist()])
                 columns = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in range(len(KINDS))]
                 digests = [hashlib.sha256(spelled(base).encode()).hexdigest() for base, _ in found]

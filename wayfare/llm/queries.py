@@ -81,7 +81,7 @@ def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelling.spelling_variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return spelling.spelling_variants(_documents(spark, sf_dir))
 
 
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

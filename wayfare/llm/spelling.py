@@ -9,6 +9,9 @@ letter.
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +23,13 @@ from pyspark.sql import functions as F
 from wayfare.session import stage
 
 #: A word is a run of these letters, lower-cased in A-Z only.
-RUN = r"[A-Za-zÀ-ÿ]+"
+_RUN = re.compile(rb"[a-z\xc0-\xff]+")
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))
 MIN_LENGTH, MIN_COUNT = 5, 3
 #: Every text's spelling of a word whose hash is a multiple of this loses a letter.
 DAMAGE = 97
+#: Distinct words that a task holds before it hands them on.
+COUNTED = 300_000
 #: Words that the outer trees are fitted on at most; every word is dealt by them.
 SAMPLE = 50_000
 #: Words that a box should hold, and the characters of points and of queries from which on it is split by
@@ -46,21 +51,39 @@ _TABLE[[ord(c) for c in LETTERS]] = range(len(LETTERS))
 # -- words ------------------------------------------------------------------
 
 
+def _spelled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, n by some texts at a time. Letters are bytes of Latin-1, what lies beyond it parts words."""
+
+    def counted() -> pa.RecordBatch:
+        words = pa.array([w.decode("latin-1") for w in counts], pa.string())
+        return pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    counts: dict[bytes, int] = {}
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            runs = Counter(_RUN.findall((text.as_py() or "").encode("latin-1", "replace").lower()))
+            seed = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+            for run, n in runs.items():
+                h = zlib.crc32(run if run.isascii() else run.decode("latin-1").encode(), seed)
+                if h % DAMAGE == 0:
+                    at = h % len(run)
+                    run = run[:at] + run[at + 1 :]
+                counts[run] = counts.get(run, 0) + n
+            if len(counts) > COUNTED:
+                yield counted()
+                counts = {}
+    yield counted()
+
+
 def damaged_words(docs: DataFrame) -> DataFrame:
     """word, n: the words of all whole texts, as each text spells them, with their occurrences.
 
     A text's spelling of a word loses one letter where 97 divides the hash of its id and the word. A
-    null id counts as empty, a null text has no words.
+    null id counts as empty, a null text has no words. Every task counts its words before they are
+    shuffled.
     """
-    id_text = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
-    lowered = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    runs = F.regexp_extract_all(lowered, F.lit(RUN), F.lit(0))
-    read = docs.select(id_text.alias("id"), F.explode(runs).alias("run"))
-    hashed = read.withColumn("h", F.crc32(F.concat_ws(":", "id", "run").cast("binary")))
-    at = (F.col("h") % F.length("run")).cast("int")
-    cut = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
-    word = F.when(F.col("h") % DAMAGE == 0, cut).otherwise(F.col("run"))
-    return hashed.select(word.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return read.mapInArrow(_spelled_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:

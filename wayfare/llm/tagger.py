@@ -1,8 +1,8 @@
 """A bidirectional character LSTM with a linear-chain CRF on top, in numpy.
 
 Batches are time-major: (time, sequence). Both directions run in one array, the second one over the
-characters in reverse. Gates are straight between 0 and 1, and the bent curve is a fraction close to tanh:
-numpy works these out several times faster than exponentials, and training uses the same.
+characters in reverse. Gates are straight between 0 and 1, and cells are read straight between -1 and 1:
+numpy works these out many times faster than exponentials, and training uses the same.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ import numpy as np
 #: States of characters: ASCII, then letters, digits, spaces and other signs beyond it, then padding.
 PADDING = 132
 STATES = PADDING + 1
-EMBED, HIDDEN = 8, 10
-EPOCHS, BATCH, RATE = 12, 96, 0.015
+EMBED, HIDDEN = 8, 8
+EPOCHS, BATCH, RATE = 10, 96, 0.015
 
 
 def _wide_states() -> np.ndarray:
@@ -34,28 +34,20 @@ def states(text: str) -> np.ndarray:
     return _WIDE[np.minimum(codes, (1 << 16) - 1)]
 
 
-def _bend(x: np.ndarray) -> np.ndarray:
-    """x (27 + x²) / (27 + 9 x²) for x within -3 and 3; it ends flat, at -1 and 1."""
-    square = x * x
-    bent = square + 27
-    bent *= x
-    square *= 9
-    square += 27
-    bent /= square
-    return bent
-
-
-def _slope(x: np.ndarray) -> np.ndarray:
-    """The derivative of :func:`_bend`."""
-    return ((9 - x * x) / (3 * (3 + x * x))) ** 2
-
-
 class Tagger:
-    """``tags`` tags per character; ``legal`` tells which tag may follow which."""
-
-    def __init__(self, legal: np.ndarray, first: np.ndarray, seed: int = 5, kind=np.float32):
-        self.legal, self.first = legal, first  # first: tags a sequence may begin with
-        tags = len(legal)
+    """Tags for spans of some kinds: 0 outside, 1 + 2 kind at the start of a span, 2 + 2 kind within.
+
+    ``legal`` tells which tag may follow which, ``first`` with which a sequence may begin: within a span
+    comes only after its start.
+    """
+
+    def __init__(self, kinds: int, seed: int = 5, kind=np.float32):
+        tags = 1 + 2 * kinds
+        self.legal = np.ones((tags, tags), bool)
+        for inner in range(2, tags, 2):
+            self.legal[:, inner] = False
+            self.legal[[inner - 1, inner], inner] = True
+        self.first = np.array([True] + [True, False] * kinds)
         rng = np.random.default_rng(seed)
         draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[-2]), shape).astype(kind)
         self.p = {
@@ -77,7 +69,9 @@ class Tagger:
         ``keep`` collects what :meth:`gradients` needs.
         """
         p, (steps, n) = self.p, ids.shape
-        # Gates are 0.2 x + 0.5, held between 0 and 1.
+        # Gates are 0.2 x + 0.5, held between 0 and 1; what is drawn in is held between -1 and 1.
+        low = np.zeros((4 * HIDDEN, 1), p["inner"].dtype)
+        low[3 * HIDDEN :] = -1
         part = np.full(4 * HIDDEN, 0.2, p["inner"].dtype)
         part[3 * HIDDEN :] = 1
         drive = (p["embed"] @ p["input"] + p["bias"]) * part
@@ -92,17 +86,11 @@ class Tagger:
             np.matmul(inner, h, out=z)
             z[0] += np.take(drive[0], ids[t], axis=1, out=read, mode="clip")
             z[1] += np.take(drive[1], back[t], axis=1, out=read, mode="clip")
-            gates, drawn = z[:, : 3 * HIDDEN], z[:, 3 * HIDDEN :]
-            np.maximum(gates, 0, out=gates)
-            np.minimum(gates, 1, out=gates)
-            np.maximum(drawn, -3, out=drawn)
-            np.minimum(drawn, 3, out=drawn)
+            np.clip(z, low, 1, out=z)
             before = c
             c = z[:, HIDDEN : 2 * HIDDEN] * c
-            c += z[:, :HIDDEN] * _bend(drawn)
-            np.maximum(c, -3, out=c)
-            np.minimum(c, 3, out=c)
-            h = np.multiply(z[:, 2 * HIDDEN : 3 * HIDDEN], _bend(c), out=hidden[:, t])
+            c += z[:, :HIDDEN] * z[:, 3 * HIDDEN :]
+            h = np.multiply(z[:, 2 * HIDDEN : 3 * HIDDEN], np.clip(c, -1, 1), out=hidden[:, t])
             if keep is not None:
                 keep.append((z.copy(), before, c))
         return hidden
@@ -134,18 +122,19 @@ class Tagger:
         to_hidden = np.matmul(p["out"][:, None], both.swapaxes(-1, -2))
         dh, dc = np.zeros((2, HIDDEN, n), error.dtype), np.zeros((2, HIDDEN, n), error.dtype)
         every_dz = np.empty((2, steps, 4 * HIDDEN, n), error.dtype)
+        low = np.zeros((4 * HIDDEN, 1), error.dtype)
+        low[3 * HIDDEN :] = -1
         i, f, o, g = (slice(k * HIDDEN, (k + 1) * HIDDEN) for k in range(4))
         for t in range(steps - 1, -1, -1):
             z, before, c = keep[t]
             dz = every_dz[:, t]
             dh = dh + to_hidden[:, t]
-            dc = np.where(np.abs(c) < 3, dc + dh * z[:, o] * _slope(c), 0)
-            gates = z[:, : 3 * HIDDEN]
-            dz[:, i] = dc * _bend(z[:, g])
+            dc = dc + dh * z[:, o] * (np.abs(c) < 1)
+            dz[:, i] = dc * z[:, g]
             dz[:, f] = dc * before
-            dz[:, o] = dh * _bend(c)
-            dz[:, : 3 * HIDDEN] *= 0.2 * ((gates > 0) & (gates < 1))
-            dz[:, g] = dc * z[:, i] * _slope(z[:, g])
+            dz[:, o] = dh * np.clip(c, -1, 1)
+            dz[:, g] = dc * z[:, i] * 5
+            dz *= 0.2 * ((z > low) & (z < 1))
             if t:
                 found["inner"] += hidden[:, t - 1] @ dz.swapaxes(-1, -2)
             dc = dc * z[:, f]
@@ -213,16 +202,24 @@ class Tagger:
     def outside_wins(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Whether a sequence is sure to have tag 0 throughout, told without finding its best tags.
 
-        A stretch of other tags gains its scores over those of tag 0 and the moves into it, out of it
-        and within. Where every place loses, whichever of these moves it is charged with, so does
-        every stretch.
+        For every kind the best stretch up to each place is grown from its start, charged with the
+        cheapest move into it and with none out of it. Where none of them scores above tag 0 in its
+        place, no row of stretches does.
         """
         move = np.where(self.legal, self.p["move"], -np.inf) - self.p["move"][0, 0]
-        enter, leave = max(0.0, float(move[0, 1:].max())), max(0.0, float(move[1:, 0].max()))
-        within = max(float(move[1:, 1:].max()), enter + leave)
-        gain = scores[:, :, 1:].max(axis=2) - scores[:, :, 0]
-        beyond = np.arange(len(scores))[:, None] >= sizes[None, :]
-        return (np.where(beyond, -np.inf, gain).max(axis=0) + within) < 0
+        starts, inner = np.arange(1, len(move), 2), np.arange(2, len(move), 2)
+        into = move[:, starts].max(axis=0)[:, None]
+        after_start, after_inner = move[starts, inner][:, None], move[inner, inner][:, None]
+        n = scores.shape[1]
+        best = np.full(n, -np.inf, scores.dtype)
+        started, held = np.full((len(starts), n), -np.inf, scores.dtype), np.full((len(starts), n), -np.inf, scores.dtype)
+        for t in range(len(scores)):
+            gain = scores[t].T[1:] - scores[t].T[0]
+            held = np.maximum(started + after_start, held + after_inner) + gain[1::2]
+            started = gain[::2] + (into if t else np.maximum(into, 0))
+            top = np.maximum(started, held).max(axis=0)
+            best = np.where(t < sizes, np.maximum(best, top), best)
+        return best < 0
 
     def weight(self, scores: np.ndarray, tags: np.ndarray) -> float:
         """How far tags (time) of a stretch score above tag 0 in its place, moves included."""
