@@ -41,12 +41,6 @@ def test_all_tables_read_with_their_types(spark, make, tmp_path):
     assert all(df.count() == 0 for df in read.values())
 
 
-def test_tickets_are_appended(spark, make, tmp_path):
-    for i in (1, 2):
-        tables.append_tickets(make("ticket", [{"id": i}]), str(tmp_path / "ticket"))
-    assert tuples(tables.read_table(spark, "ticket", str(tmp_path / "ticket")), "id") == [(1,), (2,)]
-
-
 def test_flights_are_stored_by_day(spark, make, tmp_path):
     flights = [flight(i, "A", "B", f"2024-01-0{1 + i % 3} 08:00", f"2024-01-0{1 + i % 3} 09:00") for i in range(30)]
     tables.write_flights(make("flight", flights), str(tmp_path / "flight"))
@@ -149,7 +143,7 @@ def test_timetable_to_booking(spark, make, tmp_path):
     )
     for _ in range(2):
         pipelines.book_carts(cart, built["flight_class"], str(out), "first")
-    tickets = spark.read.parquet(f"{out}/ticket")
+    tickets = tables.read_tickets(spark, str(out))
     assert tickets.count() == 2
     assert tickets.agg(F.sum("price")).first()[0] == found.first()["total_price"]
     assert found.select(F.col("legs")[1]["departure_time"] - F.col("legs")[0]["arrival_time"]).first()[0] < hours(2)

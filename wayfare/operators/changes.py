@@ -141,6 +141,12 @@ def add_payments(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, refused
 
 
+def readable_payments(forms: DataFrame) -> DataFrame:
+    """The payment forms that :func:`add_payments` does not refuse."""
+    year, month = (F.trim(c).try_cast("int") for c in ("exp_year", "exp_month"))
+    return forms.filter(year.between(1, 9999) & month.between(1, 12))
+
+
 def remove_payments(payments: DataFrame, log: DataFrame) -> DataFrame:
     """Payment methods left after removals (``target_id``) by their own customer. The rows of
     ``payments`` count as older than the log."""
@@ -167,7 +173,7 @@ _FORM = [
 ]
 
 
-def _newest_forms(log: DataFrame, keys: list[str]) -> DataFrame:
+def newest_forms(log: DataFrame, keys: list[str]) -> DataFrame:
     """The newest row of ``log`` per ``keys``, with its form columns."""
     form = F.struct(*[F.col(c) for c in _FORM if c in log.columns])
     newest = log.groupBy(*keys).agg(F.max("seq").alias("seq"), F.max_by(form, "seq").alias("_form"))
@@ -176,7 +182,7 @@ def _newest_forms(log: DataFrame, keys: list[str]) -> DataFrame:
 
 def apply_addresses(addresses: DataFrame, log: DataFrame) -> DataFrame:
     """Addresses after the log: the newest form of an added address replaces what is stored."""
-    forms = _newest_forms(
+    forms = newest_forms(
         log.filter((F.col("action") == "add_address") & F.col("line1").isNotNull()), ["target_id"]
     ).withColumns({"address_id": F.col("target_id"), "customer_id": F.lit(None).cast("bigint")})
     added, _ = add_addresses(forms)
@@ -191,15 +197,9 @@ def apply_payments(payments: DataFrame, log: DataFrame) -> tuple[DataFrame, Data
     takes it away. Refused forms change nothing.
     """
     adds = log.filter(F.col("action") == "add_payment").withColumn("payment_id", F.col("target_id"))
-    good, refused = add_payments(adds)
-    valid = adds.join(
-        good.select(F.col("id").alias("payment_id"), "customer_id").distinct(), ["payment_id", "customer_id"], "left_semi"
-    )
+    _, refused = add_payments(adds)
     # Of one key's forms only readable ones may be the newest.
-    readable = valid.filter(
-        F.trim("exp_year").try_cast("int").between(1, 9999) & F.trim("exp_month").try_cast("int").between(1, 12)
-    )
-    forms = _newest_forms(readable, ["payment_id", "customer_id"])
+    forms = newest_forms(readable_payments(adds), ["payment_id", "customer_id"])
     removals = (
         log.filter(F.col("action") == "remove_payment")
         .groupBy(F.col("target_id").alias("payment_id"), "customer_id")

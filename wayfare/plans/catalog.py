@@ -15,9 +15,10 @@ from wayfare.functions.labels import clock_label, departure_label, flight_code,
 from wayfare.operators import accounts, booking, cart, changes, fares, quality, schedule, search, shared_search
 from wayfare.session import stage, staging_path
 from wayfare.sources import tables
-from wayfare.sources.schemas import schema_of
+from wayfare.sources.manifest import Store
 from wayfare.sources.standin import StandIn
-from wayfare.streaming import feeds, keyed_carts
+from wayfare.streaming import accounts as account_feeds
+from wayfare.streaming import bookings, feeds, keyed_carts
 
 TODAY = "2024-01-03"
 
@@ -527,20 +528,22 @@ def _as_stream(t: StandIn, df: DataFrame, label: str, files: int = 4) -> DataFra
 
 @_query
 def cart_stream(t: StandIn) -> DataFrame:
-    """Carts after the events ran as a stream in shuffled order."""
+    """Carts after the events ran as a stream in shuffled order, from a log rewritten on the way."""
     events = t.cart_events.drop("ts")
-    log, checkpoint = _scratch(t, "cart-log"), _scratch(t, "cart-log-state")
-    feeds.start_cart_log(_as_stream(t, events, "cart-events"), log, checkpoint).awaitTermination()
+    log = _scratch(t, "cart-log")
+    feeds.start_cart_log(_as_stream(t, events, "cart-events"), log, _scratch(t, "cart-log-state")).awaitTermination()
+    feeds.rewrite_cart_log(t.spark, log, leave=1)
     reduced = feeds.read_log(t.spark, log, cart.reduce_cart_events(events).schema)
-    return cart.cart_state(feeds.compact_cart_log(reduced))
+    return cart.cart_state(reduced)
 
 
 @_query
 def cart_keyed_stream(t: StandIn) -> DataFrame:
     """The same carts from keyed state, by the changes it put out."""
     keyed_carts.use_rocksdb(t.spark)
-    events = t.cart_events.drop("ts")
-    out = keyed_carts.cart_changes(_as_stream(t, events, "cart-events", files=2), shards=2)
+    # The files come in any order, so an event may be as late as the whole log is long.
+    stream = _as_stream(t, t.cart_events, "cart-events", files=2)
+    out = keyed_carts.cart_changes(stream, shards=2, late="3650 days")
     log, checkpoint = _scratch(t, "cart-changes"), _scratch(t, "cart-changes-state")
     feeds.start_log(out, log, checkpoint).awaitTermination()
     return keyed_carts.current_carts(feeds.read_log(t.spark, log, out.schema))
@@ -552,20 +555,56 @@ def booking_stream(t: StandIn) -> DataFrame:
     checkouts = t.tags.withColumn("paid_with", F.col("customer_id"))
     # Every third checkout is sent twice, in the same micro-batch or in another.
     checkouts = checkouts.unionByName(checkouts.filter("cart_id % 3 = 0"))
-    tickets, refused = _scratch(t, "tickets"), _scratch(t, "refused")
-    stored = stage(t.fares, "fares")
-    feeds.start_bookings(
-        _as_stream(t, checkouts, "checkouts"), stored, tickets, refused, _scratch(t, "booking-state")
+    booked = _scratch(t, "bookings")
+    bookings.start_bookings(
+        _as_stream(t, checkouts, "checkouts"), stage(t.fares, "fares"), booked, _scratch(t, "booking-state")
     ).awaitTermination()
-    return t.spark.read.schema(schema_of("ticket")).parquet(tickets).drop("batch_id")
+    return tables.read_tickets(t.spark, booked)
+
+
+@_query
+def ticket_append(t: StandIn) -> DataFrame:
+    """Tickets of two runs, the second one repeated and the first killed once before it was committed."""
+    path = _scratch(t, "ticket-store")
+    tickets, _ = booking.settle(_priced(t))
+    tickets = stage(tickets, "tickets")
+    halves = [tickets.filter("customer_id % 2 = 0"), tickets.filter("customer_id % 2 <> 0")]
+    Store(t.spark, path).write(halves[0], "ticket")
+    for half, run in ((0, "even"), (1, "odd"), (1, "odd")):
+        tables.append_tickets(halves[half], path, run)
+    bookings.compact_tickets(t.spark, path)
+    return tables.read_tickets(t.spark, path)
+
+
+def _streamed_accounts(t: StandIn, log: DataFrame, table: str, base: DataFrame) -> DataFrame:
+    """A table after a log ran as a stream in shuffled order, merged half-way and again at the end, all twice."""
+    path = _scratch(t, "account-store")
+    account_feeds.start_store(t.spark, path, {table: base})
+    for part in range(2):
+        stream = _as_stream(t, log.filter(f"pmod(xxhash64(seq), 2) = {part}"), "account-changes", files=2)
+        for _ in range(2):  # from two checkpoints: every batch comes twice
+            feeds.start_account_log(stream, path, _scratch(t, "account-log-state")).awaitTermination()
+        account_feeds.merge_log(t.spark, path, log.schema)
+        account_feeds.merge_log(t.spark, path, log.schema)
+    return account_feeds.read_accounts(t.spark, path, log.schema)[table]
 
 
 @_query
 def account_stream(t: StandIn) -> DataFrame:
-    """Customers after the account changes ran as a stream in shuffled order."""
-    log, checkpoint = _scratch(t, "account-log"), _scratch(t, "account-log-state")
-    feeds.start_account_log(
-        _as_stream(t, t.account_changes, "account-changes"), log, checkpoint
-    ).awaitTermination()
-    kept = feeds.read_log(t.spark, log, t.account_changes.schema)
-    return changes.apply_primaries(t.accounts, kept)
+    """Customers after the account changes ran as a stream."""
+    return _streamed_accounts(t, t.account_changes, "customer", t.accounts)
+
+
+@_query
+def account_stream_address(t: StandIn) -> DataFrame:
+    return _streamed_accounts(t, t.change_log, "address", t.addresses)
+
+
+@_query
+def account_stream_customer_address(t: StandIn) -> DataFrame:
+    return _streamed_accounts(t, t.change_log, "customer_address", t.address_links)
+
+
+@_query
+def account_stream_payment_method(t: StandIn) -> DataFrame:
+    return _streamed_accounts(t, t.change_log, "payment_method", t.payments)

@@ -398,6 +398,7 @@ _SQL: dict[str, tuple[str, str]] = {
               and c.class_id=x.class_id)""",
     ),
     "book_tickets": ("", "select * from booked"),
+    "ticket_append": ("", "select * from booked"),
     "book_tickets_leg_zero": ("", "select * exclude (id) replace (0 as leg) from booked"),
     "book_refused": (
         "",
@@ -634,6 +635,11 @@ _SQL["apply_primaries"] = _SQL["account_stream"] = (
 
 _NAMES = re.compile(r"\b(?:from|join)\s+(" + "|".join(sorted(_VIEWS, key=len, reverse=True)) + r")\b")
 
+_SQL |= {
+    f"account_stream_{table}": _SQL[f"apply_changes_{table}"]
+    for table in ("address", "customer_address", "payment_method")
+}
+
 
 def _needed(sql: str, found: dict[str, None]) -> None:
     for name in _NAMES.findall(sql):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wayfare.operators import booking, changes, fares, quality, schedule, search
 from wayfare.session import stage
 from wayfare.sources import tables
+from wayfare.sources.manifest import Store
 
 
 def build_timetable(spark: SparkSession, root: str, out: str) -> dict[str, DataFrame]:
@@ -54,10 +55,9 @@ def answer_searches(
 
 
 def book_carts(cart: DataFrame, prices: DataFrame, out: str, run: str) -> None:
-    """Book carts into the ``run`` folder of the ticket table; a repeated run replaces its own."""
+    """Book carts into the ticket store ``out``, with what is refused; a repeated run adds nothing."""
     tickets, refused = booking.settle(stage(booking.priced_cart(cart, prices), "priced-carts"))
-    tickets.write.mode("overwrite").parquet(f"{out}/ticket/run={run}")
-    refused.write.mode("overwrite").parquet(f"{out}/refused_cart/run={run}")
+    Store(cart.sparkSession, out).append({"ticket": tickets, "refused": refused}, run)
 
 
 def update_accounts(stored: dict[str, DataFrame], log: DataFrame, out: str) -> None:

@@ -158,7 +158,7 @@ class StandIn:
     def cart_events(self) -> DataFrame:
         return self.raw("events").selectExpr(
             "event_id as seq",
-            "ts",
+            "cast(ts as timestamp) as ts",
             "user_id as customer_id",
             """case event_type when 'click' then 'add' when 'view' then 'add' when 'error' then 'remove'
                 when 'signup' then 'clear' else 'checkout' end as action""",

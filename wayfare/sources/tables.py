@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.constants import CABIN_CLASSES, MONEY
+from wayfare.sources.manifest import Store, Version
 from wayfare.sources.schemas import CODE_COLUMNS, TABLES, schema_of
 
 
@@ -78,10 +79,14 @@ def read_fares(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema_of("flight_class").add("departure_date", "date")).parquet(path)
 
 
-def append_tickets(tickets: DataFrame, path: str) -> None:
-    """Add tickets to a table. A job that may run twice writes a folder of its own instead, as
-    ``pipelines.book_carts`` does."""
-    tickets.write.mode("append").parquet(path)
+def append_tickets(tickets: DataFrame, path: str, run: str) -> Version:
+    """Add the tickets of a run to the store at ``path``; a run that is repeated adds nothing."""
+    return Store(tickets.sparkSession, path).append({"ticket": tickets}, run)
+
+
+def read_tickets(spark: SparkSession, path: str) -> DataFrame:
+    """The tickets of all committed runs and batches of a store."""
+    return Store(spark, path).read("ticket", schema_of("ticket"))
 
 
 def save_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, **options: str) -> None:

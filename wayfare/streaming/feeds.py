@@ -1,8 +1,9 @@
 """Streams that land in logs the batch operators read.
 
-Every micro-batch is written to its own ``batch_id=N`` folder, and a retried batch overwrites
-that folder. The current state is the batch operator applied to the log, so stream and batch
-cannot disagree, no state is keyed to one task, and a busy customer is reduced before its shuffle.
+A log is the table ``log`` of a store: every micro-batch is committed under its number, so a retried one
+changes nothing and a killed one leaves nothing. The current state is the batch operator applied to
+the log, so stream and batch cannot disagree, no state is keyed to one task, and a busy customer is
+reduced before its shuffle. Settled batches are rewritten as one.
 """
 
 from __future__ import annotations
@@ -12,17 +13,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from wayfare.operators.booking import POSITION_BITS, first_ticket, last_ticket, priced_cart, settle
-from wayfare.operators.cart import cart_state, explode_tags, reduce_cart_events
-from wayfare.sources.schemas import schema_of
+from wayfare.operators.cart import cart_state, reduce_cart_events
+from wayfare.sources.manifest import Store, Version
+
+EVENT = "seq bigint, customer_id bigint, action string, flight_id bigint, class_id int"
 
 _NO_TRIGGER = {"availableNow": True}
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+LOG = "log"
 
 
 def start_log(
@@ -33,9 +34,11 @@ def start_log(
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Write each micro-batch of ``stream``, after ``reduce``, to the log at ``path``."""
+    store = Store(stream.sparkSession, path)
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(reduce(batch), path, batch_id)
+        # A stream begun anew, from another checkpoint, numbers its batches anew.
+        store.append({LOG: reduce(batch)}, f"{LOG}@{checkpoint}", batch_id)
 
     return (
         stream.writeStream.foreachBatch(land)
@@ -45,11 +48,9 @@ def start_log(
     )
 
 
-def read_log(spark: SparkSession, path: str, schema: StructType, after_batch: int = -1) -> DataFrame:
-    """Rows of the log's batches after ``after_batch``; older folders are not read."""
-    stored = StructType([*schema.fields, StructField("batch_id", LongType())])
-    log = spark.read.schema(stored).parquet(path)
-    return log.filter(F.col("batch_id") > after_batch).drop("batch_id")
+def read_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of all committed batches of a log."""
+    return Store(spark, path).read(LOG, schema)
 
 
 # -- carts ------------------------------------------------------------------
@@ -62,6 +63,12 @@ def start_cart_log(
     return start_log(events, path, checkpoint, reduce_cart_events, trigger)
 
 
+def rewrite_cart_log(spark: SparkSession, path: str, leave: int = 0, settled_seq: int | None = None) -> Version:
+    """Rewrite all batches of a cart log but the newest ``leave`` as one, which has only what can still matter."""
+    schema = reduce_cart_events(spark.createDataFrame([], EVENT)).schema
+    return Store(spark, path).compact(LOG, schema, leave, lambda log: compact_cart_log(log, settled_seq))
+
+
 def compact_cart_log(log: DataFrame, settled_seq: int | None = None) -> DataFrame:
     """An equivalent, shorter log: the surviving adds and the newest clears and removals.
 
@@ -75,78 +82,12 @@ def compact_cart_log(log: DataFrame, settled_seq: int | None = None) -> DataFram
     return marks.unionByName(adds.select(*marks.columns))
 
 
-# -- bookings ---------------------------------------------------------------
-
-
-def start_bookings(
-    checkouts: DataFrame,
-    fares: DataFrame,
-    tickets_path: str,
-    refused_path: str,
-    checkpoint: str,
-    late: str | None = None,
-    trigger: dict | None = None,
-) -> StreamingQuery:
-    """Book a stream of checkouts (cart_id, customer_id, paid_with, tag) against stored fares.
-
-    A checkout is one row, so all its items are in one micro-batch and it is booked as a whole.
-    Ticket ids depend only on cart and position. A cart that comes twice in a batch counts once,
-    and one that already holds tickets from an earlier batch is not booked again; a retried batch
-    replaces its own folder. With ``late`` (such as "1 hour") the stream needs a ``ts`` column, and
-    a checkout sent again within that time is dropped before it meets the stored tickets.
-    """
-    if late is not None:
-        checkouts = checkouts.withWatermark("ts", late).dropDuplicatesWithinWatermark(["cart_id"])
-    spark = checkouts.sparkSession
-    # An empty first folder, so that there is a table to read from the start.
-    ticket = schema_of("ticket")
-    nothing = spark.createDataFrame([], ticket)
-    _write_batch(nothing, tickets_path, -1)
-
-    def land(batch: DataFrame, batch_id: int) -> None:
-        once = batch.groupBy("cart_id").agg(F.min(F.struct("tag", "customer_id", "paid_with")).alias("x"))
-        once = once.select("cart_id", "x.customer_id", "x.paid_with", "x.tag")
-        bounds = once.agg(F.min("cart_id").alias("first"), F.max("cart_id").alias("last")).first()
-        if bounds["first"] is None:
-            return
-        stored = spark.read.schema(StructType([*ticket.fields, StructField("batch_id", LongType())]))
-        # The ids' range reaches the file statistics, the batch prunes folders.
-        held = stored.parquet(tickets_path).filter(
-            (F.col("batch_id") < batch_id) & F.col("id").between(first_ticket(bounds["first"]), last_ticket(bounds["last"]))
-        )
-        booked = held.select(F.shiftright("id", POSITION_BITS).alias("cart_id")).distinct()
-        cart, broken = explode_tags(once.join(booked, "cart_id", "left_anti"))
-        # Both outputs read the priced carts, which are kept for the time of the two writes.
-        priced = priced_cart(cart, fares).persist()
-        try:
-            tickets, refused = settle(priced)
-            unreadable = broken.selectExpr(
-                "cart_id",
-                "customer_id",
-                "cast(null as bigint) as seq",
-                "cast(null as bigint) as flight_id",
-                "cast(null as int) as class_id",
-                "'unreadable tag' as reason",
-            )
-            _write_batch(tickets, tickets_path, batch_id)
-            _write_batch(refused.unionByName(unreadable), refused_path, batch_id)
-        finally:
-            priced.unpersist()
-
-    return (
-        checkouts.writeStream.foreachBatch(land)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or _NO_TRIGGER))
-        .start()
-    )
-
-
 # -- accounts ---------------------------------------------------------------
 
 
 def start_account_log(
     changes: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Keep the account changes. The tables are ``apply_changes(base, log)``; storing that result
-    as the new base and reading only later batches compacts the log."""
+    """Keep the account changes. The tables are ``apply_changes(base, log)``; ``accounts.merge_log`` folds
+    the batches into snapshots."""
     return start_log(changes, path, checkpoint, trigger=trigger)

@@ -1,4 +1,10 @@
-"""Carts kept as keyed state, for consumers that want each change as it happens."""
+"""Carts kept as keyed state, for consumers that want each change as it happens.
+
+The state of a customer is dealt over shards by flight and class, so an addition or removal touches one pair
+in one shard. Clears go to all shards, and there to the pairs that have entries. Removals and clears leave
+marks, since an older addition may still arrive; a timer drops a mark when the watermark has passed it and
+such an addition would be dropped as late. What is left of a customer is the entries in the cart.
+"""
 
 from __future__ import annotations
 
@@ -14,56 +20,81 @@ CHANGES = "customer_id bigint, seq bigint, flight_id bigint, class_id int, in_ca
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Timers fall on whole minutes, so that marks set close together share one.
+TIMER_MS = 60_000
+
 
 class CartShard(StatefulProcessor):
-    """State of one shard of one customer's cart: the newest clear, the newest removal per pair,
-    and the entries in the cart by sequence number. Only sequence numbers are compared, so late
-    and repeated events lead to the same state."""
+    """State of one shard of one customer's cart: the newest clear, and per pair the newest removal and the
+    numbers of its entries. Only sequence numbers are compared, so late and repeated events lead to
+    the same state."""
 
-    def __init__(self, marker_ttl_ms: int | None = None):
-        self.marker_ttl_ms = marker_ttl_ms
+    def __init__(self, timed: bool):
+        self.timed = timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        pair = "flight_id bigint, class_id int"
-        self.cleared = handle.getValueState("cleared", "seq bigint")
-        self.removed = handle.getMapState("removed", pair, "seq bigint", ttlDurationMs=self.marker_ttl_ms)
-        self.entries = handle.getMapState("entries", "seq bigint", pair)
+        self.handle = handle
+        self.cleared = handle.getValueState("cleared", "seq bigint, due bigint")
+        # A pair without a mark has -1 for it.
+        self.pairs = handle.getMapState(
+            "pairs", "flight_id bigint, class_id int", "removed bigint, due bigint, seqs array<bigint>"
+        )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for events in rows:
-            yield self._apply(key[0], events)
+        events = pd.concat(list(rows))
+        customer, out = key[0], []
+
+        def left(pair: tuple[int, int], seqs: list[int], change: bool) -> None:
+            out.extend((customer, seq, *pair, change) for seq in seqs)
 
-    def _apply(self, customer: int, events: pd.DataFrame) -> pd.DataFrame:
         cleared = self.cleared.get()[0] if self.cleared.exists() else -1
-        emptied = events.loc[events["action"].isin(["clear", "checkout"]), "seq"]
-        if len(emptied) and emptied.max() > cleared:
-            cleared = int(emptied.max())
-            self.cleared.update((cleared,))
-
-        removals = events[events["action"] == "remove"].groupby(["flight_id", "class_id"])["seq"].max()
-        for (flight, cabin), seq in removals.items():
-            if seq > self._removed(int(flight), int(cabin)):
-                self.removed.updateValue((int(flight), int(cabin)), (int(seq),))
-
-        out = []
-        if len(emptied) or len(removals):
-            held = [(seq, flight, cabin) for (seq,), (flight, cabin) in self.entries.iterator()]
-            for seq, flight, cabin in held:
-                if seq <= max(cleared, self._removed(flight, cabin)):
-                    self.entries.removeKey((seq,))
-                    out.append((customer, seq, flight, cabin, False))
-
-        adds = events[events["action"] == "add"]
-        for seq, flight, cabin in zip(adds["seq"], adds["flight_id"], adds["class_id"]):
-            seq, flight, cabin = int(seq), int(flight), int(cabin)
-            if seq > max(cleared, self._removed(flight, cabin)):
-                self.entries.updateValue((seq,), (flight, cabin))
-                out.append((customer, seq, flight, cabin, True))
-        return pd.DataFrame(out, columns=["customer_id", "seq", "flight_id", "class_id", "in_cart"])
-
-    def _removed(self, flight: int, cabin: int) -> int:
-        pair = (flight, cabin)
-        return self.removed.getValue(pair)[0] if self.removed.containsKey(pair) else -1
+        ends = events[events["action"].isin(["clear", "checkout"])]
+        if len(ends) and int(ends["seq"].max()) > cleared:
+            cleared = int(ends["seq"].max())
+            self.cleared.update((cleared, self._due(ends)))
+            for pair, (removed, due, seqs) in list(self.pairs.iterator()):
+                gone = [s for s in seqs if s <= cleared]
+                if gone:
+                    left(tuple(pair), gone, False)
+                    self._put(tuple(pair), removed, due, [s for s in seqs if s > cleared])
+
+        rest = events[events["action"].isin(["add", "remove"])]
+        for (flight, cabin), of_pair in rest.groupby(["flight_id", "class_id"]):
+            pair = (int(flight), int(cabin))
+            removed, due, held = self.pairs.getValue(pair) if self.pairs.containsKey(pair) else (-1, 0, [])
+            removals, adds = (of_pair[of_pair["action"] == a] for a in ("remove", "add"))
+            if len(removals) and int(removals["seq"].max()) > removed:
+                removed, due = int(removals["seq"].max()), max(due, self._due(removals))
+            bar = max(cleared, removed)
+            new = sorted({int(s) for s in adds["seq"]} - set(held))
+            left(pair, [s for s in held if s <= bar], False)
+            left(pair, [s for s in new if s > bar], True)
+            self._put(pair, removed, due, [s for s in [*held, *new] if s > bar])
+        yield pd.DataFrame(out, columns=["customer_id", "seq", "flight_id", "class_id", "in_cart"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if self.cleared.exists() and self.cleared.get()[1] <= now:
+            self.cleared.clear()
+        for pair, (removed, due, seqs) in list(self.pairs.iterator()):
+            if removed >= 0 and due <= now:
+                self._put(tuple(pair), -1, 0, list(seqs))
+        yield from ()
+
+    def _due(self, events: pd.DataFrame) -> int:
+        """When the marks of some events can go; a timer is set for then."""
+        if not self.timed:
+            return 0
+        last = int(events["ts"].max().timestamp() * 1000)
+        due = -(-last // TIMER_MS) * TIMER_MS
+        self.handle.registerTimer(due)
+        return due
+
+    def _put(self, pair: tuple[int, int], removed: int, due: int, seqs: list[int]) -> None:
+        if seqs or removed >= 0:
+            self.pairs.updateValue(pair, (int(removed), int(due), [int(s) for s in seqs]))
+        else:
+            self.pairs.removeKey(pair)
 
     def close(self) -> None:
         pass
@@ -74,22 +105,24 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set(_PROVIDER, _ROCKSDB)
 
 
-def cart_changes(events: DataFrame, shards: int = 8, marker_ttl_ms: int | None = None) -> DataFrame:
+def cart_changes(events: DataFrame, shards: int = 8, late: str | None = None) -> DataFrame:
     """Stream of cart changes: an entry appears with ``in_cart`` true and may leave with false.
 
-    A customer is split into ``shards`` keys: an add goes to one of them by its sequence number,
-    while removals and clears, which are few and small, go to all. So even a customer with a
-    large part of all events is spread over several tasks. With ``marker_ttl_ms`` removals are
-    forgotten after that time, which bounds the state when events cannot be later than that.
+    A customer is split into ``shards`` keys by flight and class, so even a customer with a large part of
+    all events is spread over several tasks. With ``late`` (such as "1 hour") the stream needs a ``ts``
+    column that grows with ``seq`` for a customer; events later than that are dropped, and marks that
+    only those could meet go. Without it marks stay.
     """
-    every = f"sequence(0, {shards - 1})"
-    shard = f"explode(if(action = 'add', array(cast(pmod(xxhash64(seq), {shards}) as int)), {every}))"
-    keyed = events.select("seq", "customer_id", "action", "flight_id", "class_id", F.expr(shard).alias("shard"))
+    timed = late is not None
+    columns = ["seq", "customer_id", "action", "flight_id", "class_id"]
+    if timed:
+        events = events.withWatermark("ts", late)
+        columns.append("ts")
+    own = f"array(cast(pmod(xxhash64(flight_id, class_id), {shards}) as int))"
+    shard = f"explode(if(action in ('add', 'remove'), {own}, sequence(0, {shards - 1})))"
+    keyed = events.select(*columns, F.expr(shard).alias("shard"))
     return keyed.groupBy("customer_id", "shard").transformWithStateInPandas(
-        CartShard(marker_ttl_ms),
-        outputStructType=CHANGES,
-        outputMode="Update",
-        timeMode="None" if marker_ttl_ms is None else "ProcessingTime",
+        CartShard(timed), outputStructType=CHANGES, outputMode="Update", timeMode="EventTime" if timed else "None"
     )
 
 
