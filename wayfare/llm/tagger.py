@@ -203,8 +203,8 @@ class Tagger:
         """Whether a sequence is sure to have tag 0 throughout, told without finding its best tags.
 
         For every kind the best stretch up to each place is grown from its start, charged with the
-        cheapest move into it and with none out of it. Where none of them scores above tag 0 in its
-        place, no row of stretches does.
+        cheapest move into it and, where it gains by it, with the cheapest out of it. Where none of them
+        scores above tag 0 in its place, no row of stretches does.
         """
         move = np.where(self.legal, self.p["move"], -np.inf) - self.p["move"][0, 0]
         starts, inner = np.arange(1, len(move), 2), np.arange(2, len(move), 2)
@@ -219,7 +219,7 @@ class Tagger:
             started = gain[::2] + (into if t else np.maximum(into, 0))
             top = np.maximum(started, held).max(axis=0)
             best = np.where(t < sizes, np.maximum(best, top), best)
-        return best < 0
+        return best + max(0.0, float(move[1:, 0].max())) < 0
 
     def weight(self, scores: np.ndarray, tags: np.ndarray) -> float:
         """How far tags (time) of a stretch score above tag 0 in its place, moves included."""
