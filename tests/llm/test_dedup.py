@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.samples import LONG, documents, found, lined, no_documents, odd_documents, odd_rows, prose
 from wayfare.llm import components, exact_dedup, line_dedup, near_dedup
@@ -214,3 +215,16 @@ def test_dropping_lines_keeps_rows_and_columns(spark):
     assert clean.dtypes == docs.dtypes and clean.count() == docs.count()
     assert clean.where("text IS NULL").count() == docs.where("text IS NULL").count()
     assert clean.where("n_chars <> length(text)").count() == 0
+
+
+@pytest.mark.parametrize("shift", [0, 7919])
+def test_an_ordered_chain_takes_few_rounds(spark, monkeypatch, shift):
+    """Versions of a page in row order are such a chain; the numbering must not matter."""
+    rounds, plain = [], components.stage
+    monkeypatch.setattr(components, "stage", lambda df, label: rounds.append(label) or plain(df, label))
+    n = 10_000
+    name = (lambda i: i) if not shift else (lambda i: i * shift % 100_003)
+    links = spark.createDataFrame([(name(i), name(i + 1)) for i in range(n)] + [(200_000, 200_001)], "a long, b long").coalesce(4)
+    found = components.connected_components(links, "a", "b").groupBy("label").agg(F.count("*").alias("n")).collect()
+    assert sorted(r["n"] for r in found) == [2, n + 1]
+    assert rounds.count("pointers") <= 12
