@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -222,3 +223,14 @@ def test_split_groups_fit_nowhere(seed):
 def test_rows_without_links_move_through_any_shard():
     spans = sharding.displaced({0: 5, 2: 4}, [1, 6, 2])
     assert spans == [(0, 0, 1, 0), (2, 0, 2, 2), (0, 1, 5, 1), (2, 2, 4, 1)]
+
+
+def test_a_very_long_word_is_merged_as_the_library_does():
+    coder, library, rng = bpe.Coder(WORDS), Tokenizer.from_file(WORDS), random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (65, 300, 5_000, 1_000_000)] + ["a" * 200_000, "é" * 3_000]
+    for word in words:
+        start = time.perf_counter()
+        ids = np.frombuffer(b"".join(x[0] for x in coder.encode(word)), "<u4").tolist()
+        assert time.perf_counter() - start < 60
+        assert ids == library.encode(word, add_special_tokens=False).ids
+    assert not any(len(w) > bpe.KEPT for w in coder.known)

@@ -12,6 +12,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Distinct pre-tokens that a task keeps; beyond that the table starts anew.
-TABLE_ROWS = 600_000
+#: Distinct pre-tokens that a task keeps, of so many characters at most; beyond that the table starts anew.
+TABLE_ROWS, KEPT = 600_000, 64
+#: Symbols up to which a fragment is merged by looking through all its pairs.
+SHORT = 64
 #: Texts of characters below this are normalised and split here, others by the library, whose
 #: Unicode tables may be of another version.
 PLAIN_END = 0x180
@@ -106,6 +109,8 @@ class Coder:
         """Ids of one fragment: join the leftmost pair of the lowest rank until no pair has one."""
         rank, none = self.ranks.get, len(self.ranks)
         parts = [*fragment[:-1], fragment[-1] + self.end if last else fragment[-1]]
+        if len(parts) > SHORT:
+            return self._merge_long(parts)
         ranks = [rank(pair, none) for pair in zip(parts, parts[1:])]
         while ranks and (best := min(ranks)) < none:
             i = ranks.index(best)
@@ -117,16 +122,39 @@ class Coder:
                 ranks[i] = rank((parts[i], parts[i + 1]), none)
         return [self.vocab[p] for p in parts if p in self.vocab]
 
+    def _merge_long(self, parts: list[str]) -> list[int]:
+        """The same for many symbols: pairs wait in a heap by rank and place, symbols are a linked list."""
+        rank, n = self.ranks.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [(r, i, i + 1) for i in range(n - 1) if (r := rank((parts[i], parts[i + 1]))) is not None]
+        heapify(waiting)
+        while waiting:
+            r, i, j = heappop(waiting)
+            # Either end may have been joined since the pair was put in.
+            if not parts[i] or after[i] != j or rank((parts[i], parts[j])) != r:
+                continue
+            parts[i], parts[j] = parts[i] + parts[j], ""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank((parts[i], parts[k]))) is not None:
+                    heappush(waiting, (r, i, k))
+            if (h := before[i]) >= 0 and (r := rank((parts[h], parts[i]))) is not None:
+                heappush(waiting, (r, h, i))
+        return [self.vocab[p] for p in parts if p in self.vocab]
+
     def _learn(self, word: str) -> tuple[bytes, str]:
         ids: list[int] = []
         for cut in self.cuts(word.encode().decode("latin-1").translate(self.table)):
             found = self.fragments.get(cut)
             if found is None:
                 found = self.merge(*cut)
-                if not cut[1]:  # whole pre-tokens are kept below
+                if not cut[1] and len(cut[0]) <= KEPT:  # whole pre-tokens are kept below
                     self.fragments[cut] = found
             ids += found
-        known = self.known[word] = (np.array(ids, "<u4").tobytes(), " ".join(self.names[i] for i in ids))
+        known = (np.array(ids, "<u4").tobytes(), " ".join(self.names[i] for i in ids))
+        if len(word) <= KEPT:
+            self.known[word] = known
         return known
 
     def encode(self, text: str) -> list[tuple[bytes, str]]:
