@@ -20,6 +20,8 @@ from wayfare.session import stage
 
 FILTERS = "ABCDE"
 ORDERS = factorial(len(FILTERS))
+#: Groups of equal texts that are handed to every task at most, 40 bytes each.
+MOST_LARGE = 10_000
 
 _SPACES = r"[\x20\x09-\x0D]+"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -53,10 +55,17 @@ def failed_sets(docs: DataFrame) -> DataFrame:
     # Read twice below; a digest and three small values are left of each text.
     judged = stage(judged, "failed-filters")
     # Texts that stand alone need not meet their group again.
-    first = judged.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    first = first.where("last > first").select("digest", "first")
-    again = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
-    joined = judged.join(first, "digest", "left")
+    first = judged.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    first = stage(first.where("last > first").select("digest", "first", "n"), "first-copies")
+    # A group this large can only be one of MOST_LARGE: those are handed to every task, and their members
+    # go to the other groups' join under keys of their own, which match nothing.
+    large = max(1, judged.count() // MOST_LARGE)
+    known = F.broadcast(first.where(F.col("n") > large).select("digest", F.col("first").alias("known")))
+    own = F.concat("digest", F.encode(F.col("doc_id").cast("string"), "utf-8"))
+    judged = judged.join(known, "digest", "left")
+    judged = judged.withColumn("digest", F.when(F.col("known").isNull(), F.col("digest")).otherwise(F.coalesce(own, F.col("digest"))))
+    joined = judged.join(first.where(F.col("n") <= large).select("digest", "first"), "digest", "left")
+    again = F.coalesce(F.col("doc_id") > F.coalesce("known", "first"), F.lit(False))
     return joined.select("doc_id", "part", (F.col("mask") + again.cast("int") * 2 ** FILTERS.index("E")).alias("mask"))
 
 
