@@ -148,8 +148,8 @@ def not_null_report(tables: dict[str, DataFrame]) -> DataFrame:
 
 def unique_timetable(schedule: DataFrame) -> DataFrame:
     """Repeated timetable entries. Only equal ranges count: one flight number may have
-    overlapping ranges."""
-    return duplicate_keys(schedule, "flight_schedule", SCHEDULE_UNIQUE, "unique timetable entry")
+    overlapping ranges. An entry with a missing value equals no other."""
+    return duplicate_keys(schedule.dropna(subset=SCHEDULE_UNIQUE), "flight_schedule", SCHEDULE_UNIQUE, "unique timetable entry")
 
 
 def domain_report(tables: dict[str, DataFrame]) -> DataFrame:

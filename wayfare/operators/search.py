@@ -102,13 +102,22 @@ def normal_requests(requests: DataFrame, leg_limit: int) -> DataFrame:
     )
 
 
-def within_horizon(flights: DataFrame, requests: DataFrame, leg_limit: int | None = None) -> DataFrame:
+def flying_times(flights: DataFrame) -> DataFrame:
+    """One row: the shortest and longest time from departure to arrival."""
+    flown = F.col("arrival_time") - F.col("departure_time")
+    return flights.agg(F.min(flown).alias("shortest"), F.max(flown).alias("longest"))
+
+
+def within_horizon(
+    flights: DataFrame, requests: DataFrame, leg_limit: int | None = None, times: DataFrame | None = None
+) -> DataFrame:
     """The flights any of the requests could use, by departure time.
 
     A first leg leaves inside the request's window, and each later leg at most one flight and
     one wait after it. The bounds are worked out first, from one row of totals each, so that they
     reach the scan as plain filters, and prune whole folders of flights stored by
-    ``departure_date``.
+    ``departure_date``. ``times`` are the table's :func:`flying_times`, which ``tables.write_flights`` keeps
+    beside it; without them all flights are read for them.
     """
     asked = requests.agg(
         F.min("dmin").alias("first"),
@@ -116,9 +125,8 @@ def within_horizon(flights: DataFrame, requests: DataFrame, leg_limit: int | Non
         F.max("max_wait").alias("wait"),
         F.max("max_legs").alias("legs"),
     )
-    flown = F.col("arrival_time") - F.col("departure_time")
     asked = asked.first()
-    span = flights.agg(F.min(flown).alias("shortest"), F.max(flown).alias("longest")).first()
+    span = (flying_times(flights) if times is None else times).first()
     if asked["first"] is None or asked["last"] is None or span["longest"] is None:
         return flights.filter("false")
     none, later = timedelta(0), max(1, leg_limit or asked["legs"] or 1) - 1

@@ -5,6 +5,7 @@ Arrays and intervals are shown as text and minutes so that results compare acros
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.calendar import bit_positions, interval_minutes
 from wayfare.functions.labels import clock_label, departure_label, flight_code, path_label
-from wayfare.operators import accounts, booking, cart, changes, fares, quality, schedule, search, shared_search
+from wayfare.operators import accounts, booking, cart, changes, fares, incremental, quality, schedule, search, shared_search
+from wayfare.plans import pipelines
 from wayfare.session import stage, staging_path
-from wayfare.sources import tables
+from wayfare.sources import keys, tables
 from wayfare.sources.manifest import Store
+from wayfare.sources.schemas import schema_of
 from wayfare.sources.standin import StandIn
 from wayfare.streaming import accounts as account_feeds
 from wayfare.streaming import bookings, feeds, keyed_carts
@@ -64,6 +67,34 @@ def schedule_expand(t: StandIn) -> DataFrame:
     return flights.withColumn("duration", interval_minutes("duration"))
 
 
+@_query
+def schedule_quarantined(t: StandIn) -> DataFrame:
+    """Every line of a timetable file with broken lines in it: what became of it."""
+    names = schema_of("flight_schedule").names
+    fields = [F.col(c).cast("string") for c in names]
+    fields[names.index("departure_min")] = F.expr("if(id % 50 = 0, 'noon', cast(departure_min as string))")
+    whole = F.concat_ws(",", *[F.coalesce(f, F.lit("")) for f in fields])
+    line = F.when(F.col("id") % 70 == 0, F.regexp_extract(whole, "^([^,]*,[^,]*),", 1)).otherwise(whole)
+    path = _scratch(t, "timetable-file")
+    t.schedule.select(line.alias("line")).write.text(path)
+    rows, rejects = tables.read_quarantined(t.spark, "flight_schedule", path, header="false")
+    why = F.when(F.col("broken_row").isNotNull(), "broken").otherwise(F.array_join("bad_columns", ","))
+    return rows.select("id", F.lit("row").alias("outcome")).unionByName(
+        rejects.select(F.col("id").cast("bigint").alias("id"), why.alias("outcome"))
+    )
+
+
+@_query
+def timetable_build(t: StandIn) -> DataFrame:
+    """The fares of the stored timetable, built from stored tables."""
+    root, out = _scratch(t, "sources"), _scratch(t, "built")
+    sources = {"airport": t.airports, "airline": t.airlines, "class": t.classes, "flight_schedule": t.schedule}
+    for name, df in sources.items():
+        df.write.parquet(f"{root}/{name}")
+    built = pipelines.build_timetable(t.spark, root, out)
+    return built["flight_class"].drop("departure_date")
+
+
 @_query
 def schedule_duration_audit(t: StandIn) -> DataFrame:
     found = schedule.duration_audit(schedule.expand_schedule(t.schedule, t.airports))
@@ -162,7 +193,7 @@ def search_stored(t: StandIn) -> DataFrame:
     tables.write_flights(t.flights, f"{(root := staging_path(t.spark, 'timetable'))}/flight")
     flights = tables.read_flights(t.spark, f"{root}/flight")
     tables.write_fares(fares.price_flights(flights, t.airports, t.classes), f"{root}/flight_class")
-    usable = search.within_horizon(flights, t.requests)
+    usable = search.within_horizon(flights, t.requests, times=tables.read_flying_times(t.spark, f"{root}/flight"))
     offered = search.fares_of(tables.read_fares(t.spark, f"{root}/flight_class"), usable)
     return _shown(search.search_itineraries(t.requests, usable, offered))
 
@@ -331,6 +362,34 @@ def book_refused(t: StandIn) -> DataFrame:
     return refused
 
 
+@_query
+def book_empty_carts(t: StandIn) -> DataFrame:
+    """Tickets of carts from tags, when as many carts without an entry are checked out with them."""
+    empty = t.tags.withColumns({"cart_id": F.col("cart_id") + 10**9, "tag": F.lit("[]")})
+    rows, _ = cart.explode_tags(t.tags.unionByName(empty))
+    tickets, _ = booking.settle(stage(booking.priced_cart(rows.withColumn("paid_with", F.col("customer_id")), t.fares), "priced-tags"))
+    return tickets
+
+
+@_query
+def receipts_stored(t: StandIn) -> DataFrame:
+    """The ticket history from tables laid out for its joins."""
+    prefix, path = f"wayfare_{uuid.uuid4().hex}", _scratch(t, "bucketed")
+    pipelines.save_for_joins(t.flights, t.fares, t.tickets, prefix, path)
+    return pipelines.stored_receipts(t.spark, prefix, t.classes)
+
+
+@_query
+def ticket_history_read(t: StandIn) -> DataFrame:
+    """The history of customers with an address, from tickets and links in files of other formats."""
+    path = _scratch(t, "ticket-files")
+    t.tickets.write.orc(f"{path}/ticket")
+    t.address_links.write.option("header", "true").csv(f"{path}/customer_address")
+    tickets = tables.read_table(t.spark, "ticket", f"{path}/ticket", "orc")
+    links = tables.read_table(t.spark, "customer_address", f"{path}/customer_address", "csv")
+    return booking.ticket_history(tickets, t.flights, t.fares, t.classes, links)
+
+
 @_query
 def receipts(t: StandIn) -> DataFrame:
     """Receipts of the tickets just booked."""
@@ -406,6 +465,16 @@ def payment_methods(t: StandIn) -> DataFrame:
     return accounts.payment_methods(t.accounts, t.payments)
 
 
+@_query
+def payment_methods_read(t: StandIn) -> DataFrame:
+    """The same from customers and payment methods in text files."""
+    path = _scratch(t, "account-files")
+    t.accounts.write.option("header", "true").csv(f"{path}/customer")
+    t.payments.write.json(f"{path}/payment_method")
+    customers = tables.read_table(t.spark, "customer", f"{path}/customer", "csv")
+    return accounts.payment_methods(customers, tables.read_table(t.spark, "payment_method", f"{path}/payment_method", "json"))
+
+
 @_query
 def address_book(t: StandIn) -> DataFrame:
     return accounts.address_book(t.accounts, t.address_links, t.addresses)
@@ -429,6 +498,16 @@ def apply_primaries(t: StandIn) -> DataFrame:
     return changes.apply_primaries(t.accounts, t.account_changes)
 
 
+@_query
+def allocated_keys(t: StandIn) -> DataFrame:
+    """New keys for the customers of two runs of registrations, the second of which is repeated."""
+    store = Store(t.spark, _scratch(t, "keys"))
+    forms = t.registrations.select("customer_id", "email")
+    runs = {"odd": forms.filter("customer_id % 2 = 1"), "even": forms.filter("customer_id % 2 = 0")}
+    given = [keys.allocate(store, runs[run], ["customer_id"], run) for run in ("odd", "even", "even")]
+    return given[0].unionByName(given[2])
+
+
 @_query
 def onboard_addresses(t: StandIn) -> DataFrame:
     return changes.onboard_customers(t.registrations, t.airports)[0]
@@ -512,6 +591,25 @@ def integrity_domain(t: StandIn) -> DataFrame:
     return quality.domain_report(t.dirty_tables)
 
 
+@_query
+def integrity_incremental(t: StandIn) -> DataFrame:
+    """Keys and references of account tables that were appended in parts, each part checked by itself."""
+    found = t.dirty_tables
+    known = incremental.Known.nothing(t.spark)
+    part = F.pmod(F.xxhash64("email"), F.lit(3))
+    parts = [found["customer"].filter(part == n) for n in range(3)]
+    for table, rows in [
+        ("customer", parts[0]),
+        ("payment_method", found["payment_method"]),
+        ("customer", parts[1]),
+        ("address", found["address"]),
+        ("customer", parts[2]),
+    ]:
+        after = incremental.add_partition(known, table, rows)
+        known = incremental.Known(*[stage(df, "known") for df in (after.keys, after.repeated, after.orphans)])
+    return incremental.report(known)
+
+
 # -- streams ----------------------------------------------------------------
 
 

@@ -399,6 +399,42 @@ _SQL: dict[str, tuple[str, str]] = {
     ),
     "book_tickets": ("", "select * from booked"),
     "ticket_append": ("", "select * from booked"),
+    "schedule_quarantined": (
+        "",
+        """select id, case when id%70=0 then 'broken' when id%50=0 then 'departure_min' else 'row' end outcome
+            from schedule""",
+    ),
+    "timetable_build": (
+        """cosine as (select f.id, sin(a.lat/57.2958::double)*sin(b.lat/57.2958::double)
+              +cos(a.lat/57.2958::double)*cos(b.lat/57.2958::double)
+              *cos(b.long/57.2958::double-a.long/57.2958::double) d
+            from expanded f join airport a on f.departure_airport=a.iata join airport b on f.arrival_airport=b.iata),
+          miles as (select id, case when d<>0 then 3958.75::double*atan(sqrt(greatest(0,1-power(d,2)))/d)
+            else 0 end miles from cosine)""",
+        """select m.id flight_id, c.id class_id, case c.id when 1 then 48 when 2 then 8 when 3 then 8 when 4 then 4 end capacity,
+            cast(cast(round(miles*0.032::double+230,12) as decimal(19,2))+fee as decimal(19,2)) price
+            from miles m cross join class c""",
+    ),
+    "allocated_keys": (
+        "",
+        """select customer_id, email, row_number() over (order by customer_id%2 desc, customer_id) id from registration""",
+    ),
+    "receipts_stored": ("", _RECEIPT.format(tickets="ticket")),
+    "ticket_history_read": ("", _RECEIPT.format(tickets="ticket")),
+    "integrity_incremental": (
+        "",
+        " union all ".join(
+            [
+                _pk("bad_customer", "customer", "id"),
+                _pk("bad_address", "address", "id"),
+                _pk("payment_method", "payment_method", "id"),
+                _fk("bad_customer", "customer", "primary_payment_id", "payment_method", "id"),
+                _fk("bad_customer", "customer", "primary_address_id", "bad_address", "id"),
+                _fk("bad_payment_method", "payment_method", "billing_address", "bad_address", "id"),
+                _fk("bad_payment_method", "payment_method", "customer_id", "bad_customer", "id"),
+            ]
+        ),
+    ),
     "book_tickets_leg_zero": ("", "select * exclude (id) replace (0 as leg) from booked"),
     "book_refused": (
         "",
@@ -635,6 +671,7 @@ _SQL["apply_primaries"] = _SQL["account_stream"] = (
 
 _NAMES = re.compile(r"\b(?:from|join)\s+(" + "|".join(sorted(_VIEWS, key=len, reverse=True)) + r")\b")
 
+_SQL |= {"book_empty_carts": _SQL["booking_stream"], "payment_methods_read": _SQL["payment_methods"]}
 _SQL |= {
     f"account_stream_{table}": _SQL[f"apply_changes_{table}"]
     for table in ("address", "customer_address", "payment_method")

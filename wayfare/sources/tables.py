@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from wayfare.constants import CABIN_CLASSES, MONEY
+from wayfare.operators.search import flying_times
 from wayfare.sources.manifest import Store, Version
 from wayfare.sources.schemas import CODE_COLUMNS, TABLES, schema_of
 
@@ -29,6 +31,34 @@ def read_table(
     return df
 
 
+def read_quarantined(
+    spark: SparkSession, table: str, path: str, format: str = "csv", **options: str
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of a text table, for files that may hold broken rows.
+
+    Every value is read as text and then cast by itself. A row goes to the rejects if the reader cannot tell
+    its columns apart, or if a value that is there cannot be read as its type. Rejects: the values as
+    text, ``broken_row`` (the raw line, where that is what is wrong) and ``bad_columns``. Both are read
+    from one scan's plan, and every line that is no header is in exactly one of them.
+    """
+    if format not in ("csv", "json"):
+        raise ValueError(f"{format} files are typed")
+    declared = schema_of(table)
+    text = StructType([StructField(f.name, StringType()) for f in declared] + [StructField("broken_row", StringType())])
+    reader = spark.read.schema(text).options(**{"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken_row", **options})
+    if format == "csv" and "header" not in options:
+        reader = reader.option("header", "true")
+    read = reader.format(format).load(path)
+    codes = CODE_COLUMNS.get(table, [])
+    read = read.withColumns({c: F.rtrim(c) for c in codes})
+    typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in declared}
+    bad = [F.when(F.col(c).isNotNull() & v.isNull(), F.lit(c)) for c, v in typed.items()]
+    read = read.withColumn("bad_columns", F.array_compact(F.array(*bad)))
+    # The raw line of a broken row is told on reading all columns, which both outputs do.
+    good = F.col("broken_row").isNull() & (F.size("bad_columns") == 0)
+    return read.where(good).select(*[v.alias(c) for c, v in typed.items()]), read.where(~good)
+
+
 def read_tables(spark: SparkSession, root: str, format: str = "parquet") -> dict[str, DataFrame]:
     """All tables stored under ``root``, one folder each."""
     return {table: read_table(spark, table, f"{root}/{table}", format) for table in TABLES}
@@ -45,7 +75,8 @@ def write_flights(flights: DataFrame, path: str, mode: str = "overwrite") -> Non
     """Store flights by departure date.
 
     The range partitioning spreads a busy date over several tasks while a quiet one makes one
-    file, and keeps each file to few airports, which the file statistics then prune.
+    file, and keeps each file to few airports, which the file statistics then prune. The shortest and
+    longest flight are kept beside the table for ``search.within_horizon``.
     """
     (
         flights.withColumn("departure_date", F.to_date("departure_time"))
@@ -55,6 +86,13 @@ def write_flights(flights: DataFrame, path: str, mode: str = "overwrite") -> Non
         .partitionBy("departure_date")
         .parquet(path)
     )
+    stored = read_flights(flights.sparkSession, path)
+    flying_times(stored).coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}_times")
+
+
+def read_flying_times(spark: SparkSession, path: str) -> DataFrame:
+    """The shortest and longest flight of a table stored by :func:`write_flights`, from one small file."""
+    return spark.read.parquet(f"{path.rstrip('/')}_times")
 
 
 def read_flights(spark: SparkSession, path: str) -> DataFrame:
@@ -89,6 +127,12 @@ def read_tickets(spark: SparkSession, path: str) -> DataFrame:
     return Store(spark, path).read("ticket", schema_of("ticket"))
 
 
+def fares_by_flight(fares: DataFrame) -> DataFrame:
+    """flight_id, fares: the classes of each flight in one row (class_id, capacity, price), so that tables
+    bucketed by flight alone serve joins by flight and by flight and class."""
+    return fares.groupBy("flight_id").agg(F.collect_list(F.struct("class_id", "capacity", "price")).alias("fares"))
+
+
 def save_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, **options: str) -> None:
     """Save a catalog table bucketed and sorted by ``keys``.
 

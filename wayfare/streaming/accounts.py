@@ -18,8 +18,9 @@ from wayfare.streaming.feeds import LOG
 def start_store(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> Version:
     """Put the account tables into a new store. Done twice, it changes nothing."""
     first = snapshots.first_snapshot(tables)
-    empty = spark.createDataFrame([], snapshots.REFUSED)
-    return Store(spark, path).append({"refused_payment": empty} | first, "base")
+    if "payment_method" in tables:
+        first["refused_payment"] = spark.createDataFrame([], snapshots.REFUSED)
+    return Store(spark, path).append(first, "base")
 
 
 def _snapshots(store: Store, version: Version) -> dict[str, DataFrame]:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wayfare.functions import bitmaps
 from wayfare.operators.booking import POSITION_BITS, priced_cart, settle
 from wayfare.operators.cart import explode_tags
 from wayfare.sources.manifest import Conflict, Store, Version
@@ -20,27 +21,9 @@ from wayfare.sources.schemas import schema_of
 
 WRITER = "bookings"
 REFUSED = "cart_id bigint, customer_id bigint, seq bigint, flight_id bigint, class_id int, reason string"
-BITS = "bucket bigint, bits binary"
-#: Bitmaps of a range as a power of two; a bitmap holds 32,768 cart ids in 4 KiB.
+#: Bitmaps of a range as a power of two.
 RANGE_BITS = 10
 
-_BUCKET = "bitmap_bucket_number(cart_id)"
-_PLACE = "bitmap_bit_position(cart_id)"
-# The byte of a bitmap that holds the bit of a cart, as a number.
-_BYTE = f"cast(conv(hex(substring(bits, cast({_PLACE} div 8 as int) + 1, 1)), 16, 10) as int)"
-_IS_SET = f"bits is not null and shiftright({_BYTE}, cast({_PLACE} % 8 as int)) & 1 = 1"
-
-
-def cart_bits(carts: DataFrame) -> DataFrame:
-    """bucket, bits: bitmaps of the ``cart_id`` of some carts."""
-    return carts.groupBy(F.expr(_BUCKET).alias("bucket")).agg(F.expr(f"bitmap_construct_agg({_PLACE})").alias("bits"))
-
-
-def not_in(carts: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """The carts whose ``cart_id`` is in none of the bitmaps."""
-    met = carts.withColumn("bucket", F.expr(_BUCKET)).join(bitmaps, "bucket", "left")
-    return met.where(f"not ({_IS_SET})").select(*carts.columns)
-
 
 def _range(bucket: str) -> str:
     return f"shiftright({bucket}, {RANGE_BITS})"
@@ -61,10 +44,11 @@ def book_batch(store: Store, batch: DataFrame, fares: DataFrame, number: int, wr
     once = batch.groupBy("cart_id").agg(F.min(F.struct("tag", "customer_id", "paid_with")).alias("x"))
     once = once.select("cart_id", "x.customer_id", "x.paid_with", "x.tag")
     # As many as ranges of ids, not as carts.
-    touched = [r["r"] for r in once.select(F.expr(_range(_BUCKET)).alias("r")).distinct().collect()]
-    held = store.read_folders([f for r in touched for f in before.tables.get(_index(r), [])], BITS)
+    touched = [r["r"] for r in once.select(F.expr(_range(bitmaps.bucket("cart_id"))).alias("r")).distinct().collect()]
+    held = store.read_folders([f for r in touched for f in before.tables.get(_index(r), [])], bitmaps.SCHEMA)
 
-    cart, broken = explode_tags(not_in(once, held))
+    fresh = bitmaps.marked(once, "cart_id", held, "booked").where("not booked").drop("booked")
+    cart, broken = explode_tags(fresh)
     # All outputs read the priced carts, which are kept for the time of the writes.
     priced = priced_cart(cart, fares).persist()
     try:
@@ -81,17 +65,16 @@ def book_batch(store: Store, batch: DataFrame, fares: DataFrame, number: int, wr
             "ticket": store.write(tickets, "ticket"),
             "refused": store.write(refused.unionByName(unreadable), "refused"),
         }
-        booked = cart_bits(tickets.select(F.shiftright("id", POSITION_BITS).alias("cart_id")))
-        merged = held.unionByName(booked).groupBy("bucket").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
-        merged = merged.withColumn("range", F.expr(_range("bucket")))
-        name = store.write_by(merged, "booked", "range")
+        booked = bitmaps.bitmaps(tickets, f"shiftright(id, {POSITION_BITS})")
+        index = bitmaps.merged(held.unionByName(booked))
+        name = store.write_by(index.withColumn("range", F.expr(_range("bucket"))), "booked", "range")
     finally:
         priced.unpersist()
     while True:
         tables = {t: [*before.tables.get(t, []), f] for t, f in folders.items()}
         tables |= {_index(r): [f"{name}/range={r}"] for r in touched if store.has_folder(f"{name}/range={r}")}
         try:
-            return store.commit(before, tables, writer, number)
+            return store.commit(before, tables, {writer: number})
         except Conflict:  # with a compaction; only one stream books into a store
             before = store.latest()
             if before.has(writer, number):
