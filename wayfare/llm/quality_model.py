@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 #: Words of a passage.
 PASSAGE = 100
-#: Labelled documents that train the network at most, an even choice by hash for each label, and
-#: the passages that each gives at most, spread evenly over its whole text.
-SAMPLE, BAG = 6000, 32
+#: Labelled documents that train the network at most, an even choice by hash for each label. Each gives
+#: all its passages.
+SAMPLE = 6000
 #: Width of passage codes and of the attention.
 CODE, ATTENTION = 16, 8
 EPOCHS, BATCH, RATE, DECAY = 60, 64, 0.01, 1e-4
@@ -68,15 +68,10 @@ def _passage(words: list[bytes]) -> list[float]:
     ]
 
 
-def passages(text: str | None, most: int | None = None) -> np.ndarray:
-    """One row of features per passage of a text; an empty text has one passage without words.
-
-    ``most`` bounds the passages, spread evenly over the text; without it all are taken.
-    """
+def passages(text: str | None) -> np.ndarray:
+    """One row of features per passage of a text; an empty text has one passage without words."""
     words = (text or "").encode().split()
     starts = range(0, max(1, len(words)), PASSAGE)
-    if most and len(starts) > most:
-        starts = [starts[int(i)] for i in np.linspace(0, len(starts) - 1, most)]
     return np.array([_passage(words[s : s + PASSAGE]) for s in starts], np.float64)
 
 
@@ -187,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [passages(t.as_py(), BAG).astype(np.float32).tobytes() for t in batch.column("text")]
+            bags = [passages(t.as_py()).astype(np.float32).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("target"), pa.array(bags)], ["doc_id", "target", "bag"])
 
     # Repeated rows of an id would outgrow the bound; one is enough.
