@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -54,6 +55,20 @@ def test_base_spans_are_those_of_the_patterns(spark, table):
         assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [kinds[k] for k in ("assign", "access", "hex")]
 
 
+def test_random_strings_of_every_alphabet_are_found(spark, table):
+    """But for digits: a random number cannot be told from any other."""
+    rng = random.Random(1)
+    lower, upper, numbers = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = {"letters": lower + upper, "lower": lower, "base62": lower + upper + numbers}
+    rows = [(f"{a}{n}", "".join(rng.choice(c) for _ in range(n))) for a, c in alphabets.items() for n in (20, 32) for _ in range(100)]
+    judged = spark.createDataFrame(rows, "kind string, run string").withColumn("hit", secrets.ratio(F.col("run"), table) > secrets.THRESHOLD)
+    shares = {r["kind"]: r["share"] for r in judged.groupBy("kind").agg(F.avg(F.col("hit").cast("int")).alias("share")).collect()}
+    assert len(shares) == 6 and min(shares.values()) >= 0.9, shares
+    words = [(w,) for i in range(300) for w in prose(i + 50_000, 100).split() if len(w) >= 12] + [("4247042900896785",)]
+    plain = spark.createDataFrame(words, "run string").where(secrets.ratio(F.col("run"), table) > secrets.THRESHOLD)
+    assert plain.count() <= 0.001 * len(words)
+
+
 def test_random_strings_are_told_from_identifiers(spark, table):
     random = ["8f3kQ9zLmW2xTr7bVnYp4", "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "q7Zx0Vb3Nn81LmPw55TyKd"]
     ordinary = ["internationalization_of_things", "4247042900896785", "the_thing_and_station_10", "hastingstationrening"]

@@ -25,9 +25,10 @@ KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = ascii_lowercase + ascii_uppercase + digits + "+/_=-"
 STATES = len(ALPHABET) + 1
 #: Runs of the models' characters that are long enough to judge.
-RUN = r"[A-Za-z0-9+/_=-]{16,}"
-#: Ratio, in nats, above which a run counts as random: one wrong in about a million.
-THRESHOLD = 14.0
+RUN = r"[A-Za-z0-9+/_=-]{12,}"
+#: Ratio, in nats, above which a run counts as random: one wrong in some twenty thousand of those as likely
+#: to be either. Runs of words fall far below it, the farther the longer they are.
+THRESHOLD = 10.0
 #: Weight of an even choice among all characters in each model.
 EVEN = 0.02
 
@@ -163,9 +164,8 @@ def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> D
     kinds = KINDS[:3]
     known = docs.withColumns({f"_{k}": c for k, c in base_spans(text).items()})
     runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
-    mixed = F.filter(runs, lambda r: r.rlike("[A-Za-z]") & r.rlike("[0-9]"))
-    known = known.withColumn("_mixed", mixed)
-    known = known.withColumn("_random", F.filter("_mixed", lambda r: ratio(r, table) > threshold))
+    known = known.withColumn("_runs", runs)
+    known = known.withColumn("_random", F.filter("_runs", lambda r: ratio(r, table) > threshold))
 
     def numbered(spans: Column, kind: str) -> Column:
         return F.transform(
@@ -183,7 +183,7 @@ def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> D
         F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
     )
     found = known.withColumn("found", F.sort_array(F.concat("found_base", added)))
-    return found.drop(*[f"_{k}" for k in kinds], "_mixed", "_random")
+    return found.drop(*[f"_{k}" for k in kinds], "_runs", "_random")
 
 
 def _spelled(spans: str) -> Column:
