@@ -228,3 +228,10 @@ def test_an_ordered_chain_takes_few_rounds(spark, monkeypatch, shift):
     found = components.connected_components(links, "a", "b").groupBy("label").agg(F.count("*").alias("n")).collect()
     assert sorted(r["n"] for r in found) == [2, n + 1]
     assert rounds.count("pointers") <= 12
+
+
+def test_rows_without_an_id_are_grouped_by_their_texts(spark):
+    texts = [lined(i // 3, 6) + (f" end{i % 3}" if i % 3 else "") for i in range(90)]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(3)
+    assert near_dedup.drop_near_duplicates(docs).count() == 30
+    assert [r["n"] for r in near_dedup.near_groups(docs).groupBy("component_id").agg(F.count("*").alias("n")).collect()] == [90]

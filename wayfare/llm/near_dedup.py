@@ -318,7 +318,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     sets = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("row").alias("node"))
     nodes = stage(
         rows.join(sets.select(F.col("node").alias("row")), "row").select(
-            F.col("row").alias("node"), "set_key", "doc_id", "n_shingles", "registers"
+            F.col("row").alias("node"), "set_key", "doc_id", "text_key", "n_shingles", "registers"
         ),
         "sketch-nodes",
     )
@@ -333,8 +333,10 @@ def _grouped(docs: DataFrame) -> DataFrame:
     open_pairs = _judge(meet, nodes)
     best = open_pairs.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
 
-    wanted = members.select("node").distinct().join(nodes.select("node", "set_key", "doc_id"), "node")
-    named = narrow.join(wanted.withColumnRenamed("doc_id", "of"), narrow["doc_id"].eqNullSafe(F.col("of")))
+    # By id and text: rows without an id share none of their texts' keys.
+    wanted = members.select("node").distinct().join(nodes.select("node", "set_key", F.col("doc_id").alias("of"), "text_key"), "node")
+    keyed = narrow.withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
+    named = keyed.join(wanted, (F.col("key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("of")))
     texts = named.select("node", "set_key", "text").mapInArrow(_of_candidates, "node long, text string")
     texts = stage(texts.groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
 
