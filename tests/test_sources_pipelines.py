@@ -148,3 +148,15 @@ def test_timetable_to_booking(spark, make, tmp_path):
     assert tickets.agg(F.sum("price")).first()[0] == found.first()["total_price"]
     assert found.select(F.col("legs")[1]["departure_time"] - F.col("legs")[0]["arrival_time"]).first()[0] < hours(2)
     assert at("2024-01-03 08:00") == found.first()["legs"][0]["departure_time"]
+
+
+def test_the_package_reaches_executors_that_lack_it(spark, monkeypatch):
+    import zipfile
+
+    from wayfare import session
+
+    shipped = []
+    monkeypatch.setattr(type(spark.sparkContext), "addPyFile", lambda _, path: shipped.append(path))
+    session.ship(spark)
+    names = set(zipfile.ZipFile(shipped[0]).namelist())
+    assert {"wayfare/__init__.py", "wayfare/streaming/keyed_carts.py", "wayfare/session.py"} <= names

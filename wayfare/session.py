@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +32,20 @@ def build_session(app: str = "wayfare", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, whose Python code some operators run there.
+
+    For sessions whose executors do not find it by themselves; the archive goes through Spark's own
+    file distribution.
+    """
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="wayfare-ship-")) / "wayfare.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def staging_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
