@@ -145,6 +145,41 @@ def test_many_destinations_share_one_walk(spark, make):
     assert tuples(left, "request_id") == [(i,) for i in range(40, 60)]
 
 
+@pytest.mark.parametrize("seed, airports, width", [(1, "ABCDE", 120), (2, "ABCDEFGH", 45), (3, "ABCDEFGHIJKL", 600)])
+def test_trips_without_itineraries_are_those_with_any(spark, make, seed, airports, width):
+    """Searched for one level after another, on timetables of one to many legs, loops and flights back in time."""
+    rng, start = random.Random(seed), at("2024-01-01 00:00:00")
+    flights = []
+    for i in range(120):
+        leaves, lasts = rng.randrange(0, 1800, 15), rng.randrange(-30, 240, 15)
+        times = [(start + dt.timedelta(minutes=m)).isoformat() for m in (leaves, leaves + lasts)]
+        flights.append(flight(i, rng.choice(airports), rng.choice(airports), *times, airline=rng.choice(["XX", "YY"])))
+    fares = fares_for(make, flights, lambda i: None if i % 7 == 0 else usd("1.00"), (1, 2)).where("(flight_id + class_id) % 5 <> 0")
+    asked = [
+        ask(
+            i, rng.choice([*airports, None]), rng.choice([*airports, "?"]), legs=rng.choice([0, 1, 2, 3, 4, None]),
+            cabin=rng.choice([1, 2, None]), wait=hours(rng.choice([0, 1, 2, 5])), airline=rng.choice(["XX", "YY", None]),
+        )
+        for i in range(150)
+    ]
+    tables = request(spark, *asked), make("flight", flights), fares
+    every = search.search_trips(*tables, bucket_minutes=width)
+    once = search.search_trips(*tables, bucket_minutes=width, itineraries=False)
+    assert tuples(once, *search.TRIP) == tuples(every.select(*search.TRIP).distinct(), *search.TRIP)
+    assert every.agg(F.max("total_legs")).first()[0] > 1
+    assert search.requests_without_trip(tables[0], once).count() == search.requests_without_trip(tables[0], every).count() > 0
+
+
+def test_a_trip_found_nonstop_is_not_walked_further(spark, make, monkeypatch):
+    flights = [flight(1, "A", "C", "2024-01-01 08:00", "2024-01-01 09:00"), flight(2, "A", "B", "2024-01-01 08:00", "2024-01-01 09:00")]
+    walked, reached = [], search._reached
+    monkeypatch.setattr(search, "_reached", lambda s, h, l, legs, w: walked.append((legs, s.count())) or reached(s, h, l, legs, w))
+    tables = request(spark, ask(1), ask(2, b="B"), ask(3, a="B")), make("flight", flights), fares_for(make, flights)
+    once = search.search_trips(*tables, itineraries=False)
+    assert tuples(search.requests_without_trip(tables[0], once), "request_id") == [(3,)]
+    assert walked == [(1, 2), (2, 1), (3, 1)]
+
+
 def test_other_airlines_and_classes_do_not_connect(spark, make):
     flights = [
         flight(1, "A", "B", "2024-01-01 08:00", "2024-01-01 09:00"),
