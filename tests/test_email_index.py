@@ -65,3 +65,28 @@ def test_a_stored_index_answers_as_one_built_for_the_purpose(spark, make, tmp_pa
     asked = spark.createDataFrame([("%r7_@%",)], "email string")
     out = accounts.customers_by_email(asked, customers, "pattern", stored)
     assert tuples(out, "id") == [(i,) for i in range(70, 80)]
+
+
+def test_candidates_grow_with_the_answers_and_not_with_the_square(spark, make):
+    """Every address asked for by a pattern: twice the table tries about twice the pairs."""
+
+    def tried(n):
+        emails = [f"Customer#{i:09d}@Example.com" for i in range(n)]
+        customers = make("customer", [{"id": i, "name": "n", "email": e} for i, e in enumerate(emails)])
+        asked = spark.createDataFrame([(f"%{e[13:18]}@ex_mple%",) for e in emails], "email string")
+        runs = asked.select(F.explode(email_index.pattern_runs(F.col("email"), True)).alias("trigram"), "email")
+        sizes = email_index.email_index(customers).groupBy("trigram").count()
+        rarest = runs.join(sizes, "trigram", "left").groupBy("email").agg(F.min(F.coalesce("count", F.lit(0))).alias("n"))
+        assert accounts.customers_by_email(asked, customers, "pattern").count() == n
+        return rarest.agg(F.sum("n")).first()[0]
+
+    assert tried(1000) <= 1000 * 1.5 and tried(2000) <= 2000 * 1.5
+
+
+def test_an_index_of_trigrams_alone_still_answers(spark, make):
+    """As stored before longer runs were listed."""
+    customers = make("customer", [{"id": i, "name": "n", "email": f"user{i}@example.com"} for i in range(100)])
+    old = email_index.email_index(customers).where("length(trigram) = 3")
+    asked = spark.createDataFrame([("%user7_@example%",), ("%nobody at all%",)], "email string")
+    for index in (old, email_index.email_index(customers), None):
+        assert tuples(accounts.customers_by_email(asked, customers, "pattern", index), "id") == [(i,) for i in range(70, 80)]

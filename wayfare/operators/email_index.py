@@ -1,9 +1,11 @@
-"""Pattern search over e-mail addresses by an inverted index of trigrams.
+"""Pattern search over e-mail addresses by an inverted index of trigrams and longer runs.
 
 An address, in lower case and with marks for its start and end, is listed under each of its runs of
-three characters. A pattern's fixed pieces have such runs too, and an address it matches is listed under
-all of them: only the addresses under the pattern's rarest run are tried. A run that no address has
-settles its pattern at once. Lists that are long are dealt over blocks by hash, and a pattern without any
+three and of six characters. A pattern's fixed pieces have such runs too, and an address it matches is
+listed under all of them: only the addresses under the pattern's rarest run are tried. Three characters
+are few: the addresses that share some grow with the table, and with a pattern for each of them the pairs
+to try grow with its square. So pieces of six or more are looked up by their longer runs. A run that no
+address has settles its pattern at once. Lists that are long are dealt over blocks by hash, and a pattern without any
 run meets all addresses in blocks, so that no key holds more than a bounded share of the table.
 """
 
@@ -17,23 +19,36 @@ START, END = "\u0002", "\u0003"
 #: Addresses of a block: at least so many, or so large a share of the table that blocks are few.
 BLOCK, MOST_BLOCKS = 10_000, 1000
 
+#: Addresses or patterns whose runs one task lists.
+SHARE = 20_000
 
-def _runs(text: Column) -> Column:
-    """The distinct runs of three characters of a text; none in a shorter one."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)))
-    runs = F.transform(places, lambda i: F.substring(text, i, F.lit(3)))
-    return F.array_distinct(F.filter(runs, lambda r: F.length(r) == 3))
+#: Characters of a run.
+SHORT, LONG = 3, 6
+
+
+def _runs(text: Column, size: int = SHORT) -> Column:
+    """The distinct runs of ``size`` characters of a text; none in a shorter one."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1)))
+    runs = F.transform(places, lambda i: F.substring(text, i, F.lit(size)))
+    return F.array_distinct(F.filter(runs, lambda r: F.length(r) == size))
 
 
 def email_index(customers: DataFrame) -> DataFrame:
-    """trigram, id: under which runs each customer's address is listed. A null address is not."""
+    """trigram, id: under which runs, of three and of six characters, each customer's address is listed. A
+    null address is not, nor one without an id."""
     marked = F.concat(F.lit(START), F.lower("email"), F.lit(END))
-    return customers.where("email IS NOT NULL").select("id", F.explode(_runs(marked)).alias("trigram")).distinct()
+    runs = F.concat(_runs(marked), _runs(marked, LONG))
+    # Short rows become many: dealt by id before that, a task takes a bounded share, and equal runs of an id
+    # are together without another shuffle.
+    listed = customers.where("email IS NOT NULL AND id IS NOT NULL").select("id", "email")
+    listed = listed.repartition(max(1, -(-listed.count() // SHARE)), "id")
+    return listed.select("id", F.explode(runs).alias("trigram")).distinct()
 
 
-def pattern_runs(pattern: Column) -> Column:
+def pattern_runs(pattern: Column, long: bool = False) -> Column:
     """The runs that every address matched by a pattern has. ``%`` and ``_`` stand for any text and any
-    character, a backslash before a character for that character."""
+    character, a backslash before a character for that character. With ``long``, a piece that has longer
+    runs gives those."""
     tokens = F.regexp_extract_all(F.lower(pattern), F.lit(r"(?s)(?:\\.|[^%_\\])+|[%_]"), F.lit(0))
     last = F.size(tokens) - 1
     pieces = F.transform(
@@ -46,21 +61,26 @@ def pattern_runs(pattern: Column) -> Column:
             )
         ),
     )
-    return F.array_distinct(F.flatten(F.transform(pieces, _runs)))
+    of_piece = lambda p: F.when(F.length(p) >= LONG, _runs(p, LONG)).otherwise(_runs(p)) if long else _runs(p)
+    return F.array_distinct(F.flatten(F.transform(pieces, of_piece)))
 
 
 def match_patterns(patterns: DataFrame, customers: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """wanted_email, id, name for all customers whose address matches a pattern, ignoring case.
 
     ``patterns``: wanted_email; equal ones are tried once and answered as often as they stand there. An
-    ``index`` stored earlier, of the same customers, saves building it.
+    ``index`` stored earlier, of the same customers, saves building it; one without longer runs is asked for
+    trigrams alone.
     """
+    long = index is None or not index.where(F.length("trigram") > SHORT).isEmpty()
     index = email_index(customers) if index is None else index
     who = customers.select("id", "name", "email")
     total = who.count()
     block = max(BLOCK, -(-total // MOST_BLOCKS))
-    asked = patterns.select("wanted_email").where("wanted_email IS NOT NULL").distinct()
-    asked = asked.withColumn("runs", pattern_runs(F.col("wanted_email")))
+    # Patterns too become many rows each, and are dealt out before.
+    asked = patterns.select("wanted_email").where("wanted_email IS NOT NULL")
+    asked = asked.repartition(max(1, -(-asked.count() // SHARE)), "wanted_email").distinct()
+    asked = asked.withColumn("runs", pattern_runs(F.col("wanted_email"), long))
 
     sizes = index.groupBy("trigram").agg(F.count("*").alias("n"))
     # Left: a run that is not listed has a count of 0, and no address to try.
