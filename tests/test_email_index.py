@@ -90,3 +90,13 @@ def test_an_index_of_trigrams_alone_still_answers(spark, make):
     asked = spark.createDataFrame([("%user7_@example%",), ("%nobody at all%",)], "email string")
     for index in (old, email_index.email_index(customers), None):
         assert tuples(accounts.customers_by_email(asked, customers, "pattern", index), "id") == [(i,) for i in range(70, 80)]
+
+
+def test_the_index_is_never_broadcast(spark, make, tmp_path):
+    """Spark judges it by the addresses, which are far fewer."""
+    customers = make("customer", [{"id": i, "name": "n", "email": f"user{i}@example.com"} for i in range(100)])
+    customers.write.parquet(str(tmp_path / "customer"))
+    asked = spark.createDataFrame([("%r7_@%",)], "email string")
+    out = accounts.customers_by_email(asked, spark.read.parquet(str(tmp_path / "customer")), "pattern")
+    assert tuples(out, "id") == [(i,) for i in range(70, 80)]
+    assert "strategy=merge" in out._jdf.queryExecution().optimizedPlan().toString()

@@ -25,6 +25,9 @@ SHARE = 20_000
 #: Characters of a run.
 SHORT, LONG = 3, 6
 
+#: Runs of a pattern that are looked up, as a power of two.
+PLACE_BITS = 20
+
 
 def _runs(text: Column, size: int = SHORT) -> Column:
     """The distinct runs of ``size`` characters of a text; none in a shorter one."""
@@ -84,10 +87,17 @@ def match_patterns(patterns: DataFrame, customers: DataFrame, index: DataFrame |
 
     sizes = index.groupBy("trigram").agg(F.count("*").alias("n"))
     # Left: a run that is not listed has a count of 0, and no address to try.
-    runs = asked.select("wanted_email", F.explode("runs").alias("trigram")).join(sizes, "trigram", "left")
-    rarest = runs.groupBy("wanted_email").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "trigram")).alias("x"))
+    # The rarest is kept as one number, its count above its place among the pattern's runs, which a hash table
+    # of bounded size can hold; the least of several texts would be sorted for. Any of the runs will do, so
+    # those beyond the last place can go.
+    places = F.posexplode(F.slice("runs", 1, 2**PLACE_BITS)).alias("place", "trigram")
+    runs = asked.select("wanted_email", places).join(sizes, "trigram", "left")
+    ranked = F.shiftleft(F.coalesce("n", F.lit(0).cast("bigint")), PLACE_BITS) + F.col("place")
+    rarest = runs.groupBy("wanted_email").agg(F.min(ranked).alias("x"))
     blocks = lambda n: F.ceil(n / block).cast("int")
-    rarest = rarest.select("wanted_email", F.col("x.trigram").alias("trigram"), blocks(F.col("x.n")).alias("parts"))
+    place = F.expr(f"cast(x & {2**PLACE_BITS - 1} as int)")
+    trigram = F.get(pattern_runs(F.col("wanted_email"), long), place)
+    rarest = rarest.select("wanted_email", trigram.alias("trigram"), blocks(F.shiftright("x", PLACE_BITS)).alias("parts"))
     tried = rarest.where("parts > 0").select(
         "wanted_email", "trigram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     )
@@ -97,7 +107,8 @@ def match_patterns(patterns: DataFrame, customers: DataFrame, index: DataFrame |
     part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     listed = index.join(F.broadcast(long), "trigram", "left")
     listed = listed.select("trigram", "id", part(F.coalesce("parts", F.lit(1))).alias("part"))
-    candidates = tried.join(listed, ["trigram", "part"]).select("wanted_email", "id")
+    # The index is far larger than the table that Spark judges its size by, so it must not be broadcast.
+    candidates = tried.join(listed.hint("merge"), ["trigram", "part"]).select("wanted_email", "id")
     by_run = candidates.join(who, "id").where("email ilike wanted_email")
 
     # Without a run, in blocks: every such pattern against every address.
