@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import at, usd
 from tests.helpers import hours, ordered, tuples
-from wayfare.operators import search
+from wayfare.operators import ranking, search
 from wayfare.session import stage
 
 REQUEST = (
@@ -371,6 +371,23 @@ def test_numbering_a_group_that_spans_partitions(spark):
     assert out.exceptAll(plain).count() == 0
 
 
+def test_groups_are_cut_into_slices_only_where_they_are_large(spark, monkeypatch):
+    """Rows of small groups are neither staged nor moved twice; rows with a NULL key are left out."""
+    labels = []
+    monkeypatch.setattr(ranking, "stage", lambda df, label: labels.append(label) or stage(df, label))
+    df = spark.range(0, 9000, 1, 4).selectExpr("if(id % 3 = 0, id % 50, if(id = 1, null, 7)) as key", "id % 11 as price", "id")
+    plain = df.where("key is not null").selectExpr("*", "cast(row_number() over (partition by key order by price, id) as bigint) as rank")
+
+    small = ranking.number_within(df, ["key"], ["price", "id"], "rank")
+    assert labels == ["large-groups"]
+    assert sorted(small.collect()) == sorted(plain.collect())
+
+    monkeypatch.setattr(ranking, "GROUP", 1000)
+    cut = ranking.number_within(df, ["key"], ["price", "id"], "rank")
+    assert "numbered" in labels
+    assert sorted(cut.collect()) == sorted(plain.collect())
+
+
 def test_a_hub_is_split_over_tasks(spark):
     """Two thirds of all flights leave one hub within one bucket; adaptive execution splits them."""
     flights = spark.range(0, 1800, 1, 8).selectExpr(

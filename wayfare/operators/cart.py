@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfare.constants import MONEY
 from wayfare.functions.money import money
 from wayfare.operators.ranking import number_within
+from wayfare.session import stage
 
 PAIR = ["flight_id", "class_id"]
 
@@ -178,7 +179,7 @@ def checked_out_carts(events: DataFrame) -> DataFrame:
     checkouts = ends.filter(F.col("action") == "checkout").select(F.col("seq").alias("_end"), "customer_id").distinct()
     bought = held.join(checkouts, ["customer_id", "_end"]).withColumnRenamed("_end", "cart_id")
     bought = bought.withColumnRenamed("seq", "_at")
-    return number_within(bought, ["cart_id"], ["_at", "item"], "seq").select("cart_id", "customer_id", "seq", *PAIR)
+    return number_within(stage(bought, "bought"), ["cart_id"], ["_at", "item"], "seq").select("cart_id", "customer_id", "seq", *PAIR)
 
 
 # -- review and totals ------------------------------------------------------
