@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from wayfare.functions import bitmaps
 from wayfare.operators.booking import POSITION_BITS, priced_cart, settle
 from wayfare.operators.cart import explode_tags
+from wayfare.session import stage
 from wayfare.sources.manifest import Conflict, Store, Version
 from wayfare.sources.schemas import schema_of
 
@@ -44,32 +45,30 @@ def book_batch(store: Store, batch: DataFrame, fares: DataFrame, number: int, wr
     once = batch.groupBy("cart_id").agg(F.min(F.struct("tag", "customer_id", "paid_with")).alias("x"))
     once = once.select("cart_id", "x.customer_id", "x.paid_with", "x.tag")
     # As many as ranges of ids, not as carts.
-    touched = [r["r"] for r in once.select(F.expr(_range(bitmaps.bucket("cart_id"))).alias("r")).distinct().collect()]
+    touched = [r["r"] for r in batch.select(F.expr(_range(bitmaps.bucket("cart_id"))).alias("r")).distinct().collect()]
     held = store.read_folders([f for r in touched for f in before.tables.get(_index(r), [])], bitmaps.SCHEMA)
 
-    fresh = bitmaps.marked(once, "cart_id", held, "booked").where("not booked").drop("booked")
+    # Staged, since both the carts and the broken tags come from them, and the carts once more when
+    # priced, since all outputs read those.
+    fresh = stage(bitmaps.marked(once, "cart_id", held, "booked").where("not booked").drop("booked"), "fresh-checkouts")
     cart, broken = explode_tags(fresh)
-    # All outputs read the priced carts, which are kept for the time of the writes.
-    priced = priced_cart(cart, fares).persist()
-    try:
-        tickets, refused = settle(priced)
-        unreadable = broken.selectExpr(
-            "cart_id",
-            "customer_id",
-            "cast(null as bigint) as seq",
-            "cast(null as bigint) as flight_id",
-            "cast(null as int) as class_id",
-            "'unreadable tag' as reason",
-        )
-        folders = {
-            "ticket": store.write(tickets, "ticket"),
-            "refused": store.write(refused.unionByName(unreadable), "refused"),
-        }
-        booked = bitmaps.bitmaps(tickets, f"shiftright(id, {POSITION_BITS})")
-        index = bitmaps.merged(held.unionByName(booked))
-        name = store.write_by(index.withColumn("range", F.expr(_range("bucket"))), "booked", "range")
-    finally:
-        priced.unpersist()
+    tickets, refused = settle(stage(priced_cart(cart, fares), "priced-checkouts"))
+    unreadable = broken.selectExpr(
+        "cart_id",
+        "customer_id",
+        "cast(null as bigint) as seq",
+        "cast(null as bigint) as flight_id",
+        "cast(null as int) as class_id",
+        "'unreadable tag' as reason",
+    )
+    folders = {
+        "ticket": store.write(tickets, "ticket"),
+        "refused": store.write(refused.unionByName(unreadable), "refused"),
+    }
+    written = store.read_folders([folders["ticket"]], tickets.schema)
+    booked = bitmaps.bitmaps(written, f"shiftright(id, {POSITION_BITS})")
+    index = bitmaps.merged(held.unionByName(booked))
+    name = store.write_by(index.withColumn("range", F.expr(_range("bucket"))), "booked", "range")
     while True:
         tables = {t: [*before.tables.get(t, []), f] for t, f in folders.items()}
         tables |= {_index(r): [f"{name}/range={r}"] for r in touched if store.has_folder(f"{name}/range={r}")}
