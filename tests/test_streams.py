@@ -1,6 +1,8 @@
 import datetime as dt
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,55 @@ def test_keyed_carts_equal_the_batch_fold(spark, tmp_path):
     assert changes.filter("not in_cart").count() > 0
 
 
+class CountingState:
+    """A shard's state in plain Python, counting the messages that a real one would send."""
+
+    def __init__(self):
+        self.value, self.rows, self.timers, self.calls = None, {}, [], 0
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(get=lambda: self.call(self.value), exists=lambda: self.call(self.value is not None), update=self.update, clear=lambda: self.update(None))
+
+    def getMapState(self, name, key, value):
+        return SimpleNamespace(
+            getValue=lambda k: self.call(self.rows.get(k)),
+            containsKey=lambda k: self.call(k in self.rows),
+            updateValue=lambda k, v: self.call(self.rows.update({k: v})),
+            removeKey=lambda k: self.call(self.rows.pop(k, None)),
+            iterator=lambda: self.call(iter(list(self.rows.items()))),
+        )
+
+    def update(self, value):
+        self.call(None)
+        self.value = value
+
+    def registerTimer(self, due):
+        self.call(self.timers.append(due))
+
+    def call(self, result):
+        self.calls += 1
+        return result
+
+
+def test_a_keyed_cart_asks_its_state_once_a_pair():
+    state, shard = CountingState(), keyed_carts.CartShard(True)
+    shard.init(state)
+    start = pd.Timestamp("2024-01-01")
+    rows = [(n, "add", n, 1, start + pd.Timedelta(minutes=n)) for n in range(4)]
+    rows += [(n + 4, "remove", n, 1, start + pd.Timedelta(minutes=n + 4)) for n in range(3)]
+    events = pd.DataFrame([*rows, (9, "clear", None, None, start)], columns=["seq", "action", "flight_id", "class_id", "ts"])
+    assert not any(len(out) for out in shard.handleInputRows((7, 0), iter([events]), None))
+    # The clear is read and written, the pairs listed, three marks written and one timer set.
+    assert state.calls <= 7 and len(state.timers) == 1
+
+    # What can go does so when the watermark has passed it, and the next timer is set for the rest.
+    watermark = SimpleNamespace(getCurrentWatermarkInMs=lambda: int((start + pd.Timedelta(minutes=5)).timestamp() * 1000))
+    expired = SimpleNamespace(getExpiryTimeInMs=lambda: state.timers[0])
+    list(shard.handleExpiredTimer((7, 0), watermark, expired))
+    assert state.value is None and list(state.rows) == [(2, 1)]
+    assert state.timers[-1] == int((start + pd.Timedelta(minutes=6)).timestamp() * 1000)
+
+
 def timed_events(batches):
     """Rounds of a shop: every customer adds two pairs, takes one out again and pays, later ones in later batches."""
     start, out, seq = dt.datetime(2024, 1, 1), [], 0
@@ -140,6 +191,20 @@ def test_a_checkout_sent_again_is_booked_once_without_a_watermark(spark, fares,
     assert booked_pairs(spark, path) == [(1, 1, 7), (1, 1, 8), (2, 2, 7)]
 
 
+def test_a_batch_is_staged_once_and_its_index_comes_from_the_written_tickets(spark, fares, tmp_path, monkeypatch):  # noqa: F811
+    labels, read = [], []
+    monkeypatch.setattr(bookings, "stage", lambda df, label: labels.append(label) or stage(df, label))
+    plain = Store.read_folders
+    monkeypatch.setattr(Store, "read_folders", lambda self, folders, schema: read.extend(folders) or plain(self, folders, schema))
+    store = Store(spark, f"{tmp_path}/booked")
+    batch = spark.createDataFrame([(1, 7, 5, "[[1, 1]]"), (2, 8, 6, "none")], "cart_id bigint, customer_id bigint, paid_with bigint, tag string")
+    for number in range(2):  # the second batch finds its cart booked
+        bookings.book_batch(store, batch, fares, number)
+    assert labels == ["fresh-checkouts", "priced-checkouts"] * 2
+    assert sum(f.startswith("ticket-") for f in read) == 2
+    assert tables.read_tickets(spark, f"{tmp_path}/booked").count() == 1
+
+
 def test_a_batch_reads_the_ranges_it_touches_whatever_was_booked(spark, fares, tmp_path, monkeypatch):  # noqa: F811
     store = Store(spark, f"{tmp_path}/booked")
     read, plain, plain_price = [], store.read_folders, bookings.priced_cart
