@@ -426,3 +426,33 @@ def test_a_hub_is_split_over_tasks(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert len(rows) > 100
     assert ordered(tuple(r) for r in rows) == tuples(plain, "request_id", "ids")
+
+
+def test_legs_of_dealt_itineraries_are_ordered_as_by_a_sort_of_all_legs(spark, make):
+    flights = [
+        flight(i, a, b, f"2024-01-01 {leaves}", f"2024-01-01 {arrives}")
+        for i, (a, b, leaves, arrives) in enumerate(
+            [
+                ("A", "B", "08:00", "09:00"), ("B", "C", "10:00", "11:00"), ("A", "C", "08:00", "09:00"),
+                ("B", "D", "09:30", "10:00"), ("D", "C", "11:00", "12:00"), ("A", "B", "08:00", "09:00"),
+            ]
+        )
+    ]
+    # Requests and flights that come twice give equal itineraries, whose legs lie mixed.
+    found = find(spark, make, [*flights, flights[3]], *[ask(i % 7) for i in range(20)])
+    dealt = search.deal_itineraries(found)
+    assert tuples(dealt, *dealt.columns) == tuples(found, *dealt.columns)
+    rows = [tuple(r) for r in search.order_legs(search.itinerary_legs(dealt), dealt=True).collect()]
+    whole = [tuple(r) for r in search.order_legs(search.itinerary_legs(found)).collect()]
+    key = [(r[0], r[1], r[9]) for r in rows]
+    assert key == sorted(key) == [(r[0], r[1], r[9]) for r in whole]
+    assert sorted(rows) == sorted(whole) and len(rows) > 100
+
+
+def test_itineraries_are_moved_for_the_order_before_their_legs_are_listed(spark, make):
+    found = find(spark, make, [flight(1, "A", "C", "2024-01-01 08:00", "2024-01-01 09:00")], ask())
+    legs = search.order_legs(search.itinerary_legs(search.deal_itineraries(found)), dealt=True)
+    plan = legs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("posexplode") < plan.index("RepartitionByExpression") and "Sort [" in plan
+    moved = plan[plan.index("RepartitionByExpression"):].splitlines()[1]
+    assert moved.count("#") and "path" not in moved and "total_legs" not in moved
