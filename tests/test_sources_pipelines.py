@@ -7,8 +7,8 @@ from tests.conftest import at, usd
 from tests.helpers import hours, tuples
 from tests.test_search import ask, fares_for, find, flight, ids, request
 from wayfare.operators import search
-from wayfare.plans import pipelines
-from wayfare.session import staging_root
+from wayfare.plans import catalog, pipelines
+from wayfare.session import TASK_BYTES, bound_tasks, staging_root
 from wayfare.sources import tables
 from wayfare.sources.schemas import TABLES
 
@@ -160,3 +160,35 @@ def test_the_package_reaches_executors_that_lack_it(spark, monkeypatch):
     session.ship(spark)
     names = set(zipfile.ZipFile(shipped[0]).namelist())
     assert {"wayfare/__init__.py", "wayfare/streaming/keyed_carts.py", "wayfare/session.py"} <= names
+
+
+@pytest.mark.parametrize("name", ["integrity_fk", "cart_totals", "cart_totals_cross"])
+def test_queries_bound_what_one_task_takes_from_a_shuffle(spark, tmp_path, name):
+    for table, row in {
+        "nation": "0 as n_nationkey, 'N' as n_name",
+        "region": "0 as r_regionkey, 'R' as r_name",
+        "customer": "7L as c_custkey, 'C' as c_name, 0 as c_nationkey, 'S' as c_mktsegment",
+        "part": "1L as p_partkey, 1 as p_size",
+        "orders": "1L as o_orderkey, 7L as o_custkey",
+        "lineitem": "1L as l_orderkey, 1L as l_partkey, 1L as l_suppkey, 1 as l_linenumber, 2D as l_quantity, 3D as l_extendedprice",
+    }.items():
+        spark.sql(f"select {row}").write.parquet(f"{tmp_path}/{table}.parquet")
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    build = catalog.queries()[name]
+    # A session built elsewhere, without a size of its own, and one with a size that stays.
+    for given, kept in [(None, TASK_BYTES), ("5m", "5m")]:
+        session = spark.newSession()
+        session.conf.set(size, given) if given else session.conf.unset(size)
+        assert build(session, str(tmp_path)).count() > 0
+        assert session.conf.get(size) == kept
+
+
+def test_large_shuffles_are_dealt_over_tasks_of_a_bounded_size(spark):
+    session = spark.newSession()
+    session.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    session.conf.set("spark.sql.shuffle.partitions", "16")
+    session.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    bound_tasks(session)
+    # 40 MB that do not compress: one task by the default of 64 MB.
+    rows = session.range(2_000_000).selectExpr("xxhash64(id) as a", "xxhash64(id + 1) as b", "xxhash64(-id) as c")
+    assert rows.repartition("a").rdd.getNumPartitions() > 2

@@ -9,6 +9,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Shuffled bytes that adaptive execution puts into one task. They are compressed: sorted and grouped, a row of
+# a few numbers takes some twenty times its share of them, so the default of 64 MB may fill over a gigabyte.
+TASK_BYTES = "16m"
+_TASK_BYTES = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
 
 def build_session(app: str = "wayfare", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and skew-join handling on."""
@@ -19,6 +24,7 @@ def build_session(app: str = "wayfare", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        _TASK_BYTES: TASK_BYTES,
         # Partitions measured to be below this size join by hash, without a sort.
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
         "spark.sql.session.timeZone": "UTC",
@@ -32,6 +38,12 @@ def build_session(app: str = "wayfare", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def bound_tasks(spark: SparkSession) -> None:
+    """Keep shuffled partitions apart beyond ``TASK_BYTES``, in sessions that set no size of their own."""
+    if spark.conf.get(_TASK_BYTES, None) is None:
+        spark.conf.set(_TASK_BYTES, TASK_BYTES)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, whose Python code some operators run there.
 
