@@ -456,3 +456,35 @@ def test_itineraries_are_moved_for_the_order_before_their_legs_are_listed(spark,
     assert plan.index("posexplode") < plan.index("RepartitionByExpression") and "Sort [" in plan
     moved = plan[plan.index("RepartitionByExpression"):].splitlines()[1]
     assert moved.count("#") and "path" not in moved and "total_legs" not in moved
+
+
+def test_paths_go_through_no_shuffle(spark, make):
+    """Searches, flights and requests are dealt once; every join of a walk takes its paths where they are."""
+    flights = [flight(i, "AB"[i % 2], "BC"[i % 2], f"2024-01-01 {8 + i:02}:00", f"2024-01-01 {8 + i:02}:50") for i in range(6)]
+    found = find(spark, make, flights, ask(), ask(2, legs=2), leg_limit=3)
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    joins = [i for i, line in enumerate(plan) if "ShuffledHashJoin" in line]
+    assert len(joins) == 4
+    for i, line in enumerate(plan):
+        if "Exchange" in line:
+            end = next((k for k in range(i + 1, len(plan)) if depth[k] <= depth[i]), len(plan))
+            assert not any(i < k < end for k in joins)
+
+
+def test_legs_days_apart_are_found_in_the_cell_of_the_first(spark, make):
+    flights = [
+        flight(1, "A", "B", "2024-01-01 23:00", "2024-01-04 10:00"),
+        flight(2, "A", "B", "2024-01-01 08:00", "2024-01-01 07:00"),
+        flight(3, "B", "D", "2024-01-04 11:00", "2024-01-06 01:00"),
+        flight(4, "B", "C", "2024-01-01 07:30", "2024-01-01 09:00"),
+        flight(5, "D", "C", "2024-01-06 03:00", "2024-01-06 04:00"),
+        flight(5, "D", "C", "2024-01-06 03:00", "2024-01-06 04:00"),
+        flight(6, "D", "C", "2024-01-06 03:01", "2024-01-06 04:00"),
+    ]
+    rows = fares_for(make, flights).unionByName(fares_for(make, flights[2:3], cabins=(1, None)))
+    start = at("2024-01-01 00:00:00")
+    long = (2, "XX", "A", "C", start, start + hours(24 * 9), 1, hours(2), 3)
+    found = find(spark, make, flights, ask(legs=3), long, fares=rows)
+    # Flight 5 is there twice and has two fares for that, flight 3 has its fare twice: eight ways, for either request.
+    assert ids(found) == ordered([(r, i) for r in (1, 2) for i in [[2, 4]] + [[1, 3, 5]] * 8])
