@@ -488,3 +488,26 @@ def test_legs_days_apart_are_found_in_the_cell_of_the_first(spark, make):
     found = find(spark, make, flights, ask(legs=3), long, fares=rows)
     # Flight 5 is there twice and has two fares for that, flight 3 has its fare twice: eight ways, for either request.
     assert ids(found) == ordered([(r, i) for r in (1, 2) for i in [[2, 4]] + [[1, 3, 5]] * 8])
+
+
+def test_itineraries_take_their_form_once_per_trip(spark, make):
+    flights = [
+        flight(1, "A", "B", "2024-01-01 08:00", "2024-01-01 09:00"),
+        flight(2, "B", "C", "2024-01-01 09:30", "2024-01-01 10:00"),
+        flight(3, "A", "C", "2024-01-01 09:30", "2024-01-01 10:00"),
+    ]
+    asked = [ask(i) for i in range(6)]
+    found = find(spark, make, flights, *asked, form=lambda trips: trips.withColumn("ids", F.array_join("ids", "-")))
+    assert ids(found) == [(i, x) for i in range(6) for x in ("1-2", "3")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("array_join(")
+    # A form may make several rows of an itinerary, here its legs.
+    legs = find(spark, make, flights, *asked, form=search.itinerary_legs)
+    whole = search.itinerary_legs(find(spark, make, flights, *asked))
+    assert tuples(legs, *whole.columns) == tuples(whole, *whole.columns) and whole.count() == 18
+
+
+def test_a_walk_has_a_task_for_every_shuffle_partition(spark, make):
+    """Its tables are a few bytes here, which adaptive execution would put into one task."""
+    found = find(spark, make, [flight(1, "A", "C", "2024-01-01 08:00", "2024-01-01 09:00")], ask())
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
